@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbalest.llm import mixing, sharding, url_filter
+from arbalest.llm import mixing, sharding, substring_dedup, url_filter
 from arbalest.llm.common import documents
 
 
@@ -22,13 +22,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_mix_sources, op5_shard, op6_url_filter)
+    named = (op3_mix_sources, op5_shard, op6_url_filter, op7_substring_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op5_shard": OP5_SQL, "op6_url_filter": op6_sql()}
+    return {"op3_mix_sources": OP3_SQL, "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL}
 
 
 OP3_SQL = r"""
@@ -82,6 +86,19 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 """
 
 
+OP7_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT r, i, md5(array_to_string(ws[i + 1:i + 35], ' ')) AS h FROM (SELECT r, ws, unnest(range(0, len(ws) - 34)) AS i FROM w)),
+dup AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM win JOIN dup USING (h), (SELECT unnest(range(35)) AS k)),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def op6_sql() -> str:
     listed = ", ".join(f"'{x}'" for x in url_filter.LISTED)
     return rf"""
