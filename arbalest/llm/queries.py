@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbalest.llm import mixing, sharding, simhash, substring_dedup, url_filter
+from arbalest.llm import lm_score, mixing, sharding, simhash, substring_dedup, url_filter
 from arbalest.llm.common import documents
 
 
@@ -26,12 +26,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_mix_sources, op5_shard, op6_url_filter, op7_substring_dedup, op10_simhash)
+    named = (op3_mix_sources, op5_shard, op6_url_filter, op7_substring_dedup, op9_lm_score, op10_simhash)
     return {f.__name__: f for f in named}
 
 
