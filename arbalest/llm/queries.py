@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbalest.llm import lm_score, mixing, sharding, simhash, substring_dedup, url_filter
-from arbalest.llm.common import documents
+from arbalest.llm import language_id, licenses, lm_score, mixing, sharding, simhash, substring_dedup, url_filter
+from arbalest.llm.common import documents, id_remainder
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", id_remainder(3) == 1)
+    languages = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), languages).drop("text")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +45,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_mix_sources, op5_shard, op6_url_filter, op7_substring_dedup, op9_lm_score, op10_simhash)
+    named = (op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op9_lm_score, op10_simhash)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op4_license_scan": op4_sql(), "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL}
 
 
 OP3_SQL = r"""
@@ -123,3 +133,32 @@ SELECT page_id, host, path, rule,
             WHEN EXISTS (SELECT 1 FROM (SELECT unnest([{listed}]) AS x) WHERE host = x OR suffix(host, '.' || x)) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+
+def op4_sql() -> str:
+    phrases = [(i, text, label, i < len(licenses.BASE)) for i, (text, label) in enumerate((*licenses.BASE, *licenses.KEY_PHRASES))]
+    rows = ", ".join(f"({i}, '{text}', '{label}', {base})" for i, text, label, base in phrases)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT * FROM (VALUES {rows}) t(id, phrase, label, base)),
+pw AS (SELECT id, label, base, unnest(string_split(phrase, ' ')) AS word, unnest(range(len(string_split(phrase, ' ')))) AS q FROM p),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM d),
+lw AS (SELECT w.* FROM w SEMI JOIN pw USING (word)),
+df AS (SELECT word, count(DISTINCT r) AS n FROM lw GROUP BY word),
+idf AS (SELECT pw.*, coalesce(n, 0) AS n, ln((SELECT count(*) + 1 FROM d)::DOUBLE / (coalesce(n, 0) + 1)) AS idf FROM pw LEFT JOIN df USING (word)),
+pi AS (SELECT *, first_value(word) OVER (PARTITION BY id ORDER BY n, word, q) = word AS rarest,
+              sum(idf) OVER (PARTITION BY id) AS total, count(*) OVER (PARTITION BY id) AS size FROM idf),
+al AS (
+  SELECT r, id, label, base, place - q AS start, count(*) = any_value(size) AS whole, sum(idf) / nullif(any_value(total), 0) AS share
+  FROM lw JOIN pi USING (word) GROUP BY r, id, label, base, place - q HAVING bool_or(rarest)),
+g AS (
+  SELECT r, count(*) FILTER (whole AND base) AS n_base, min(start) FILTER (whole AND base) AS first_word, max(start) FILTER (whole AND base) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (whole AND base))), ',') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (whole))), ',') AS labels,
+         max(CASE WHEN whole THEN 1.0::DOUBLE ELSE round(coalesce(share, 0), 6) END) AS score FROM al GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (r)
+"""
