@@ -24,6 +24,7 @@ from arbalest.llm.common import WORD, cut, id_text
 
 #: Hex digits of the digest that splits each source: 16**3 pieces, so that a hot source is never one group.
 PIECE_DIGITS = 3
+WEIGHTS, SHARE, CAP, TILTS = (5, 2, 1), 1.5, 2.0, (0.5, -0.5)
 
 
 def word_count(col: str = "text") -> Column:
@@ -65,14 +66,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: flo
     return sources.withColumn("target", F.when(F.lit(rate) * F.col("weight") > limit, limit).otherwise(F.lit(rate) * F.col("weight")))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, tilts: tuple[float, ...] = (0.5, -0.5)
-) -> DataFrame:
-    """One row per document: size, source_size, target, taken, first_position, range-sorted by position.
-
-    The texts never leave the scan: only (id, source, size, digest) is shuffled, by (source, digest piece).
-    """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), F.md5(id_text()).alias("_digest"))
+def placed(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float, tilts: tuple[float, ...]) -> DataFrame:
+    """``rows`` (source, size, _digest, doc_id and any others) with source_size, target, tilt, taken, and _before: the
+    source's words ahead. Rows are shuffled once, by (source, digest piece)."""
     rows = rows.withColumn("_piece", F.substring("_digest", 1, PIECE_DIGITS))
     pieces = cut(rows.groupBy("source", "_piece").agg(F.sum("size").alias("piece_size")))
     tilt = F.element_at(F.array(*[F.lit(float(x)) for x in tilts]), (F.col("rank") % len(tilts) + 1).cast("int"))
@@ -89,11 +85,36 @@ def mix(
     whole = F.floor("target")
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
     rest = whole - passes * F.col("source_size") - F.col("_before")
-    taken = (passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).cast("long")
-    used = F.col("_before") / F.col("target")
-    back = (F.sqrt((1 - F.col("tilt")) * (1 - F.col("tilt")) + 4 * F.col("tilt") * used) - (1 - F.col("tilt"))) / (2 * F.col("tilt"))
-    position = F.when(F.col("taken") > 0, F.abs(F.round(F.when(F.col("tilt") == 0, used).otherwise(back), 9)))
-    out = rows.withColumn("taken", taken).withColumn("first_position", position)
-    return out.orderBy(F.col("first_position").asc_nulls_last(), "_digest").select(
-        "doc_id", "size", "source_size", "target", "taken", "first_position"
-    )
+    return rows.withColumn("taken", (passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).cast("long"))
+
+
+def position(turn: Column) -> Column:
+    """Training position of a document in the given pass over its source (from 0): its demand curve, inverted."""
+    used = F.least(F.lit(1.0), (turn * F.col("source_size") + F.col("_before")) / F.col("target"))
+    slope, tilt = 1 - F.col("tilt"), F.col("tilt")
+    back = (F.sqrt(slope * slope + 4 * tilt * used) - slope) / (2 * tilt)
+    return F.abs(F.round(F.when(tilt == 0, used).otherwise(back), 9))
+
+
+def read(docs: DataFrame, *payload: Column | str) -> DataFrame:
+    return docs.select(*payload, F.col("source").cast("string").alias("source"), word_count().alias("size"), F.md5(id_text()).alias("_digest"))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, tilts: tuple[float, ...] = TILTS
+) -> DataFrame:
+    """One row per document: size, source_size, target, taken and first_position, range-sorted by position (documents
+    of which nothing is taken come last). The texts never leave the scan."""
+    rows = placed(read(docs, "doc_id"), weights, share, cap, tilts)
+    rows = rows.withColumn("first_position", F.when(F.col("taken") > 0, position(F.lit(0))))
+    return rows.orderBy(F.col("first_position").asc_nulls_last(), "_digest").select("doc_id", "size", "source_size", "target", "taken", "first_position")
+
+
+def curriculum(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, tilts: tuple[float, ...] = TILTS
+) -> DataFrame:
+    """The rows of ``docs`` in training order, each as often as the mix takes it (taken / size, rounded half up)."""
+    rows = placed(read(docs, "doc_id", F.struct(*docs.columns).alias("_row")), weights, share, cap, tilts)
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
+    rows = rows.withColumn("_times", times).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    return rows.withColumn("_at", position(F.col("_turn"))).orderBy("_at", "_digest").select("_row.*")

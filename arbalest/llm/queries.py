@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbalest.llm import language_id, licenses, lm_score, mixing, sharding, simhash, substring_dedup, url_filter
+from arbalest.llm import decontamination, language_id, licenses, lm_score, mixing, sharding, simhash, substring_dedup, url_filter
 from arbalest.llm.common import documents, id_remainder
 
 
@@ -36,6 +36,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.leaks(documents(spark, sf_dir), items).drop("th")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op9_lm_score, op10_simhash)
+    named = (op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_lm_score, op10_simhash)
     return {f.__name__: f for f in named}
 
 
