@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbalest.llm import decontamination, language_id, licenses, lm_score, mixing, sharding, simhash, substring_dedup, url_filter
+from arbalest.llm import decontamination, language_id, licenses, lm_score, mixing, sharding, simhash, substring_dedup, topk, url_filter
 from arbalest.llm.common import documents, id_remainder
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return topk.search(vectors, F.col("id") % 100 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", id_remainder(3) == 1)
     languages = language_id.fit(docs.where("not held_out"))
@@ -50,14 +56,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_lm_score, op10_simhash)
+    named = (op1_exact_topk, op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_lm_score, op10_simhash)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op4_license_scan": op4_sql(), "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_mix_sources": OP3_SQL, "op4_license_scan": op4_sql(), "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL}
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS digest,
