@@ -1,7 +1,7 @@
 """Array kernels on Arrow string columns: words, hashes of words, hashes of word windows.
 
 A batch's texts are handled as one byte array, so that numpy's cost is per batch and not per document. Batches are
-cut into slices of a few megabytes; a single longer text forms a slice of its own.
+cut into slices of half a megabyte, which bounds a worker's memory; a single longer text forms a slice of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Odd multipliers of the polynomial hashes (any odd 64-bit values do).
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 

@@ -39,6 +39,8 @@ HEAD = 1 << 18
 #: Kinds of counts: words, and grams at the third and later, second, and first symbol of a text.
 WORD, LATER, SECOND, FIRST = 0, 1, 2, 3
 FLUSH = 1 << 20
+#: Slices for counting; longer ones share one array of gram counts among more bytes.
+COUNT_BYTES = 1 << 21
 
 
 def _symbols(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(counts)], schema=schema)
 
     for batch in batches:
-        for _, _, data, places in K.slices(batch["text"]):
+        for _, _, data, places in K.slices(batch["text"], COUNT_BYTES):
             data = K.LOWER[data]
             starts, ends, _ = K.words(data, places)
             sums[WORD].add(*np.unique(K.word_hashes(data, starts, ends).view(np.int64), return_counts=True))
