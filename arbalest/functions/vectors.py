@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO = 0.0
 
 
+def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row; plainly nested, it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(v: Column | str) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 
@@ -24,20 +31,14 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def scale(v: Column | str, by: Column) -> Column:
-    return F.transform(v, lambda x: x * by)
-
-
 def unit(v: Column | str) -> Column:
     """L2-normalised; a zero vector stays zero."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(F.col(v) if isinstance(v, str) else v)
+    return let(v, lambda u: let(norm(u), lambda n: F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(u)))
 
 
 def floor_unit(v: Column | str, least: float = 1e-6) -> Column:
     """Divided by its norm, or by ``least`` if that is larger."""
-    size = F.greatest(norm(v), F.lit(least))
-    return F.transform(v, lambda x: x / size)
+    return let(v, lambda u: let(F.greatest(norm(u), F.lit(least)), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def combine(a: Column | str, b: Column | str, wa: float, wb: float) -> Column:
@@ -45,7 +46,7 @@ def combine(a: Column | str, b: Column | str, wa: float, wb: float) -> Column:
 
 
 def mean(v: Column) -> Column:
-    return total(v) / F.size(v)
+    return let(v, lambda u: total(u) / F.size(u))
 
 
 def frobenius(a: Column | str, b: Column | str) -> Column:
@@ -58,16 +59,18 @@ def l1(a: Column | str, b: Column | str) -> Column:
 
 def min_max(v: Column | str) -> Column:
     """Scaled to 0..1; a constant vector becomes zeros."""
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(ZERO)))
+    scaled = lambda u, r: F.transform(u, lambda x: F.when(r["hi"] > r["lo"], (x - r["lo"]) / (r["hi"] - r["lo"])).otherwise(F.lit(ZERO)))
+    return let(v, lambda u: let(bounds(u), lambda r: scaled(u, r)))
+
+
+def bounds(v: Column) -> Column:
+    return F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
 
 
 def z_score(v: Column | str, eps: float = 1e-6) -> Column:
     """(x - mean) / (population deviation + eps)."""
-    column = F.col(v) if isinstance(v, str) else v
-    mu = mean(column)
-    sd = F.sqrt(total(F.transform(column, lambda x: (x - mu) * (x - mu))) / F.size(column))
-    return F.transform(column, lambda x: (x - mu) / (sd + F.lit(eps)))
+    spread = lambda u, m: F.sqrt(total(F.transform(u, lambda x: (x - m) * (x - m))) / F.size(u))
+    return let(v, lambda u: let(mean(u), lambda m: let(spread(u, m), lambda s: F.transform(u, lambda x: (x - m) / (s + F.lit(eps))))))
 
 
 def clean(v: Column | str) -> Column:
@@ -81,16 +84,18 @@ def close(a: Column, b: Column, atol: float = 1e-4) -> Column:
 
 
 def entropy(codes: Column) -> Column:
-    """Shannon entropy (nats) of the values of an array, in the order of the distinct values."""
-    n = F.size(codes).cast("double")
-    shares = F.transform(F.array_sort(F.array_distinct(codes)), lambda c: F.size(F.filter(codes, lambda x: x == c)) / n)
-    return -total(F.transform(shares, lambda p: p * F.log(p)))
+    """Shannon entropy (nats) of the values of an array, summed in the order of the values."""
+
+    def shares(c: Column) -> Column:
+        n = lambda v: F.size(F.filter(c, lambda x: x == v)).cast("double") / F.size(c)
+        return total(F.transform(F.array_sort(F.array_distinct(c)), lambda v: let(n(v), lambda p: p * F.log(p))))
+
+    return let(codes, lambda c: -shares(c))
 
 
-def interpolated(v: Column, q: float) -> Column:
-    """Quantile with linear interpolation between the sorted values."""
-    ordered = F.array_sort(v)
-    at = F.lit(q) * (F.size(v) - 1)
+def interpolated(ordered: Column, q: float) -> Column:
+    """Quantile of a sorted array, with linear interpolation."""
+    at = F.lit(q) * (F.size(ordered) - 1)
     lo = F.floor(at)
-    low, high = F.element_at(ordered, (lo + 1).cast("int")), F.element_at(ordered, F.least(lo + 2, F.size(v)).cast("int"))
+    low, high = F.get(ordered, lo.cast("int")), F.get(ordered, F.least(lo + 1, F.size(ordered) - 1).cast("int"))
     return low + (high - low) * (at - lo)

@@ -11,7 +11,8 @@ from arbalest.functions import vectors as V
 def pooled(rows: DataFrame, keys: list[str], vector: str, **how) -> DataFrame:
     """Component-wise aggregates of ``vector`` by ``keys``; ``how`` maps names to aggregate functions of a column."""
     parts = rows.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(*[f("_x").alias(n) for n, f in how.items()])
-    lists = [F.transform(F.sort_array(F.collect_list(F.struct("_i", n))), lambda s, n=n: s[n]).alias(n) for n in how]
+    ordered = lambda n: F.transform(F.sort_array(F.collect_list(F.struct("_i", n))), lambda s: s[n])
+    lists = [ordered(n).alias(n) for n in how]
     return parts.groupBy(*keys).agg(*lists)
 
 

@@ -62,9 +62,9 @@ def row_min_max(scores: DataFrame) -> DataFrame:
 
 def mean_vector(vectors: Column) -> Column:
     """Component means of an array of vectors, summed in order."""
-    first = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
-    sums = F.aggregate(vectors, first, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    return F.transform(sums, lambda x: x / F.size(vectors))
+    first = lambda vs: F.transform(F.element_at(vs, 1), lambda x: F.lit(0.0))
+    sums = lambda vs: F.aggregate(vs, first(vs), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return V.let(vectors, lambda vs: F.transform(sums(vs), lambda x: x / F.size(vs)))
 
 
 def expanded_queries(queries: DataFrame, gallery: DataFrame, scores: DataFrame, k: int = 5, alpha: float = 0.5) -> DataFrame:

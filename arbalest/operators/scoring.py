@@ -64,19 +64,25 @@ def shape_equal(queries: DataFrame, gallery: DataFrame) -> DataFrame:
 
 def digitize(volume: str, bins: int) -> Column:
     """Bin index of each voxel over 0, min-max scaled over these and rounded half to even; null elsewhere."""
-    inside = F.filter(volume, lambda x: x > 0)
-    lo, hi = F.array_min(inside), F.array_max(inside)
-    return F.transform(
-        volume, lambda x: F.when(x > 0, F.when(hi > lo, F.least(F.rint((x - lo) / (hi - lo) * (bins - 1)), F.lit(bins - 1.0))).otherwise(0.0).cast("int"))
-    )
+
+    def scaled(x: Column, r: Column) -> Column:
+        at = F.least(F.rint((x - r["lo"]) / (r["hi"] - r["lo"]) * (bins - 1)), F.lit(bins - 1.0))
+        return F.when(x > 0, F.when(r["hi"] > r["lo"], at).otherwise(0.0).cast("int"))
+
+    return V.let(V.bounds(F.filter(volume, lambda x: x > 0)), lambda r: F.transform(volume, lambda x: scaled(x, r)))
+
+
+def joint_entropies(joint: Column, bins: int) -> Column:
+    """H(A) + H(B) and H(A, B) of joint codes a * bins + b."""
+    each = V.entropy(F.transform(joint, lambda c: F.floor(c / bins))) + V.entropy(F.transform(joint, lambda c: c % bins))
+    return F.struct(each.alias("each"), V.entropy(joint).alias("both"))
 
 
 def nmi(a: Column, b: Column, bins: int) -> Column:
     """(H(A) + H(B)) / H(A, B) where both digitised volumes have a bin; 1 under 2 common voxels, 2 if both are constant."""
     joint = F.filter(F.zip_with(a, b, lambda x, y: x * bins + y), lambda c: c.isNotNull())
-    h = V.entropy(joint)
-    marginal = V.entropy(F.transform(joint, lambda c: F.floor(c / bins))) + V.entropy(F.transform(joint, lambda c: c % bins))
-    return F.when(F.size(joint) < 2, 1.0).when(h < 1e-12, 2.0).otherwise(marginal / h)
+    ratio = lambda h: F.when(h["both"] < 1e-12, 2.0).otherwise(h["each"] / h["both"])
+    return V.let(joint, lambda j: F.when(F.size(j) < 2, 1.0).otherwise(V.let(joint_entropies(j, bins), ratio)))
 
 
 def nmi_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48) -> DataFrame:
@@ -88,29 +94,39 @@ def nmi_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48) -> DataFr
 def robust(volume: str, least: int = 64) -> Column:
     """Clipped to the 1 and 99 % quantiles of the voxels off 0, centred by median, scaled by IQR, clipped to 6; voxels at 0
     stay 0; with fewer than ``least`` voxels off 0 all are 0."""
-    off = lambda x: F.abs(x) > 1e-6
-    values = F.filter(volume, off)
-    lo, hi = V.interpolated(values, 0.01), V.interpolated(values, 0.99)
-    clip = lambda x: F.least(F.greatest(x, lo), hi)
-    clipped = F.transform(values, clip)
-    med, iqr = V.interpolated(clipped, 0.5), V.interpolated(clipped, 0.75) - V.interpolated(clipped, 0.25)
-    out = F.transform(volume, lambda x: F.when(off(x), F.least(F.greatest((clip(x) - med) / F.greatest(iqr, F.lit(1e-6)), F.lit(-6.0)), F.lit(6.0))).otherwise(0.0))
-    return F.when(F.size(values) < least, F.transform(volume, lambda x: F.lit(0.0))).otherwise(out)
+    clip = lambda x, q: F.least(F.greatest(x, q["lo"]), q["hi"])
+    ends = lambda v: F.struct(V.interpolated(v, 0.01).alias("lo"), V.interpolated(v, 0.99).alias("hi"))
+
+    def middle(v: Column) -> Column:
+        iqr = V.interpolated(v, 0.75) - V.interpolated(v, 0.25)
+        return F.struct(V.interpolated(v, 0.5).alias("med"), F.greatest(iqr, F.lit(1e-6)).alias("iqr"))
+
+    def scaled(x: Column, q: Column, m: Column) -> Column:
+        return F.when(F.abs(x) > 1e-6, F.least(F.greatest((clip(x, q) - m["med"]) / m["iqr"], F.lit(-6.0)), F.lit(6.0))).otherwise(0.0)
+
+    def whole(v: Column) -> Column:  # v: sorted voxels off 0; clipping keeps their order
+        inner = lambda q: V.let(middle(F.transform(v, lambda x: clip(x, q))), lambda m: F.transform(volume, lambda x: scaled(x, q, m)))
+        return F.when(F.size(v) < least, F.transform(volume, lambda x: F.lit(0.0))).otherwise(V.let(ends(v), inner))
+
+    return V.let(F.array_sort(F.filter(volume, lambda x: F.abs(x) > 1e-6)), whole)
 
 
 def robust_nmi(a: Column, b: Column, bins: int, least: int) -> Column:
     """NMI of robust volumes over the voxels off 0 in both, binned over the range of these; 0 under ``least`` of them."""
-    both = F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: (F.abs(p["a"]) > 1e-6) & (F.abs(p["b"]) > 1e-6))
+    off = lambda p: (F.abs(p["a"]) > 1e-6) & (F.abs(p["b"]) > 1e-6)
+    both = F.filter(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), off)
+
+    def binned(rows: Column, side: str) -> Column:
+        def place(x: Column, r: Column) -> Column:
+            flat = r["hi"] <= r["lo"]
+            lo, wide = F.when(flat, r["lo"] - 0.5).otherwise(r["lo"]), F.when(flat, 1.0).otherwise(r["hi"] - r["lo"])
+            return F.least(F.floor((x - lo) / wide * bins), F.lit(bins - 1))
 
-    def binned(side: str) -> Column:
-        values = F.transform(both, lambda p: p[side])
-        lo, hi = F.array_min(values), F.array_max(values)
-        lo, hi = F.when(hi > lo, lo).otherwise(lo - 0.5), F.when(hi > lo, hi).otherwise(hi + 0.5)
-        return F.transform(values, lambda x: F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)))
+        return V.let(F.transform(rows, lambda p: p[side]), lambda v: V.let(V.bounds(v), lambda r: F.transform(v, lambda x: place(x, r))))
 
-    joint = F.zip_with(binned("a"), binned("b"), lambda x, y: x * bins + y)
-    marginal = V.entropy(F.transform(joint, lambda c: F.floor(c / bins))) + V.entropy(F.transform(joint, lambda c: c % bins))
-    return F.when(F.size(both) < least, 0.0).otherwise(marginal / F.greatest(V.entropy(joint), F.lit(1e-6)))
+    ratio = lambda h: h["each"] / F.greatest(h["both"], F.lit(1e-6))
+    joint = lambda rows: F.zip_with(binned(rows, "a"), binned(rows, "b"), lambda x, y: x * bins + y)
+    return V.let(both, lambda rows: F.when(F.size(rows) < least, 0.0).otherwise(V.let(joint(rows), lambda j: V.let(joint_entropies(j, bins), ratio))))
 
 
 def robust_nmi_scores(queries: DataFrame, gallery: DataFrame, bins: int = 64, least: int = 64) -> DataFrame:

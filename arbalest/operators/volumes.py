@@ -78,16 +78,20 @@ def sweep(lo: Column, hi: Column, n: int) -> Column:
 
 def percentile_window(v: str, lo: float = 0.01, hi: float = 0.99) -> Column:
     """Voxels over 0 scaled between two of their quantiles to 0..255 (rounded half to even) and clipped; no spread: 0."""
-    values = F.filter(v, lambda x: x > 0)
-    a, b = V.interpolated(values, lo), V.interpolated(values, hi)
-    return F.transform(v, lambda x: F.coalesce(F.when(b > a, F.rint(F.least(F.greatest((x - a) / (b - a), F.lit(0.0)), F.lit(1.0)) * 255)), F.lit(0.0)).cast("int"))
+    ends = lambda u: F.struct(V.interpolated(u, lo).alias("lo"), V.interpolated(u, hi).alias("hi"))
+
+    def place(x: Column, r: Column) -> Column:
+        share = F.least(F.greatest((x - r["lo"]) / (r["hi"] - r["lo"]), F.lit(0.0)), F.lit(1.0))
+        return F.coalesce(F.when(r["hi"] > r["lo"], F.rint(share * 255)), F.lit(0.0)).cast("int")
+
+    positive = F.array_sort(F.filter(v, lambda x: x > 0))
+    return V.let(positive, lambda u: V.let(ends(u), lambda r: F.transform(v, lambda x: place(x, r))))
 
 
 def rank_window(v: str, lo: float = 0.02, hi: float = 0.98) -> Column:
     """The values at the two shares of the sorted array (index truncated)."""
-    ordered = F.array_sort(v)
-    at = lambda q: F.element_at(ordered, F.floor(F.lit(q) * (F.size(v) - 1)).cast("int") + 1)
-    return F.struct(at(lo).alias("low"), at(hi).alias("high"))
+    at = lambda u, q: F.get(u, F.floor(F.lit(q) * (F.size(u) - 1)).cast("int"))
+    return V.let(F.array_sort(v), lambda u: F.struct(at(u, lo).alias("low"), at(u, hi).alias("high")))
 
 
 def voxel_spacing(affine: str) -> Column:

@@ -1 +1,135 @@
-"""Queries."""
+"""Queries on re-ranking and fusion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from arbalest.operators import fusion, ranking, rerank, scoring
+from arbalest.operators.scoring import POOL
+from arbalest.plans import cascades, views
+from arbalest.plans.catalogue import query
+from arbalest.plans.scoring import NCC, RANK, shown, top
+from arbalest.plans.views import SQL
+
+KEYS = "dataset, split, query_id, target_id"
+
+CSLS = """, qn AS (SELECT dataset, split, query_id, avg(score) AS a FROM (SELECT *, row_number() OVER (PARTITION BY dataset, split, query_id ORDER BY score DESC, target_id) AS k FROM s) WHERE k <= 5 GROUP BY ALL),
+tn AS (SELECT dataset, split, target_id, avg(score) AS b FROM (SELECT *, row_number() OVER (PARTITION BY dataset, split, target_id ORDER BY score DESC, query_id) AS k FROM s) WHERE k <= 5 GROUP BY ALL),
+cs AS (SELECT dataset, split, query_id, target_id, 2 * score - a - b AS score FROM s JOIN qn USING (dataset, split, query_id) JOIN tn USING (dataset, split, target_id))
+"""
+
+
+@query(SQL + CSLS + top("cs"))
+def csls_rank(spark, d):
+    return shown(rerank.csls(views.scores(spark, d), 5))
+
+
+def sinkhorn_sql(source: str, rounds: int, tau: float) -> str:
+    out = f", k0 AS (SELECT {KEYS}, exp(score / {tau}::DOUBLE - max(score / {tau}::DOUBLE) OVER (PARTITION BY dataset, split)) AS score FROM {source})"
+    for i in range(rounds):
+        a, b, c = f"k{2 * i}", f"k{2 * i + 1}", f"k{2 * i + 2}"
+        out += f", {b} AS (SELECT {KEYS}, score / (sum(score) OVER (PARTITION BY dataset, split, query_id) + 1e-12) AS score FROM {a})"
+        out += f", {c} AS (SELECT {KEYS}, score / (sum(score) OVER (PARTITION BY dataset, split, target_id) + 1e-12) AS score FROM {b})"
+    return out
+
+
+@query(SQL + sinkhorn_sql("s", 3, 0.1) + top("k6"))
+def sinkhorn3_rank(spark, d):
+    return shown(rerank.sinkhorn_steps(views.scores(spark, d), 0.1, 3))
+
+
+@query(SQL + sinkhorn_sql("s", 10, 0.1) + top("k20"))
+def sinkhorn_rank(spark, d):
+    return shown(rerank.sinkhorn(views.scores(spark, d), 0.1, 10))
+
+
+@query(SQL + CSLS + sinkhorn_sql("cs", 3, 0.1) + top("k6"))
+def descriptor_cascade(spark, d):
+    return shown(cascades.descriptor_scores(views.queries(spark, d), views.linked(spark, d), 5, 0.1, 3))
+
+
+@query(NCC + f", rn AS (SELECT *, {RANK} AS rank FROM nc), f AS (SELECT {KEYS}, 1.0::DOUBLE / (60 + rank) AS w FROM r UNION ALL SELECT {KEYS}, 2.0::DOUBLE / (60 + rank) FROM rn), rf AS (SELECT {KEYS}, sum(w) AS score FROM f GROUP BY ALL)" + top("rf"))
+def rrf_fusion(spark, d):
+    q, t = views.queries(spark, d), views.linked(spark, d)
+    return shown(fusion.reciprocal_rank_fusion([(ranking.rank(scoring.dot_scores(q, t)), 1.0), (ranking.rank(scoring.ncc_scores(q, t)), 2.0)]))
+
+
+@query(SQL + f", a AS (SELECT * FROM r WHERE rank <= 20), b AS (SELECT * FROM r0 WHERE rank <= 20), re AS (SELECT {KEYS}, 0.5::DOUBLE * coalesce(1.0::DOUBLE / a.rank, 0) + 0.5::DOUBLE * coalesce(1.0::DOUBLE / b.rank, 0) AS score FROM a FULL JOIN b USING ({KEYS}))" + top("re"))
+def rank_ensemble(spark, d):
+    return shown(fusion.rank_ensemble(ranking.rank(views.scores(spark, d), 20), ranking.rank(views.raw_scores(spark, d), 20)))
+
+
+@query(SQL + """, b AS (SELECT r.dataset, r.split, query_id, i, avg(x) AS m FROM (SELECT * FROM r WHERE rank <= 5) r JOIN (SELECT target_id, unnest(tv) AS x, unnest(range(64)) AS i FROM lk) USING (target_id) GROUP BY ALL),
+c AS (SELECT dataset, split, query_id, list(0.5::DOUBLE * qv[i + 1] + 0.5::DOUBLE * m ORDER BY i) AS c FROM b JOIN (SELECT query_id, qv FROM q) USING (query_id) GROUP BY ALL),
+x AS (SELECT dataset, split, query_id, target_id, list_dot_product(c, tv) / sqrt(list_dot_product(c, c)) AS score FROM c JOIN lk USING (dataset, split))""" + top("x"))
+def alpha_qe(spark, d):
+    q, t = views.queries(spark, d), views.linked(spark, d)
+    return shown(scoring.dot_scores(rerank.expanded_queries(q, t, scoring.dot_scores(q, t)), t))
+
+
+@query(SQL + """, gg AS (SELECT a.dataset, a.split, a.target_id, b.target_id AS nb, CASE WHEN a.target_id = b.target_id THEN -1.0::DOUBLE ELSE list_dot_product(a.tv, b.tv) END AS s FROM lk a JOIN lk b USING (dataset, split)),
+kn AS (SELECT dataset, split, target_id, list(nb ORDER BY k) AS knn FROM (SELECT *, row_number() OVER (PARTITION BY dataset, split, target_id ORDER BY round(s, 9) DESC, nb) AS k FROM gg) WHERE k <= 20 GROUP BY ALL),
+b AS (SELECT * FROM r WHERE rank <= 20), own AS (SELECT dataset, split, query_id, list(target_id) AS own FROM b GROUP BY ALL),
+mu AS (SELECT b.*, knn, len(list_intersect(own, knn)) >= 10 AS ok FROM b JOIN own USING (dataset, split, query_id) JOIN kn USING (dataset, split, target_id)),
+ch AS (SELECT * FROM mu JOIN (SELECT dataset, split, query_id, bool_or(ok) AS any_ok FROM mu GROUP BY ALL) USING (dataset, split, query_id) WHERE CASE WHEN any_ok THEN ok ELSE rank <= 6 END),
+st AS (SELECT dataset, split, query_id, list_distinct(flatten(list(list_prepend(target_id, knn[1:6])))) AS st FROM ch GROUP BY ALL),
+x AS (SELECT s.dataset, s.split, s.query_id, s.target_id, 0.35::DOUBLE * score + 0.65::DOUBLE * (len(list_intersect(st, knn)) / (len(st) + len(knn) - len(list_intersect(st, knn)) + 1e-10)) AS score
+      FROM s JOIN st USING (dataset, split, query_id) JOIN kn USING (dataset, split, target_id))""" + top("x"))
+def k_reciprocal(spark, d):
+    return shown(rerank.k_reciprocal(views.scores(spark, d), views.linked(spark, d)))
+
+
+SLICED = """, qs AS (SELECT dataset, split, query_id, k, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS a FROM (SELECT dataset, split, query_id, k, qv[k * 16 + 1:k * 16 + 16] AS w FROM q, (SELECT unnest(range(4)) AS k))),
+ts AS (SELECT dataset, split, target_id, k, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS b FROM (SELECT dataset, split, target_id, k, tv[k * 16 + 1:k * 16 + 16] AS w FROM lk, (SELECT unnest(range(4)) AS k))),
+b AS (SELECT * FROM r WHERE rank <= 10), ms AS (SELECT dataset, split, query_id, target_id, avg(m) AS m FROM (SELECT b.dataset, b.split, b.query_id, b.target_id, qs.k, max(list_dot_product(a, ts.b)) AS m FROM b JOIN qs USING (dataset, split, query_id) JOIN ts USING (dataset, split, target_id) GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT s.dataset, s.split, s.query_id, s.target_id, CASE WHEN m IS NULL THEN score ELSE 0.6::DOUBLE * score + 0.4::DOUBLE * m END AS score FROM s LEFT JOIN ms USING (dataset, split, query_id, target_id))
+"""
+
+
+@query(SQL + SLICED + top("x"))
+def maxsim_blend(spark, d):
+    q = views.slices(views.queries(spark, d), "qv", "q_slices").select(*POOL, "query_id", "q_slices")
+    t = views.slices(views.linked(spark, d), "tv", "t_slices").select(*POOL, "target_id", "t_slices")
+    return shown(rerank.maxsim_blend(views.scores(spark, d), q, t, 10))
+
+
+@query(NCC + f", x AS (SELECT r.dataset, r.split, r.query_id, r.target_id, row_number() OVER (PARTITION BY r.dataset, r.split, r.query_id ORDER BY r.rank > 10, CASE WHEN r.rank <= 10 THEN -round(nc.score, 9) END, r.rank) AS rank FROM r JOIN nc USING ({KEYS})) SELECT * FROM x WHERE rank <= 15")
+def shortlist_tail(spark, d):
+    q, t = views.queries(spark, d), views.linked(spark, d)
+    first = ranking.rank(scoring.dot_scores(q, t))
+    again = scoring.ncc_scores(q, t).join(first.where("rank <= 10").select(*scoring.PAIR), scoring.PAIR, "left_semi")
+    out = ranking.shortlist_then_tail(first, again)
+    return out.where("rank <= 15").select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
+
+
+@query(SQL + f"SELECT {KEYS}, round(score, 6) AS score FROM r WHERE rank = 1 AND round(score, 9) >= 0.65::DOUBLE AND dataset IN ('dataset2', 'dataset3')")
+def pseudo_pairs(spark, d):
+    return fusion.pseudo_pairs(views.scores(spark, d), 0.65, ("dataset2", "dataset3")).withColumn("score", F.round("score", 6))
+
+
+@query(SQL + f", n AS (SELECT *, {RANK} AS k FROM s ANTI JOIN truth USING ({KEYS})) SELECT {KEYS}, round(score, 6) AS score, k AS rank FROM n WHERE k <= 3")
+def hard_negatives(spark, d):
+    got = fusion.hard_negatives(views.scores(spark, d), views.truth(spark, d))
+    return got.select(*scoring.PAIR, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(NCC + f""", fs AS (SELECT {KEYS}, -sqrt(list_sum(list_transform(range(1, 17), lambda i: (qv[i] - tv[i]) * (qv[i] - tv[i])))) AS score FROM q JOIN lk USING (dataset, split)),
+x AS (SELECT {KEYS}, score FROM s WHERE dataset = 'dataset1' UNION ALL SELECT {KEYS}, score FROM nc WHERE dataset = 'dataset2' UNION ALL SELECT {KEYS}, score FROM fs WHERE dataset = 'dataset3')""" + top("x"))
+def dataset_dispatch(spark, d):
+    q, t = views.queries(spark, d), views.linked(spark, d)
+    sides = q.withColumn("qa", F.slice("qv", 1, 16)), t.withColumn("ta", F.slice("tv", 1, 16))
+    return shown(ranking.dispatch({"dataset1": scoring.dot_scores(q, t), "dataset2": scoring.ncc_scores(q, t), "dataset3": scoring.affine_scores(*sides)}))
+
+
+@query()
+def shortlist_cascade(spark, d):
+    """Without SQL: it goes through the aligner's kernel; the tests hold it against numpy."""
+    got = cascades.dataset2_ranking(views.queries(spark, d), views.linked(spark, d), views.SHAPE, k=10)
+    return got.where("rank <= 10").select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
+
+
+@query(SQL + ", n AS (SELECT dataset, split, target_id, b.target_id AS neighbour, row_number() OVER (PARTITION BY dataset, split, a.target_id ORDER BY round(CASE WHEN a.target_id = b.target_id THEN -1.0::DOUBLE ELSE list_dot_product(a.tv, b.tv) END, 9) DESC, b.target_id) AS rank FROM lk a JOIN (SELECT dataset, split, target_id, tv FROM lk) b USING (dataset, split)) SELECT * FROM n WHERE rank <= 6".replace("dataset, split, target_id, b.target_id AS", "a.dataset, a.split, a.target_id, b.target_id AS").replace("PARTITION BY dataset, split, a.", "PARTITION BY a.dataset, a.split, a."))
+def gallery_neighbours(spark, d):
+    return scoring.neighbours(views.linked(spark, d), 6).withColumn("rank", F.col("rank").cast("long"))
+
+
