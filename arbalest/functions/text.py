@@ -50,8 +50,9 @@ def percent_label(z: Column, lo: Column, hi: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """1536 -> 1.5 KB."""
-    out, names = F.format_string("%.1f TB", size / 1024.0**4), ["B", "KB", "MB", "GB"]
-    for i in reversed(range(4)):
-        out = F.when(size < 1024.0 ** (i + 1), F.format_string(f"%.1f {names[i]}", size / 1024.0**i)).otherwise(out)
+    """1536 -> 1.5 KB; one digit, rounded half to even."""
+    one = lambda i, name: F.concat(F.bround(size / 1024.0**i, 1).cast("string"), F.lit(f" {name}"))
+    out = one(4, "TB")
+    for i, name in reversed(list(enumerate(["B", "KB", "MB", "GB"]))):
+        out = F.when(size < 1024.0 ** (i + 1), one(i, name)).otherwise(out)
     return out
