@@ -185,7 +185,7 @@ def labelled(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     rows = labelled(docs, width, radius)
-    firsts = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    firsts = stage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a table: the join can split a hot root
     return rows.join(firsts, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
