@@ -204,6 +204,18 @@ def _score(shared):
     return run
 
 
+def most_frequent(words: DataFrame, head: int) -> DataFrame:
+    """At most ``head`` words: all whose counts reach a power of 2**(1/8) that no more words reach. No task sees all words."""
+    steps = words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("n")).collect()  # a few hundred rows
+    least, held = None, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        held += r.n
+        if held > head:
+            break
+        least = r.step
+    return words.where(F.floor(F.log2("n") * 8) >= least) if least is not None else words.limit(0)
+
+
 def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -216,7 +228,7 @@ def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD) -> DataFrame:
     train, vocabulary = n.get(WORD, 0) + texts, kinds + (texts > 0)
     below = float(train + 0.1 * (vocabulary + 1))
     words = counts.where(F.col("kind") == WORD).select("key", "n")
-    frequent = words.orderBy(F.desc("n"), "key").limit(head).toArrow()
+    frequent = most_frequent(words, head).toArrow()
     keys, log = frequent["key"].to_numpy(), np.log10((frequent["n"].to_numpy() + 0.1) / below)
     order = np.argsort(keys)
     grams = counts.where(F.col("kind") != WORD).toArrow()  # 2**16 * 257 rows at most
