@@ -327,8 +327,8 @@ def test_lm_scores(docs, empty):
         base = sum(math.log10((counts[t] + 0.1) / (total + 0.1 * (kinds + 1))) for t in tokens)
         score = sum(math.log10(p(([n2[s[k - 2], s[k - 1]]] if k > 1 else []) + ([n1[s[k - 1]]] if k else []) + [n0], x)) for k, x in enumerate(s))
         want.append((len(tokens), sum(counts[t] > 0 for t in tokens), base, score, held(r[0])))
-    key = lambda r: (r[0], r[1], round(r[2], 3), round(r[3], 3))
-    for r, w in zip(sorted(got, key=lambda r: key((r.n_tokens, r.n_known, r.base_score, r.score))), sorted(want, key=key)):
+    key = lambda r: (r[0], r[1], round(r[2], 3), round(r[3], 3), r[4])
+    for r, w in zip(sorted(got, key=lambda r: key((r.n_tokens, r.n_known, r.base_score, r.score, r.held_out))), sorted(want, key=key)):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (w[0], w[1], total, w[4])
         assert math.isclose(r.base_score, w[2], rel_tol=1e-9) and math.isclose(r.score, w[3], rel_tol=1e-6)
     assert lm_score.score(empty).collect() == []
