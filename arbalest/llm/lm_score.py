@@ -1,10 +1,15 @@
 """Language-model scoring: a smoothed unigram base, and prediction by partial matching (PPM) over bytes.
 
-The PPM model is pretrained: contexts of up to two bytes, counted over all training texts. A symbol is coded in its
+The PPM model is pretrained: contexts of up to three bytes, counted over all training texts. A symbol is coded in its
 longest seen context; what that context has not seen costs an escape (method C: distinct / (total + distinct)), after
 which the next shorter context is used without the symbols already ruled out (exclusion), down to the uniform order -1.
-Every text ends in a symbol of its own. The counts of all contexts have at most 2**16 * 257 cells, whatever the corpus,
-so the whole trie is turned into one table of log probabilities and broadcast.
+Every text ends in a symbol of its own.
+
+Contexts of up to two bytes have at most 2**16 * 257 cells, whatever the corpus; they become one broadcast table of
+log probabilities. As a context's symbols were all seen in its shorter contexts too, a three-byte context needs only its own
+seen symbols and two corrections to that table, for symbols that its two-byte context has seen and for others. These cells are
+broadcast in parts of about ``MAX_CELLS``, by a hash of the context; one pass over the texts serves each part, and a
+position is scored in the pass of its context.
 
 Words have no such bound. Their counts stay a distributed table keyed by a 64-bit hash; the ``HEAD`` most frequent
 ones are broadcast, the tokens beyond them are joined with the table. The result does not depend on ``HEAD``.
@@ -21,6 +26,7 @@ Contract of ``score``:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +42,12 @@ FOLDS = 10
 END = 256
 SYMBOLS = 257
 HEAD = 1 << 18
-#: Kinds of counts: words, and grams at the third and later, second, and first symbol of a text.
-WORD, LATER, SECOND, FIRST = 0, 1, 2, 3
+NO_ID = -(1 << 63)
+#: Kinds of counts: words, and grams at the fourth and later, third, second, and first symbol of a text.
+WORD, LATER, THIRD, SECOND, FIRST = 0, 1, 2, 3, 4
+#: Codes: contexts of n bytes are numbers in base 256; a gram is its context * SYMBOLS + symbol.
+PAIRS = (1 << 16) * SYMBOLS
+MAX_CELLS = 1 << 21
 FLUSH = 1 << 20
 #: Slices for counting; longer ones share one array of gram counts among more bytes.
 COUNT_BYTES = 1 << 21
@@ -51,28 +61,39 @@ def _symbols(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, places[:-1] + np.arange(n)
 
 
+def _dense(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, index of each value)."""
+    if limit > max(1 << 23, 8 * len(values)):
+        return np.unique(values, return_inverse=True)
+    seen = np.bincount(values, minlength=1) > 0
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+
+
+def _edges(symbols: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Kind of each place: FIRST, SECOND, THIRD or LATER symbol of its text."""
+    kind = np.full(len(symbols), LATER, np.int8)
+    for k, name in ((2, THIRD), (1, SECOND), (0, FIRST)):
+        at = firsts + k
+        kind[at[at < np.append(firsts[1:], len(symbols))]] = name
+    return kind
+
+
 def _grams(symbols: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, codes, counts) of the grams of some texts."""
-    edge = np.zeros(len(symbols), np.int8)
-    ends = np.append(firsts[1:], len(symbols))
-    edge[firsts] = FIRST
-    second = firsts[firsts + 1 < ends] + 1
-    edge[second] = SECOND
-    at = np.flatnonzero(edge == 0)
-    used = np.flatnonzero(np.bincount(symbols, minlength=SYMBOLS))
+    kind = _edges(symbols, firsts)
+    used, s = _dense(symbols, SYMBOLS)
     a = len(used)
-    small = np.zeros(SYMBOLS, np.int64)
-    small[used] = np.arange(a)
-    s = small[symbols]
-    codes = (s[at - 2] * a + s[at - 1]) * a + s[at] if len(at) else at
-    if a**3 <= max(1 << 22, 4 * len(symbols)):
-        counts = np.bincount(codes)
-        codes = np.flatnonzero(counts)
-        counts = counts[codes]
-    else:
-        codes, counts = np.unique(codes, return_counts=True)
-    yield LATER, (used[codes // (a * a)] * 256 + used[codes // a % a]) * SYMBOLS + used[codes % a], counts
-    yield (SECOND, *np.unique(symbols[second - 1] * SYMBOLS + symbols[second], return_counts=True))
+    at = np.flatnonzero(kind == LATER)
+    if len(at):
+        contexts, c = _dense((s[at - 3] * a + s[at - 2]) * a + s[at - 1], a**3)
+        codes, index = _dense(c * a + s[at], len(contexts) * a)
+        x, y = contexts[codes // a], codes % a
+        context = (used[x // (a * a)] * 256 + used[x // a % a]) * 256 + used[x % a]
+        yield LATER, context * SYMBOLS + used[y], np.bincount(index)
+    at = np.flatnonzero(kind == THIRD)
+    yield (THIRD, *np.unique((symbols[at - 2] * 256 + symbols[at - 1]) * SYMBOLS + symbols[at], return_counts=True))
+    at = np.flatnonzero(kind == SECOND)
+    yield (SECOND, *np.unique(symbols[at - 1] * SYMBOLS + symbols[at], return_counts=True))
     yield (FIRST, *np.unique(symbols[firsts], return_counts=True))
 
 
@@ -100,7 +121,7 @@ class _Sums:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
-    sums = {kind: _Sums() for kind in (WORD, LATER, SECOND, FIRST)}
+    sums = {kind: _Sums() for kind in (WORD, LATER, THIRD, SECOND, FIRST)}
 
     def out(kind: int) -> pa.RecordBatch:
         keys, counts = sums[kind].merged()
@@ -122,17 +143,77 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(kind)
 
 
-def ppm_table(kinds: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 probabilities by context row and symbol, row of two bytes, row of one byte); row 0 is the empty context."""
-    later, second, first = ((keys[kinds == k], counts[kinds == k].astype(np.float64)) for k in (LATER, SECOND, FIRST))
-    n1, n0 = np.zeros((256, SYMBOLS)), np.zeros(SYMBOLS)
-    np.add.at(n1, (later[0] // SYMBOLS % 256, later[0] % SYMBOLS), later[1])
-    np.add.at(n1, (second[0] // SYMBOLS, second[0] % SYMBOLS), second[1])
-    np.add.at(n0, first[0], first[1])
-    n0 += n1.sum(axis=0)
-
-    def through(*orders: np.ndarray) -> np.ndarray:
-        """Counts of each order, longest first, each (contexts, symbols)."""
+class Lookup:
+    """Places of 64-bit keys: an open-addressing table of distinct non-negative keys, probed for many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, U(64 - bits)
+        self.slots, self.index = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = keys[left[free]]  # of keys that meet, the last stays
+            self.index[slot[free]] = left[free]
+            lost = self.slots[slot] != keys[left]
+            left, slot = left[lost], (slot[lost] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(U) * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key among the given ones, or -1."""
+        slot = self._slot(keys)
+        held = self.slots[slot]
+        out = np.where(held == keys, self.index[slot], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            held = self.slots[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.index[slot[hit]]
+            on = ~hit & (held >= 0)
+            left, slot = left[on], slot[on]
+        return out
+
+
+class Short:
+    """The orders -1 to 2 as a table: log10 probabilities by context row and symbol; row 0 is the empty context."""
+
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], first: tuple[np.ndarray, np.ndarray]):
+        n1, n0 = np.zeros((256, SYMBOLS)), np.zeros(SYMBOLS)
+        np.add.at(n1, (pairs[0] // SYMBOLS % 256, pairs[0] % SYMBOLS), pairs[1])
+        np.add.at(n1, (second[0] // SYMBOLS, second[0] % SYMBOLS), second[1])
+        np.add.at(n0, first[0], first[1])
+        n0 += n1.sum(axis=0)
+        rows = [self._through(n0[None, :])]
+        one = np.flatnonzero(n1.any(axis=1))
+        self.row1 = np.zeros(256, np.int32)
+        self.row1[one] = 1 + np.arange(len(one))
+        if len(one):
+            rows.append(self._through(n1[one], np.broadcast_to(n0, (len(one), SYMBOLS))))
+        order = np.argsort(pairs[0], kind="stable")
+        self.codes, self.counts = pairs[0][order], pairs[1][order].astype(np.float64)
+        self.contexts, starts = np.unique(self.codes // SYMBOLS, return_index=True)
+        self.total = np.add.reduceat(self.counts, starts) if len(starts) else np.zeros(0)
+        self.kinds = np.diff(np.append(starts, len(self.codes)))
+        self.row2 = np.tile(self.row1, 256)  # an unseen context has no cost: its last byte decides
+        self.base = 1 + len(one)
+        self.row2[self.contexts] = self.base + np.arange(len(self.contexts))
+        for at in range(0, len(self.contexts), 4096):
+            part = self.contexts[at : at + 4096]
+            lo, hi = np.searchsorted(self.codes, [part[0] * SYMBOLS, (part[-1] + 1) * SYMBOLS])
+            n2 = np.zeros((len(part), SYMBOLS))
+            n2[np.searchsorted(part, self.codes[lo:hi] // SYMBOLS), self.codes[lo:hi] % SYMBOLS] = self.counts[lo:hi]
+            rows.append(self._through(n2, n1[part % 256], np.broadcast_to(n0, (len(part), SYMBOLS))))
+        self.table = np.concatenate(rows)
+        self.seen2 = np.zeros(self.table.shape, bool)
+        self.seen2[self.row2[self.codes // SYMBOLS], self.codes % SYMBOLS] = True
+
+    @staticmethod
+    def _through(*orders: np.ndarray) -> np.ndarray:
+        """From the counts of each order, longest first, each (contexts, symbols)."""
         ruled = np.zeros(orders[0].shape, bool)
         p, left = np.zeros(orders[0].shape), np.ones((len(orders[0]), 1))
         for n in orders:
@@ -145,44 +226,65 @@ def ppm_table(kinds: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[
         p += np.where(ruled, 0, left / np.maximum((~ruled).sum(axis=1, keepdims=True), 1))
         return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
-    rows = [through(n0[None, :])]
-    one = np.flatnonzero(n1.any(axis=1))
-    row1 = np.zeros(256, np.int64)
-    row1[one] = 1 + np.arange(len(one))
-    if len(one):
-        rows.append(through(n1[one], np.broadcast_to(n0, (len(one), SYMBOLS))))
-    contexts = np.unique(later[0] // SYMBOLS)
-    row2 = np.tile(row1, 256)  # an unseen context has no cost: its last byte decides
-    row2[contexts] = 1 + len(one) + np.arange(len(contexts))
-    order = np.argsort(later[0], kind="stable")
-    codes, values = later[0][order], later[1][order]
-    for at in range(0, len(contexts), 4096):
-        part = contexts[at : at + 4096]
-        lo, hi = np.searchsorted(codes, [part[0] * SYMBOLS, (part[-1] + 1) * SYMBOLS])
-        n2 = np.zeros((len(part), SYMBOLS))
-        n2[np.searchsorted(part, codes[lo:hi] // SYMBOLS), codes[lo:hi] % SYMBOLS] = values[lo:hi]
-        rows.append(through(n2, n1[part % 256], np.broadcast_to(n0, (len(part), SYMBOLS))))
-    return np.concatenate(rows), row2, row1
-
-
-def ppm_scores(data: np.ndarray, places: np.ndarray, model: tuple[np.ndarray, ...]) -> np.ndarray:
-    """log10 probability of each text and its end."""
-    table, row2, row1 = model
+
+class Long:
+    """Order 3 in one part: own log10 probabilities of the seen cells, and the corrections of the others."""
+
+    def __init__(self, short: Short, codes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order].astype(np.float64)
+        contexts, starts = np.unique(codes // SYMBOLS, return_index=True)
+        kinds = np.diff(np.append(starts, len(codes)))
+        add = lambda v: np.add.reduceat(v, starts) if len(starts) else np.zeros(0)
+        total = add(counts)
+        below = short.counts[np.searchsorted(short.codes, codes % PAIRS)]  # each cell's symbol in the shorter context
+        at = np.searchsorted(short.contexts, contexts % (1 << 16))
+        total2, kinds2 = short.total[at], short.kinds[at]
+        left, fresh = total2 - add(below), kinds2 - kinds  # what the shorter context has beyond this one
+        escape, escape2 = np.log10(kinds / (total + kinds)), np.log10(kinds2 / (total2 + kinds2))
+        rest = np.maximum(left + fresh, 1)
+        self.seen = (escape + np.log10(total2 + kinds2) - np.log10(rest)).astype(np.float32)
+        self.unseen = (escape + np.where(fresh > 0, np.log10(np.maximum(fresh, 1) / rest), 0) - escape2).astype(np.float32)
+        self.cell = np.log10(counts / np.repeat(total + kinds, kinds)).astype(np.float32)
+        self.contexts, self.cells = Lookup(contexts), Lookup(codes)
+
+
+def ppm_scores(data: np.ndarray, places: np.ndarray, short: Short, long: Long, part: int, parts: int) -> np.ndarray:
+    """log10 probability of each text and its end, as far as its positions belong to the part."""
     symbols, firsts = _symbols(data, places)
+    kind, low = _edges(symbols, firsts), symbols & 255
     row = np.zeros(len(symbols), np.int64)
-    low = symbols & 255
-    row[2:] = row2[low[:-2] * 256 + low[1:-1]]
-    row[firsts] = 0
-    second = firsts[firsts + 1 < np.append(firsts[1:], len(symbols))] + 1
-    row[second] = row1[symbols[second - 1]]
-    return np.add.reduceat(table.ravel()[row * SYMBOLS + symbols].astype(np.float64), firsts)
+    row[2:] = short.row2[low[:-2] * 256 + low[1:-1]]
+    row[kind == FIRST] = 0
+    second = np.flatnonzero(kind == SECOND)
+    row[second] = short.row1[symbols[second - 1]]
+    cell = row * SYMBOLS + symbols
+    logs = short.table.ravel()[cell].astype(np.float64)
+    at = np.flatnonzero(kind == LATER)
+    context = (low[at - 3] * 256 + low[at - 2]) * 256 + low[at - 1]
+    if parts > 1:
+        own = part_of(context, parts) == part
+        logs[at[~own]] = 0
+        if part:
+            logs[kind != LATER] = 0
+        at, context = at[own], context[own]
+    place = long.contexts.find(context)
+    at, context, place = at[place >= 0], context[place >= 0], place[place >= 0]
+    hit = long.cells.find(context * SYMBOLS + symbols[at])
+    shift = np.where(short.seen2.ravel()[cell[at]], long.seen[place], long.unseen[place])
+    logs[at] = np.where(hit >= 0, long.cell[hit] if len(long.cell) else 0, logs[at] + shift)
+    return np.add.reduceat(logs, firsts)
+
+
+def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
+    return (contexts * 40503 >> 8) % parts
 
 
 def _score(shared):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("id", pa.int64()), ("th", pa.int64()), ("tail", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, logs, end_known, end_log, model = shared.value
+        head, logs, end_known, end_log, short, long, parts = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, places in K.slices(batch["text"]):
@@ -197,13 +299,28 @@ def _score(shared):
                 tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts - n_head)).astype(np.int32)), pa.array(hashes[~known]))
                 yield pa.record_batch(
                     [pa.array(np.arange(row, row + hi - lo)), batch["doc_id"].slice(lo, hi - lo), batch["held_out"].slice(lo, hi - lo), pa.array(counts + 1),
-                     pa.array(n_head + end_known), pa.array(base), pa.array(ppm_scores(data, places, model)), tail], schema=schema
+                     pa.array(n_head + end_known), pa.array(base), pa.array(ppm_scores(data, places, short, long, 0, parts)),
+                     batch["id"].slice(lo, hi - lo), batch["th"].slice(lo, hi - lo), tail], schema=schema
                 )
                 row += hi - lo
 
     return run
 
 
+def _further(shared, part: int):
+    """The share of one further part in each text's score."""
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("part", pa.int32()), ("more", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, long, parts = shared.value
+        for batch in batches:
+            for lo, hi, data, places in K.slices(batch["text"]):
+                more = ppm_scores(K.LOWER[data], places, short, long, part, parts)
+                yield pa.record_batch([batch["id"].slice(lo, hi - lo), batch["th"].slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(more)], schema=schema)
+
+    return run
+
+
 def most_frequent(words: DataFrame, head: int) -> DataFrame:
     """At most ``head`` words: all whose counts reach a power of 2**(1/8) that no more words reach. No task sees all words."""
     steps = words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("n")).collect()  # a few hundred rows
@@ -216,10 +333,11 @@ def most_frequent(words: DataFrame, head: int) -> DataFrame:
     return words.where(F.floor(F.log2("n") * 8) >= least) if least is not None else words.limit(0)
 
 
-def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(folds) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
     counts = rows.where("not held_out").select("text").mapInArrow(_count, "kind byte, key long, n long")
     counts = stage(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # four rows
@@ -231,16 +349,25 @@ def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD) -> DataFrame:
     frequent = most_frequent(words, head).toArrow()
     keys, log = frequent["key"].to_numpy(), np.log10((frequent["n"].to_numpy() + 0.1) / below)
     order = np.argsort(keys)
-    grams = counts.where(F.col("kind") != WORD).toArrow()  # 2**16 * 257 rows at most
-    model = ppm_table(*(grams[c].to_numpy() for c in ("kind", "key", "n")))
-    shared = spark.sparkContext.broadcast((keys[order], log[order], int(texts > 0), float(np.log10((texts + 0.1) / below)), model))
-
-    found = stage(rows.mapInArrow(_score(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>"))
+    cells = counts.where(F.col("kind") == LATER).select("key", "n")
+    pairs = counts.where(F.col("kind").isin(LATER, THIRD)).groupBy((F.col("key") % PAIRS).alias("key")).agg(F.sum("n").alias("n"))
+    arrays = lambda df: (lambda t: (t["key"].to_numpy(), t["n"].to_numpy()))(df.select("key", "n").toArrow())
+    short = Short(arrays(pairs), *(arrays(counts.where(F.col("kind") == k)) for k in (SECOND, FIRST)))  # 2**16 * 257 rows at most
+    parts = 1 + {r.kind: r.v for r in totals}.get(LATER, 0) // max_cells
+    in_part = F.pmod(F.shiftright(F.floor(F.col("key") / SYMBOLS) * 40503, 8), F.lit(parts))
+    long = lambda p: Long(short, *arrays(cells.where(in_part == p)))
+    shared = spark.sparkContext.broadcast((keys[order], log[order], int(texts > 0), float(np.log10((texts + 0.1) / below)), short, long(0), parts))
+    found = stage(rows.mapInArrow(_score(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, id long, th long, tail array<long>"))
+    further = [rows.mapInArrow(_further(spark.sparkContext.broadcast((short, long(p), parts)), p), "id long, th long, part int, more double") for p in range(1, parts)]
     tail = found.select("row", F.explode("tail").alias("key")).join(words, "key", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1).cast("double")) / F.lit(below))).alias("rest"), F.count("n").alias("more")
     )
-    return found.drop("tail").join(tail, "row", "left").select(
+    out = found.drop("tail").join(tail, "row", "left")
+    if further:  # rows of equal id and text have equal shares
+        each = reduce(DataFrame.union, further).groupBy("id", "th", "part").agg(F.first("more").alias("more"))
+        out = out.join(each.groupBy("id", "th").agg(F.sum("more").alias("_more")), ["id", "th"]).withColumn("score", F.col("score") + F.col("_more"))
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
     )

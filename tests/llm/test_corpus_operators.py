@@ -292,12 +292,13 @@ def test_inconsistent_slots_do_not_match(spark):
 # language model
 
 
-def test_lm_scores(docs, empty):
-    got = lm_score.score(docs, head=3).collect()  # most tokens take the join
+@pytest.mark.parametrize("max_cells", [40, lm_score.MAX_CELLS])
+def test_lm_scores(docs, empty, max_cells):
+    got = lm_score.score(docs, head=3, max_cells=max_cells).collect()  # most tokens take the join; few cells make many passes
     rows = document_rows()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     counts = Counter()
-    n2, n1, n0 = defaultdict(Counter), defaultdict(Counter), Counter()
+    n3, n2, n1, n0 = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), Counter()
     for r in rows:
         if not held(r[0]):
             counts.update([*words(lower(r[1])), None])
@@ -308,6 +309,8 @@ def test_lm_scores(docs, empty):
                     n1[s[k - 1]][x] += 1
                 if k > 1:
                     n2[s[k - 2], s[k - 1]][x] += 1
+                if k > 2:
+                    n3[tuple(s[k - 3 : k])][x] += 1
     total, kinds = sum(counts.values()), len(counts)
 
     def p(contexts, x):
@@ -325,7 +328,7 @@ def test_lm_scores(docs, empty):
     for r in rows:
         tokens, s = [*words(lower(r[1])), None], [*lower(r[1]).encode(), 256]
         base = sum(math.log10((counts[t] + 0.1) / (total + 0.1 * (kinds + 1))) for t in tokens)
-        score = sum(math.log10(p(([n2[s[k - 2], s[k - 1]]] if k > 1 else []) + ([n1[s[k - 1]]] if k else []) + [n0], x)) for k, x in enumerate(s))
+        score = sum(math.log10(p(([n3[tuple(s[k - 3 : k])]] if k > 2 else []) + ([n2[s[k - 2], s[k - 1]]] if k > 1 else []) + ([n1[s[k - 1]]] if k else []) + [n0], x)) for k, x in enumerate(s))
         want.append((len(tokens), sum(counts[t] > 0 for t in tokens), base, score, held(r[0])))
     key = lambda r: (r[0], r[1], round(r[2], 3), round(r[3], 3), r[4])
     for r, w in zip(sorted(got, key=lambda r: key((r.n_tokens, r.n_known, r.base_score, r.score, r.held_out))), sorted(want, key=key)):
