@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbalest.operators.ranking import QUERY, rank
-from arbalest.operators.rerank import row_min_max
+from arbalest.operators.ranking import rank
+from arbalest.operators.rerank import scaled
 from arbalest.operators.scoring import PAIR
 
 
@@ -20,9 +20,9 @@ def reciprocal_rank_fusion(rankings: list[tuple[DataFrame, float]], k: float = 6
 
 def weighted_ensemble(a: DataFrame, b: DataFrame, weight: float, datasets: tuple[str, ...]) -> DataFrame:
     """weight * min-max(a) + (1 - weight) * min-max(b) in the named datasets; b elsewhere."""
-    both = row_min_max(b).withColumnRenamed("score", "_b").join(row_min_max(a).withColumnRenamed("score", "_a"), PAIR).join(b, PAIR)
-    mixed = F.lit(weight) * F.col("_a") + F.lit(1 - weight) * F.col("_b")
-    return both.select(*PAIR, F.when(F.col("dataset").isin(*datasets), mixed).otherwise(F.col("score")).alias("score"))
+    both = a.select(*PAIR, F.col("score").alias("_a")).join(b.select(*PAIR, F.col("score").alias("_b")), PAIR)
+    mixed = F.lit(weight) * scaled("_a") + F.lit(1 - weight) * scaled("_b")
+    return both.select(*PAIR, F.when(F.col("dataset").isin(*datasets), mixed).otherwise(F.col("_b")).alias("score"))
 
 
 def rank_ensemble(a: DataFrame, b: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -41,5 +41,3 @@ def hard_negatives(scores: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame
     """Each query's best ``k`` targets that are not its own."""
     return rank(scores.join(truth.select(*PAIR), PAIR, "left_anti"), k)
 
-
-__all__ = ["QUERY", "hard_negatives", "pseudo_pairs", "rank_ensemble", "reciprocal_rank_fusion", "weighted_ensemble"]

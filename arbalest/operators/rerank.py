@@ -19,12 +19,11 @@ def csls(scores: DataFrame, k: int) -> DataFrame:
     if k <= 0:
         return scores
 
-    def local(side: list[str], other: str, name: str) -> DataFrame:
-        order = Window.partitionBy(*side).orderBy(F.desc("score"), other)
-        best = scores.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-        return best.groupBy(*side).agg(F.avg("score").alias(name))
-
-    out = scores.join(local(QUERY, "target_id", "_q"), QUERY).join(local(TARGET, "query_id", "_t"), TARGET)
+    out = scores
+    for side, other, name in ((QUERY, "target_id", "_q"), (TARGET, "query_id", "_t")):  # one shuffle each; scores are made once
+        whole = Window.partitionBy(*side)
+        out = out.withColumn("_r", F.row_number().over(whole.orderBy(F.desc("score"), other)))
+        out = out.withColumn(name, F.avg(F.when(F.col("_r") <= k, F.col("score"))).over(whole))
     return out.select(*PAIR, (2.0 * F.col("score") - F.col("_q") - F.col("_t")).alias("score"))
 
 
@@ -53,11 +52,15 @@ def sinkhorn(scores: DataFrame, tau: float, rounds: int) -> DataFrame:
     return scores.groupBy(*POOL).applyInPandas(run, "dataset string, split string, query_id string, target_id string, score double")
 
 
-def row_min_max(scores: DataFrame) -> DataFrame:
-    """Scaled to 0..1 within each query; constant rows become 0."""
+def scaled(score: str = "score") -> Column:
+    """A score scaled to 0..1 within its query; 0 in a constant row."""
     w = Window.partitionBy(*QUERY)
-    lo, hi = F.min("score").over(w), F.max("score").over(w)
-    return scores.withColumns({"_lo": lo, "_hi": hi}).select(*PAIR, F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0).alias("score"))
+    lo, hi = F.min(score).over(w), F.max(score).over(w)
+    return F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(0.0)
+
+
+def row_min_max(scores: DataFrame) -> DataFrame:
+    return scores.select(*PAIR, scaled().alias("score"))
 
 
 def mean_vector(vectors: Column) -> Column:
