@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of texts; Spark's own limit is 64 MB, of which a task holds several.
+BATCH_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -42,6 +44,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands texts to Python in batches of ``BATCH_BYTES`` at most. Results do not
+    depend on it; memory beside the heap does."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = df.sparkSession.conf.get(name)
+    if not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
 def id_text(col: str = "doc_id") -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

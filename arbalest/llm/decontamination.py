@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
-from arbalest.llm.common import stage
+from arbalest.llm.common import in_small_batches, stage
 
 U = np.uint64
 WIDTH, PLAIN, COVER = 5, 3, 0.8
@@ -142,7 +142,7 @@ SHAPE = "id long, th long, pos int, size int, total int, key long, slots array<l
 
 
 def keyed(rows: DataFrame, id_col: str) -> DataFrame:
-    return rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_small_batches(rows).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PLAIN, cover: float = COVER, max_filter: int = MAX_FILTER) -> DataFrame:

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbalest.llm.common import in_small_batches
+
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 256, 2048, 1 << 16
 PIECE, LEVEL = 4096, 9
 MIN_MARGIN = 0.005
@@ -81,6 +83,7 @@ def has_letter(text: Column) -> Column:
 
 def identify(docs: DataFrame, languages: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` with lang_pred, score and rejected."""
+    docs = in_small_batches(docs)
     got = predictor(languages)(F.col("text"), has_letter(F.col("text")))
     return docs.withColumn("_p", got).withColumns(
         {"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score"), "rejected": (F.col("_p.lang_pred") == UND) | (F.col("_p.score") < min_margin)}

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
+from arbalest.llm.common import in_small_batches
 
 #: The base phrases, and mandatory key phrases of common licences.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -159,6 +160,6 @@ def _scan(index: Index):
 
 
 def scan(docs: DataFrame, base: tuple[Phrase, ...] = BASE, more: tuple[Phrase, ...] = KEY_PHRASES) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     index = Index(base, more, *document_frequencies(rows, vocabulary((*base, *more))))
     return rows.mapInArrow(_scan(index), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
-from arbalest.llm.common import id_remainder, stage
+from arbalest.llm.common import id_remainder, in_small_batches, stage
 
 U = np.uint64
 FOLDS = 10
@@ -336,7 +336,7 @@ def most_frequent(words: DataFrame, head: int) -> DataFrame:
 def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(folds) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(folds) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
     counts = rows.where("not held_out").select("text").mapInArrow(_count, "kind byte, key long, n long")
     counts = stage(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))

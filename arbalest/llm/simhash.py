@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbalest.llm.common import cut, stage
+from arbalest.llm.common import cut, in_small_batches, stage
 from arbalest.llm.kernels import U, mix
 
 WIDTH, RADIUS, SEED = 4, 4, 42
@@ -176,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def labelled(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, th, fp, root) of every row; th: hash of the text; root: the component's smallest fingerprint."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     rows = stage(rows.mapInArrow(_fingerprints(width), "doc_id long, th long, fp long"))
     roots = cut(components(links(rows.select("fp").distinct(), radius)).withColumnRenamed("node", "fp"))
     return rows.join(roots, "fp", "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
-from arbalest.llm.common import stage
+from arbalest.llm.common import in_small_batches, stage
 
 U = np.uint64
 WINDOW = 35
@@ -171,7 +171,7 @@ def _keep(with_text: bool):
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row; kept_text is null without ``with_text``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
     found = stage(rows.select("id", "th", "text").mapInArrow(_occurrences(size), "id long, th long, lo int, n int, name long, unit long"))
 
