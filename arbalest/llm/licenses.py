@@ -104,8 +104,8 @@ class Index:
             self.phrases.append((label, (text, label) in base, hashes_of(words), idf, rare))
         self.known = np.unique(np.concatenate([p[2] for p in self.phrases]))
 
-    def find(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each phrase: label, base or not, text and start of its alignments (in words of all texts), share of idf."""
+    def find(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each phrase: label, base or not, text and start of its alignments, whether all words stand there, share of idf."""
         ends = np.cumsum(counts)
         places, _ = _lookup(self.known, hashes)
         found = hashes[places]
@@ -124,7 +124,7 @@ class Index:
                     hits += ok
                 whole = hits == len(words)
                 total = idf.sum()
-                yield label, base, owner, start - first, np.where(whole, 1.0, np.round(same / total, 6) if total > 0 else 0.0)
+                yield label, base, owner, start - first, whole, np.where(whole, 1.0, np.round(same / total, 6) if total > 0 else 0.0)
 
 
 def _scan(index: Index):
@@ -138,9 +138,8 @@ def _scan(index: Index):
                 first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 labels: dict[int, set[str]] = {}
                 base_labels: dict[int, set[str]] = {}
-                for label, base, owner, start, share in index.find(hashes, counts):
+                for label, base, owner, start, whole, share in index.find(hashes, counts):
                     np.maximum.at(score, owner, share)
-                    whole = share == 1.0
                     for i in np.unique(owner[whole]).tolist():
                         labels.setdefault(i, set()).add(label)
                         if base:

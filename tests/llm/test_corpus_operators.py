@@ -151,6 +151,16 @@ def test_license_places(docs, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_a_word_of_every_document_still_has_to_stand_in_its_place(spark):
+    texts = ["apache license version 2 and the", "the apache license stub 2", "license 2 the", "2 license the version apache"]
+    texts = [f"{t} license 2" for t in texts]  # "license" and "2" have an idf of 0
+    frame = spark.createDataFrame([*enumerate(texts), (9, "apache 2 version license 2")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_base, r.labels) for r in licenses.scan(frame).collect()}
+    assert got == {0: (1, "apache-2"), 1: (0, ""), 2: (0, ""), 3: (0, ""), 9: (0, "")}
+    near = spark.createDataFrame([(1, "apache shield version 2 license"), (2, "license 2")], "doc_id long, text string")
+    assert [r.labels for r in licenses.scan(near, base=(("apache license version", "x"),), more=()).collect()] == ["", ""]
+
+
 # sharding
 
 
