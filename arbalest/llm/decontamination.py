@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units after a number, and names (capitalised inside a sentence) turn into typed
-placeholders, all else into its lower-case core. Windows of ``WIDTH`` template tokens of documents and items are joined by
+placeholders, all else into its lower-case core. Words in capitals are no names. Windows of ``WIDTH`` template tokens of documents and items are joined by
 hash. The places where an item's windows are found near one alignment form a session; a session counts if every slot
 value of the item stands for one value of the document throughout, and if its windows cover at least ``COVER`` of the
 item's tokens. So an item is caught when its numbers or names were exchanged, as long as they were exchanged consistently.
 
-Only windows with ``PLAIN`` plain tokens are joined (fewer if the item has no more), as placeholders alone fit anything.
+Only windows with ``PLAIN`` plain tokens are joined (one, for items shorter than a window), as placeholders alone fit anything;
+an item without such a window is never found.
 The items' window hashes are broadcast as a filter while there are at most ``MAX_FILTER``; beyond that all windows of the
 documents are joined, with the same result.
 
@@ -73,7 +74,8 @@ def templates(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
         return none, none, np.zeros(0, bool), counts
     low = K.LOWER[data]
     accent = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-    upper = UPPER[data] | np.append(accent[1:], False)  # of an accented letter the first byte counts
+    wide = np.append(accent[1:], False)  # of an accented capital the first byte counts
+    upper = UPPER[data] | wide
     low[accent] += 0x20
     n, alnum = len(data), ALNUM[data]
     place = np.arange(n)
@@ -87,11 +89,12 @@ def templates(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
     some = first < last  # punctuation alone is no token
     first, last, owner, opens = first[some], last[some], owner[some], opens[some]
     value = K.word_hashes(low, first, last)
-    second = np.minimum(first + 1, n - 1)
+    second = first + 1 + wide[first]
+    shouted = (second < last) & UPPER[data[np.minimum(second, n - 1)]]
     number = DIGIT[data[first]] | np.isin(value, _hashes(NUMBERS))
     same = np.append(False, owner[1:] == owner[:-1])
     unit = np.isin(value, _hashes(UNITS)) & np.append(False, number[:-1]) & same & ~number
-    name = upper[first] & ~opens & (last - first > 1) & ~UPPER[data[second]] & ~number & ~unit
+    name = upper[first] & ~opens & (last - first > 1) & ~shouted & ~number & ~unit
     head = ~(name & np.append(False, name[:-1]) & same)
     at = np.flatnonzero(head)
     ranges = K.Ranges(value)
