@@ -33,6 +33,14 @@ def triplet(scores: DataFrame, truth: DataFrame, negatives: DataFrame, margin: f
     return rows.groupBy(*POOL).agg(F.round(F.avg(F.greatest(F.col("score") - F.col("_p") + margin, F.lit(0.0))), 6).alias("loss"), F.count("*").alias("n_triplets"))
 
 
+def binary_cross_entropy(scores: DataFrame, truth: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Mean over all pairs of a pool, with the true pairs as ones; scale * score are the logits."""
+    z, y = F.col("score") * scale, F.col("_true").isNotNull().cast("double")
+    marked = scores.join(truth.select(*PAIR, F.lit(True).alias("_true")), PAIR, "left")
+    loss = F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))
+    return marked.groupBy(*POOL).agg(F.round(F.avg(loss), 6).alias("loss"), F.count("*").alias("n_pairs"))
+
+
 def warmup_cosine(epoch: Column, warmup: int, epochs: int) -> Column:
     progress = (epoch - warmup) / max(1, epochs - warmup)
     return F.when(epoch < warmup, (epoch + 1) / warmup).otherwise(0.5 * (1 + F.cos(F.lit(math.pi) * progress)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbalest.operators import evaluation, fusion, ranking, scoring
+from arbalest.operators import classifier, evaluation, fusion, ranking, scoring
 from arbalest.operators.scoring import POOL
 from arbalest.plans import views
 from arbalest.plans.catalogue import query
@@ -145,3 +145,11 @@ def min_max_sql(table: str) -> str:
 def ncc_ensemble(spark, d):
     q, t = views.queries(spark, d), views.linked(spark, d)
     return shown(fusion.weighted_ensemble(scoring.ncc_scores(q, t), scoring.dot_scores(q, t), 0.7, ("dataset1",)))
+
+
+@query()
+def pair_probability_rank(spark, d):
+    """Trained on the pairs of the validation split; the test split is ranked."""
+    queries, gallery = views.queries(spark, d), views.linked(spark, d)
+    known = queries.where("split = 'val'").join(gallery.select("p", "target_id", "tv"), "p").select("query_id", "target_id", "qv", "tv")
+    return shown(classifier.probability_scores(queries.where("split = 'test'"), gallery.where("split = 'test'"), classifier.fit(known)))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arbalest.operators import evaluation, fusion, kernels, losses, ranking, rerank, scoring, splitting, validation
+from arbalest.operators import classifier, evaluation, fusion, kernels, losses, ranking, rerank, scoring, splitting, validation
 from arbalest.operators.scoring import POOL
 from arbalest.plans import cascades
 
@@ -185,6 +185,31 @@ def test_losses(spark, pool):
     assert {r["dataset"] for r in evaluation.gap_summary(scores).collect()} == {"d"} and POOL == ["dataset", "split"]
 
 
+def test_binary_cross_entropy(spark, pool):
+    q, t, queries, gallery = pool
+    truth = spark.createDataFrame([("d", "val", f"q{i:03d}", f"t{i:03d}") for i in range(25)], "dataset string, split string, query_id string, target_id string")
+    p = 1 / (1 + np.exp(-3 * (q @ t.T)))
+    got = losses.binary_cross_entropy(scoring.dot_scores(queries, gallery), truth, 3.0).first()
+    assert got.loss == pytest.approx(-np.where(np.eye(25), np.log(p), np.log(1 - p)).mean(), abs=1e-5) and got.n_pairs == 625
+
+
+def test_pair_probability_learns_the_link(spark):
+    random = np.random.default_rng(4)
+    q = random.normal(size=(120, 2))
+    rows = [(f"q{i:03d}", f"t{i:03d}", [float(x) for x in v], [float(x) for x in v]) for i, v in enumerate(q)]
+    linked = spark.createDataFrame(rows, "query_id string, target_id string, qv array<double>, tv array<double>")
+    train = classifier.labelled_pairs(linked, 3).toPandas()
+    assert len(train) == 480 and train.label.sum() == 120
+    assert all((list(r.qv) == list(r.tv)) == (r.label == 1) for r in train.itertuples())
+    model = classifier.fit(linked, 3, (16, 8), 60)
+    pool = lambda *c: linked.select(F.lit("d").alias("dataset"), F.lit("val").alias("split"), *c)
+    got = classifier.probability_scores(pool("query_id", "qv"), pool("target_id", "tv"), model).toPandas()
+    own = got.query_id.str[1:] == got.target_id.str[1:]
+    assert len(got) == 120 * 120 and got.score.between(0, 1).all() and got.score[own].mean() > got.score[~own].mean() + 0.2
+    with pytest.raises(ValueError, match="wrong partner"):
+        classifier.labelled_pairs(linked.limit(1))
+
+
 @given(st.integers(1, 6), st.integers(1, 9))
 @settings(max_examples=25, deadline=None)
 def test_resampling_keeps_constants_and_shape(n, m):
