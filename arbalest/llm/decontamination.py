@@ -2,9 +2,11 @@
 
 Words become template tokens: numbers, units after a number, and names (capitalised inside a sentence) turn into typed
 placeholders, all else into its lower-case core. Words in capitals are no names. Windows of ``WIDTH`` template tokens of documents and items are joined by
-hash. The places where an item's windows are found near one alignment form a session; a session counts if every slot
-value of the item stands for one value of the document throughout, and if its windows cover at least ``COVER`` of the
-item's tokens. So an item is caught when its numbers or names were exchanged, as long as they were exchanged consistently.
+hash. A choice of the places where an item's windows are found counts if every slot value of the item stands for one value
+of the document throughout, and if its windows cover at least ``COVER`` of the item's tokens. Tried are each single
+alignment, all alignments near each other together (a session), and, if none of these counts, chains: windows in the order of both texts, with
+small changes of the alignment and slots that agree. So an item is caught when its numbers or names were exchanged, as
+long as they were exchanged consistently, also where a template is repeated within the item or copies follow each other.
 
 Only windows with ``PLAIN`` plain tokens are joined (one, for items shorter than a window), as placeholders alone fit anything;
 an item without such a window is never found.
@@ -12,7 +14,7 @@ The items' window hashes are broadcast as a filter while there are at most ``MAX
 documents are joined, with the same result.
 
 Contract of ``leaks``:
-* one row for each (document, item) with a leak, of its best session: most covered tokens, then leftmost;
+* one row for each (document, item) with a leak, of its best choice: most covered tokens, then leftmost;
 * whole texts are searched; null texts have no tokens, null items or items without a token are never found; items shorter
   than a window form one window; repeated document rows give one row, and ids may be null; empty tables give an
   empty result; extra columns are ignored by ``leaks`` and kept by ``keep_clean``.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
@@ -35,6 +37,8 @@ WIDTH, PLAIN, COVER = 5, 3, 0.8
 #: Alignments this close to the next belong to one session.
 DRIFT = 8
 MAX_FILTER = 1 << 22
+#: Steps of the search for a chain of alignments of one (document, item).
+TRIES = 20_000
 NO_ID = (1 << 63) - 1
 
 #: Units and number words.
@@ -148,6 +152,97 @@ def keyed(rows: DataFrame, id_col: str) -> DataFrame:
     return in_small_batches(rows).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+HIT = ["n_tokens", "pos", "item_pos", "size", "item_slots", "slots"]
+
+
+def _agreed(hits: list[tuple], least: float) -> tuple | None:
+    """(covered tokens, -first token, exact) of the hits together, if they cover enough and every slot stands for one value."""
+    values: dict[int, int] = {}
+    for *_, item_slots, slots in hits:
+        for a, b in zip(item_slots, slots):
+            if values.setdefault(a, b) != b:
+                return None
+    n = len({t for _, at, size, *_ in hits for t in range(at, at + size)})
+    return (n, -min(h[0] for h in hits), all(a == b for a, b in values.items())) if n >= least else None
+
+
+def _chain(hits: list[tuple], total: int, least: float) -> list[tuple] | None:
+    """Whole runs of hits, in the order of both texts, whose shifts change by ``DRIFT`` at most from one run to the next
+    and whose slots agree, covering ``least`` tokens. No hit of a run is left out, and a run that disagrees is passed over only by
+    a change of the shift. Found by depth-first search, of ``TRIES`` steps at most for a pair."""
+    at = {(h[0], h[1]): h for h in hits}
+    reach, spare = WIDTH + DRIFT, None
+    drifts = sorted(((a, b) for a in range(1, reach + DRIFT + 1) for b in range(1, reach + 1) if 0 < abs(a - b) <= DRIFT), key=lambda s: (s[1], abs(s[0] - s[1])))
+    heads = [h for h in hits if total - h[1] >= least and not any((h[0] - k, h[1] - k) in at for k in range(1, reach + 1))]
+    stack = [((h,), h[2], {}) for h in sorted(heads, key=lambda h: (-h[1], -h[0]))]
+    for _ in range(TRIES):
+        if not stack:
+            break
+        chain, n, values = stack.pop()
+        pos, item_pos, size, item_slots, slots = chain[-1]
+        values = dict(values)
+        if any(values.setdefault(a, b) != b for a, b in zip(item_slots, slots)) or n + total - item_pos - size < least:
+            continue
+        ahead = next((k for k in range(1, reach + 1) if (pos + k, item_pos + k) in at), None)
+        following = [at[pos + ahead, item_pos + ahead]] if ahead else []
+        if ahead != 1:
+            following += [at[pos + a, item_pos + b] for a, b in drifts if (pos + a, item_pos + b) in at and (pos + a - 1, item_pos + b - 1) not in at]
+        if ahead is None and n >= least:
+            if not following:
+                return list(chain)
+            spare = spare or list(chain)
+        stack += [((*chain, h), n + min(h[2], h[1] + h[2] - item_pos - size), values) for h in reversed(following)]
+    return spare
+
+
+def _best(found: list[tuple], cover: float) -> tuple | None:
+    """(n_tokens, n_covered, first_token, exact) of a pair's best leak, ``found`` being its rows of ``HIT``."""
+    total, least = found[0][0], cover * found[0][0]
+    hits = list({h[1:4]: h[1:] for h in found}.values())
+    by_shift: dict[int, list[tuple]] = {}
+    for h in hits:
+        by_shift.setdefault(h[0] - h[1], []).append(h)
+    tries, last = list(by_shift.values()), None  # each alignment by itself
+    for shift in sorted(by_shift):
+        if last is None or shift - last > DRIFT:
+            tries.append([])
+        tries[-1] = tries[-1] + by_shift[shift]
+        last = shift
+    good = [x for x in (_agreed(t, least) for t in tries) if x]
+    if not good and (chain := _chain(hits, total, least)):
+        good = [_agreed(chain, least)]
+    if not good:
+        return None
+    n, first, exact = max(good)
+    return total, n, -first, exact
+
+
+def _judged(cover: float):
+    """Rows of (pair, ``HIT``) sorted by pair; a pair may go on in the next batch, so its rows are carried over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != pair:
+                    if held and (b := _best(held, cover)):
+                        out.append((*pair, *b))
+                    pair, held = row[:4], []
+                held.append(row[4:])
+            yield _leaks(out)
+        if held and (b := _best(held, cover)):
+            yield _leaks([(*pair, *b)])
+
+    return run
+
+
+def _leaks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.bool_()]
+    names = ["id", "th", "item_id", "item_th", "n_tokens", "n_covered", "first_token", "exact"]
+    return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PLAIN, cover: float = COVER, max_filter: int = MAX_FILTER) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, coverage, exact, first_token, th) of every leak."""
     wanted = keyed(items, "item_id").dropDuplicates(["id", "th"]).mapInArrow(_windows(width, plain, None, True), SHAPE)
@@ -157,32 +252,16 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PL
     known = keys.toArrow()["key"].to_numpy() if keys.count() <= max_filter else None
     known = np.sort(known) if known is not None else None
     found = keyed(docs, "doc_id").mapInArrow(_windows(width, plain, known, False), SHAPE).drop("total")
-    hits = stage(found.join(wanted, ["key", "size"]).withColumn("shift", F.col("pos") - F.col("item_pos")))
+    hits = stage(found.join(wanted, ["key", "size"]))
     pair = ["id", "th", "item_id", "item_th"]
-    # alignments of one pair in order: a gap over DRIFT starts a new session
-    shifts = hits.select(*pair, "shift").distinct()
-    order = Window.partitionBy(*pair).orderBy("shift")
-    fresh = F.when(F.col("shift") - F.lag("shift").over(order) > DRIFT, 1).otherwise(0)
-    shifts = shifts.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(order)).drop("_new")
-    hits = hits.join(shifts, [*pair, "shift"])
-    session = [*pair, "n_tokens", "session"]
-    covered = hits.select(*session, "pos", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)).alias("token"))
-    covered = covered.groupBy(*session).agg(F.count_distinct("token").alias("n_covered"), F.min("pos").alias("first_token"))
-    covered = covered.where(F.col("n_covered") >= F.lit(cover) * F.col("n_tokens"))
-    slots = hits.select(*session, F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
-    slots = slots.select(*session, F.col("s.item_slots").alias("item_value"), F.col("s.slots").alias("value")).groupBy(*session, "item_value").agg(
-        F.min("value").alias("low"), F.max("value").alias("high")
-    )
-    slots = slots.groupBy(*session).agg(
-        F.count_if(F.col("low") != F.col("high")).alias("broken"), F.count_if((F.col("low") != F.col("item_value")) | (F.col("high") != F.col("item_value"))).alias("changed")
-    )
-    good = covered.join(slots.where("broken = 0"), session)
-    best = F.max_by(F.struct("n_tokens", "n_covered", "first_token", "changed"), F.struct("n_covered", -F.col("first_token")))
-    best = good.groupBy(*pair).agg(best.alias("b"))
+    # no choice of a pair's hits covers more than all of them
+    covered = hits.select(*pair, "n_tokens", "item_pos", "size").distinct().withColumn("token", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)))
+    covered = covered.groupBy(*pair, "n_tokens").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= F.lit(cover) * F.col("n_tokens"))
+    hits = hits.join(covered.select(pair), pair, "left_semi").select(*pair, *HIT)
+    best = hits.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_judged(cover), f"{', '.join(f'{c} long' for c in pair)}, n_tokens int, n_covered int, first_token int, exact boolean")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return best.select(
-        real("id").alias("doc_id"), real("item_id").alias("item_id"), F.col("b.n_tokens").alias("n_tokens"), F.col("b.n_covered").alias("n_covered"),
-        (F.col("b.n_covered") / F.col("b.n_tokens")).alias("coverage"), (F.col("b.changed") == 0).alias("exact"), F.col("b.first_token").alias("first_token"), "th",
+        real("id").alias("doc_id"), real("item_id").alias("item_id"), "n_tokens", "n_covered", (F.col("n_covered") / F.col("n_tokens")).alias("coverage"), "exact", "first_token", "th",
     )
 
 
