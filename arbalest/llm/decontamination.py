@@ -8,8 +8,9 @@ alignment, all alignments near each other together (a session), and, if none of
 small changes of the alignment and slots that agree. So an item is caught when its numbers or names were exchanged, as
 long as they were exchanged consistently, also where a template is repeated within the item or copies follow each other.
 
-Only windows with ``PLAIN`` plain tokens are joined (one, for items shorter than a window), as placeholders alone fit anything;
-an item without such a window is never found.
+Placeholders alone fit anything: windows with fewer than ``PLAIN`` plain tokens (none, for items shorter than a window) are
+joined by template and slot values, that is literally. So every verbatim copy is found, but where such windows make up
+more than the rest that ``COVER`` leaves, none with other values.
 The items' window hashes are broadcast as a filter while there are at most ``MAX_FILTER``; beyond that all windows of the
 documents are joined, with the same result.
 
@@ -52,7 +53,7 @@ NUMBERS = (
     "sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 
-NUMBER_TOKEN, UNIT_TOKEN, NAME_TOKEN = (K.mix(np.array([x], U))[0] for x in (101, 102, 103))
+NUMBER_TOKEN, UNIT_TOKEN, NAME_TOKEN, LITERAL = (K.mix(np.array([x], U))[0] for x in (101, 102, 103, 104))
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -119,7 +120,7 @@ def _windows(width: int, plain: int, known: np.ndarray | None, items: bool):
             for row, end, data, places in K.slices(batch["text"]):
                 token, value, slot, counts = templates(data, places)
                 firsts = np.cumsum(counts) - counts
-                ranges, slots = K.Ranges(token), np.append(0, np.cumsum(slot))
+                ranges, literal, slots = K.Ranges(token), K.Ranges(value), np.append(0, np.cumsum(slot))
                 values = value[slot]
                 for size in range(1, width + 1):
                     at = K.window_starts(counts, size)
@@ -127,11 +128,12 @@ def _windows(width: int, plain: int, known: np.ndarray | None, items: bool):
                     if items and size < width:
                         at, text = at[counts[text] == size], text[counts[text] == size]
                     n_plain = size - (slots[at + size] - slots[at])
-                    ok = n_plain >= min(plain, size) if size == width else n_plain >= 1
-                    key = K.mix(ranges.of(at, at + size) + U(size)).view(np.int64)
+                    poor = n_plain < (min(plain, size) if size == width else 1)
+                    key = ranges.of(at, at + size) + U(size)
+                    key = K.mix(np.where(poor, K.mix(key + LITERAL) + literal.of(at, at + size), key)).view(np.int64)
                     if known is not None:
-                        ok &= np.isin(key, known)
-                    at, text, key = at[ok], text[ok], key[ok]
+                        ok = np.isin(key, known)
+                        at, text, key = at[ok], text[ok], key[ok]
                     if not len(at):
                         continue
                     lo, n = slots[at], slots[at + size] - slots[at]
@@ -195,19 +197,23 @@ def _chain(hits: list[tuple], total: int, least: float) -> list[tuple] | None:
     return spare
 
 
-def _best(found: list[tuple], cover: float) -> tuple | None:
+def _by_shift(hits: list[tuple], drift: int) -> list[list[tuple]]:
+    """Hits whose shifts are at most ``drift`` from the next."""
+    out, last = [], None
+    for h in sorted(hits, key=lambda h: h[0] - h[1]):
+        if last is None or h[0] - h[1] - last > drift:
+            out.append([])
+        out[-1].append(h)
+        last = h[0] - h[1]
+    return out
+
+
+def _best(found: list[tuple], plain: int, cover: float) -> tuple | None:
     """(n_tokens, n_covered, first_token, exact) of a pair's best leak, ``found`` being its rows of ``HIT``."""
     total, least = found[0][0], cover * found[0][0]
     hits = list({h[1:4]: h[1:] for h in found}.values())
-    by_shift: dict[int, list[tuple]] = {}
-    for h in hits:
-        by_shift.setdefault(h[0] - h[1], []).append(h)
-    tries, last = list(by_shift.values()), None  # each alignment by itself
-    for shift in sorted(by_shift):
-        if last is None or shift - last > DRIFT:
-            tries.append([])
-        tries[-1] = tries[-1] + by_shift[shift]
-        last = shift
+    rich = [h for h in hits if len(h[3]) < h[2] and (h[2] < WIDTH or len(h[3]) <= WIDTH - plain)]  # a literal hit must not break a session
+    tries = [*_by_shift(hits, 0), *_by_shift(hits, DRIFT), *(_by_shift(rich, DRIFT) if len(rich) < len(hits) else ())]
     good = [x for x in (_agreed(t, least) for t in tries) if x]
     if not good and (chain := _chain(hits, total, least)):
         good = [_agreed(chain, least)]
@@ -217,7 +223,7 @@ def _best(found: list[tuple], cover: float) -> tuple | None:
     return total, n, -first, exact
 
 
-def _judged(cover: float):
+def _judged(plain: int, cover: float):
     """Rows of (pair, ``HIT``) sorted by pair; a pair may go on in the next batch, so its rows are carried over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +232,12 @@ def _judged(cover: float):
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:4] != pair:
-                    if held and (b := _best(held, cover)):
+                    if held and (b := _best(held, plain, cover)):
                         out.append((*pair, *b))
                     pair, held = row[:4], []
                 held.append(row[4:])
             yield _leaks(out)
-        if held and (b := _best(held, cover)):
+        if held and (b := _best(held, plain, cover)):
             yield _leaks([(*pair, *b)])
 
     return run
@@ -258,7 +264,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PL
     covered = hits.select(*pair, "n_tokens", "item_pos", "size").distinct().withColumn("token", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)))
     covered = covered.groupBy(*pair, "n_tokens").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= F.lit(cover) * F.col("n_tokens"))
     hits = hits.join(covered.select(pair), pair, "left_semi").select(*pair, *HIT)
-    best = hits.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_judged(cover), f"{', '.join(f'{c} long' for c in pair)}, n_tokens int, n_covered int, first_token int, exact boolean")
+    best = hits.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_judged(plain, cover), f"{', '.join(f'{c} long' for c in pair)}, n_tokens int, n_covered int, first_token int, exact boolean")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return best.select(
         real("id").alias("doc_id"), real("item_id").alias("item_id"), "n_tokens", "n_covered", (F.col("n_covered") / F.col("n_tokens")).alias("coverage"), "exact", "first_token", "th",

@@ -48,3 +48,12 @@ def test_repeated_templates_and_copies_in_a_row(spark):
     assert got[1, 1].exact and got[1, 1].n_covered == got[1, 1].n_tokens and not got[2, 1].exact
     assert (6, 1) in got  # one word more inside: two alignments, among those of the repeats
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 1)}
+
+
+def test_verbatim_copies_of_items_poor_in_plain_words(spark):
+    items = [(1, "Compute 12 + 30 - 5 * 6 and 7 8 9 in 3 steps"), (2, "What is 12 + 30 - 5 * 6 ?"), (3, "17 4 2028 6 11 5"), (4, "31 77"), (5, "so 3 km and 4 kg or 5 lb and 6 oz")]
+    docs = [(i, f"some words come first. {text} And some follow.") for i, text in items]
+    docs += [(11, "What is 12 + 31 - 5 * 6 ?"), (12, "17 4 2029 6 11 5"), (13, "77 31"), (14, "so 3 km and 4 kg or 5 lb and 7 oz")]
+    got = found(spark, docs, items)
+    assert {k for k in got if k[0] < 10} == {(i, i) for i, _ in items} and all(got[i, i].exact and got[i, i].n_covered == got[i, i].n_tokens for i, _ in items)
+    assert not {(11, 2), (12, 3), (13, 4)} & set(got)
