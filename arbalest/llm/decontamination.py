@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units after a number, and names (capitalised inside a sentence) turn into typed
-placeholders, all else into its lower-case core. Words in capitals are no names. Windows of ``WIDTH`` template tokens of documents and items are joined by
-hash. A choice of the places where an item's windows are found counts if every slot value of the item stands for one value
+placeholders, all else into its lower-case core. Words in capitals are no names. A capitalised word that opens a sentence may be a
+name or not, so texts are read twice: with all such words plain, and with all of them names. Windows of ``WIDTH`` template tokens of documents and items are joined by
+hash within each reading. A choice of the places where an item's windows are found counts if every slot value of the item stands for one value
 of the document throughout, and if its windows cover at least ``COVER`` of the item's tokens. Tried are each single
 alignment, all alignments near each other together (a session), and, if none of these counts, chains: windows in the order of both texts, with
 small changes of the alignment and slots that agree. So an item is caught when its numbers or names were exchanged, as
@@ -15,7 +16,7 @@ The items' window hashes are broadcast as a filter while there are at most ``MAX
 documents are joined, with the same result.
 
 Contract of ``leaks``:
-* one row for each (document, item) with a leak, of its best choice: most covered tokens, then leftmost;
+* one row for each (document, item) with a leak, of its best choice in the first reading that gives one: most covered tokens, then leftmost;
 * whole texts are searched; null texts have no tokens, null items or items without a token are never found; items shorter
   than a window form one window; repeated document rows give one row, and ids may be null; empty tables give an
   empty result; extra columns are ignored by ``leaks`` and kept by ``keep_clean``.
@@ -54,6 +55,7 @@ NUMBERS = (
 ).split()
 
 NUMBER_TOKEN, UNIT_TOKEN, NAME_TOKEN, LITERAL = (K.mix(np.array([x], U))[0] for x in (101, 102, 103, 104))
+READING = U(0xA0761D6478BD642F)
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -71,8 +73,9 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.unique(K.word_hashes(data, starts, ends))
 
 
-def templates(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of some texts: (tokens, slot values, is a slot, tokens of each text). A run of names is one token."""
+def templates(data: np.ndarray, places: np.ndarray, openers: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of some texts: (tokens, slot values, is a slot, tokens of each text). A run of names is one token.
+    With ``openers``, capitalised words that open a sentence are names too."""
     none = np.zeros(0, U)
     starts, ends, counts = K.words(data, places)
     if not len(starts):
@@ -99,7 +102,7 @@ def templates(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
     number = DIGIT[data[first]] | np.isin(value, _hashes(NUMBERS))
     same = np.append(False, owner[1:] == owner[:-1])
     unit = np.isin(value, _hashes(UNITS)) & np.append(False, number[:-1]) & same & ~number
-    name = upper[first] & ~opens & (last - first > 1) & ~shouted & ~number & ~unit
+    name = upper[first] & (~opens | openers) & (last - first > 1) & ~shouted & ~number & ~unit
     head = ~(name & np.append(False, name[:-1]) & same)
     at = np.flatnonzero(head)
     ranges = K.Ranges(value)
@@ -108,46 +111,53 @@ def templates(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
     return token, ranges.of(at, ends_at), (number | unit | name)[at], np.bincount(owner[at], minlength=len(counts))
 
 
-def _windows(width: int, plain: int, known: np.ndarray | None, items: bool):
-    """Windows as (id, th, pos, size, total, hash, slot values); of documents all sizes up to ``width`` that are asked."""
+def _windows(width: int, plain: int, known: np.ndarray | None, items: bool, sizes: list[int]):
+    """Windows of ``sizes`` as (id, th, pos, size, reading, total, hash, slot values); of items the widest that fit."""
     schema = pa.schema(
-        [("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("total", pa.int32()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))]
+        [("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("reading", pa.int32()), ("total", pa.int32()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch["id"].to_numpy(), batch["th"].to_numpy()
             for row, end, data, places in K.slices(batch["text"]):
-                token, value, slot, counts = templates(data, places)
-                firsts = np.cumsum(counts) - counts
-                ranges, literal, slots = K.Ranges(token), K.Ranges(value), np.append(0, np.cumsum(slot))
-                values = value[slot]
-                for size in range(1, width + 1):
-                    at = K.window_starts(counts, size)
-                    text = np.searchsorted(firsts, at, "right") - 1
-                    if items and size < width:
-                        at, text = at[counts[text] == size], text[counts[text] == size]
-                    n_plain = size - (slots[at + size] - slots[at])
-                    poor = n_plain < (min(plain, size) if size == width else 1)
-                    key = ranges.of(at, at + size) + U(size)
-                    key = K.mix(np.where(poor, K.mix(key + LITERAL) + literal.of(at, at + size), key)).view(np.int64)
-                    if known is not None:
-                        ok = np.isin(key, known)
-                        at, text, key = at[ok], text[ok], key[ok]
-                    if not len(at):
-                        continue
-                    lo, n = slots[at], slots[at + size] - slots[at]
-                    take = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), K.signed(values[take]))
-                    yield pa.record_batch(
-                        [pa.array(ids[row + text]), pa.array(hashes[row + text]), pa.array((at - firsts[text]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)),
-                         pa.array(counts[text].astype(np.int32)), pa.array(key), lists], schema=schema
-                    )
+                for reading in (0, 1):
+                    token, value, slot, counts = templates(data, places, bool(reading))
+                    firsts = np.cumsum(counts) - counts
+                    ranges, literal, slots = K.Ranges(token), K.Ranges(value), np.append(0, np.cumsum(slot))
+                    values = value[slot]
+                    if items:
+                        whole = ranges.of(firsts, firsts + counts)
+                        changed, before = (whole != before) if reading else None, whole
+                    for size in sizes:
+                        at = K.window_starts(counts, size)
+                        text = np.searchsorted(firsts, at, "right") - 1
+                        if items:
+                            asked = (counts[text] == size) | (size == width)
+                            if reading:
+                                asked &= changed[text]
+                            at, text = at[asked], text[asked]
+                        n_plain = size - (slots[at + size] - slots[at])
+                        poor = n_plain < (min(plain, size) if size == width else 1)
+                        key = ranges.of(at, at + size) + U(size) + U(reading) * READING
+                        key = K.mix(np.where(poor, K.mix(key + LITERAL) + literal.of(at, at + size), key)).view(np.int64)
+                        if known is not None:
+                            ok = np.isin(key, known)
+                            at, text, key = at[ok], text[ok], key[ok]
+                        if not len(at):
+                            continue
+                        lo, n = slots[at], slots[at + size] - slots[at]
+                        take = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), K.signed(values[take]))
+                        yield pa.record_batch(
+                            [pa.array(ids[row + text]), pa.array(hashes[row + text]), pa.array((at - firsts[text]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(np.full(len(at), reading, np.int32)),
+                             pa.array(counts[text].astype(np.int32)), pa.array(key), lists], schema=schema
+                        )
 
     return run
 
 
-SHAPE = "id long, th long, pos int, size int, total int, key long, slots array<long>"
+SHAPE = "id long, th long, pos int, size int, reading int, total int, key long, slots array<long>"
 
 
 def keyed(rows: DataFrame, id_col: str) -> DataFrame:
@@ -224,21 +234,28 @@ def _best(found: list[tuple], plain: int, cover: float) -> tuple | None:
 
 
 def _judged(plain: int, cover: float):
-    """Rows of (pair, ``HIT``) sorted by pair; a pair may go on in the next batch, so its rows are carried over."""
+    """Rows of (pair, reading, ``HIT``) sorted by pair and reading; a pair may go on in the next batch, so its rows are carried
+    over. The first reading that has a leak counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, held = None, []
+        group, held, done, out = None, [], None, []
+
+        def judge() -> None:
+            nonlocal done
+            if held and group[:4] != done and (b := _best(held, plain, cover)):
+                out.append((*group[:4], *b))
+                done = group[:4]
+
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != pair:
-                    if held and (b := _best(held, plain, cover)):
-                        out.append((*pair, *b))
-                    pair, held = row[:4], []
-                held.append(row[4:])
+                if row[:5] != group:
+                    judge()
+                    group, held = row[:5], []
+                held.append(row[5:])
             yield _leaks(out)
-        if held and (b := _best(held, plain, cover)):
-            yield _leaks([(*pair, *b)])
+            out.clear()
+        judge()
+        yield _leaks(out)
 
     return run
 
@@ -251,20 +268,21 @@ def _leaks(rows: list[tuple]) -> pa.RecordBatch:
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PLAIN, cover: float = COVER, max_filter: int = MAX_FILTER) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, coverage, exact, first_token, th) of every leak."""
-    wanted = keyed(items, "item_id").dropDuplicates(["id", "th"]).mapInArrow(_windows(width, plain, None, True), SHAPE)
-    wanted = wanted.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), "size", F.col("total").alias("n_tokens"), "key", F.col("slots").alias("item_slots"))
+    wanted = keyed(items, "item_id").dropDuplicates(["id", "th"]).mapInArrow(_windows(width, plain, None, True, list(range(1, width + 1))), SHAPE)
+    wanted = wanted.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), "size", "reading", F.col("total").alias("n_tokens"), "key", F.col("slots").alias("item_slots"))
     wanted = stage(wanted)
+    sizes = sorted(r.size for r in wanted.select("size").distinct().collect())
     keys = wanted.select("key").distinct()
     known = keys.toArrow()["key"].to_numpy() if keys.count() <= max_filter else None
     known = np.sort(known) if known is not None else None
-    found = keyed(docs, "doc_id").mapInArrow(_windows(width, plain, known, False), SHAPE).drop("total")
+    found = keyed(docs, "doc_id").mapInArrow(_windows(width, plain, known, False, sizes), SHAPE).drop("total", "reading")
     hits = stage(found.join(wanted, ["key", "size"]))
     pair = ["id", "th", "item_id", "item_th"]
     # no choice of a pair's hits covers more than all of them
-    covered = hits.select(*pair, "n_tokens", "item_pos", "size").distinct().withColumn("token", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)))
-    covered = covered.groupBy(*pair, "n_tokens").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= F.lit(cover) * F.col("n_tokens"))
-    hits = hits.join(covered.select(pair), pair, "left_semi").select(*pair, *HIT)
-    best = hits.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_judged(plain, cover), f"{', '.join(f'{c} long' for c in pair)}, n_tokens int, n_covered int, first_token int, exact boolean")
+    covered = hits.select(*pair, "reading", "n_tokens", "item_pos", "size").distinct().withColumn("token", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)))
+    covered = covered.groupBy(*pair, "reading", "n_tokens").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= F.lit(cover) * F.col("n_tokens"))
+    hits = hits.join(covered.select(*pair, "reading"), [*pair, "reading"], "left_semi").select(*pair, "reading", *HIT)
+    best = hits.repartition(*pair).sortWithinPartitions(*pair, "reading").mapInArrow(_judged(plain, cover), f"{', '.join(f'{c} long' for c in pair)}, n_tokens int, n_covered int, first_token int, exact boolean")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return best.select(
         real("id").alias("doc_id"), real("item_id").alias("item_id"), "n_tokens", "n_covered", (F.col("n_covered") / F.col("n_tokens")).alias("coverage"), "exact", "first_token", "th",

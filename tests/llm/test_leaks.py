@@ -57,3 +57,15 @@ def test_verbatim_copies_of_items_poor_in_plain_words(spark):
     got = found(spark, docs, items)
     assert {k for k in got if k[0] < 10} == {(i, i) for i, _ in items} and all(got[i, i].exact and got[i, i].n_covered == got[i, i].n_tokens for i, _ in items)
     assert not {(11, 2), (12, 3), (13, 4)} & set(got)
+
+
+def test_names_that_open_sentences(spark):
+    items = [(1, "Tom has 3 apples. Ann has 5 apples. Who has more?"), (2, "Yesterday it rained. Mary Jones walked 4 miles to school. Then she walked home. Mary Jones was wet")]
+    docs = [
+        (1, "Bob has 4 apples. Eve has 6 apples. Who has more?"), (2, "Intro words. Yesterday it rained. Carl walked 7 miles to school. Then she walked home. Carl was wet"),
+        (3, "Zoe has 4 apples. Bob Hill has 6 apples. Who has more?"), (4, "Yesterday it rained. Carl walked 7 miles to school. Then she walked home. Anna was wet and so was Carl"),
+        (5, items[0][1].lower()),
+    ]
+    got = found(spark, docs, items)
+    assert set(got) >= {(1, 1), (2, 2), (3, 1), (5, 1)} and not got[1, 1].exact and got[5, 1].exact
+    assert not {(1, 2), (2, 1), (5, 2)} & set(got)
