@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.functions.text import hash_order
+from arbalest.sources import staging
 
-GROUPS = 256
+HEAD_DIGITS = 4
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``row_no`` from 0 in the given order of unique keys.
+    """``rows`` with ``row_no`` from 0 in the given order of unique keys, by a range sort and the partitions' counts."""
+    return staging.numbered(rows.repartitionByRange(*order).sortWithinPartitions(*order))
 
-    A range sort gives each row a place in its partition; offsets come from the partitions' counts. The sorted rows are
-    persisted, which keeps the two in step.
-    """
-    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
-    at = at.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    parts = at.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    return at.join(parts, "_part").withColumn("row_no", F.col("_first") + F.col("_row")).drop("_at", "_part", "_row", "_first")
+
+def _smallest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of smallest hex hash ``_h``. Counts by its first digits find the bucket of the n-th; that bucket alone is sorted."""
+    head = F.substring("_h", 1, HEAD_DIGITS)
+    held, last, before = 0, "", 0
+    for r in sorted(rows.groupBy(head.alias("k")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.k):  # 16**HEAD_DIGITS rows at most
+        held, last, before = held + r.n, r.k, held
+        if held >= n:
+            break
+    rest = rows.where(head == last).orderBy("_h").limit(max(n - before, 0))
+    return rows.where(head < last).unionByName(rest)
 
 
 def hold_out(pairs: DataFrame, n: int, seed: int, key: str = "pair_id") -> DataFrame:
@@ -29,7 +34,7 @@ def hold_out(pairs: DataFrame, n: int, seed: int, key: str = "pair_id") -> DataF
     if not 0 < n < total:
         raise ValueError(f"hold-out of {n} from {total}")
     shuffled = pairs.withColumn("_h", hash_order(seed, F.col(key).cast("string")))
-    last = shuffled.select("_h").orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
+    last = _smallest(shuffled.select("_h"), n).agg(F.max("_h")).first()[0]
     return shuffled.withColumn("held_out", F.col("_h") <= last).drop("_h")
 
 
@@ -47,7 +52,7 @@ def derangement(pairs: DataFrame, seed: int) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    return rows.withColumn("_h", hash_order(seed, F.col(key).cast("string"))).orderBy("_h").limit(n).drop("_h")
+    return _smallest(rows.withColumn("_h", hash_order(seed, F.col(key).cast("string"))), n).drop("_h")
 
 
 def view_pairs(pairs: DataFrame, views: int) -> DataFrame:
