@@ -1,59 +1,37 @@
-"""Helpers that several corpus operators share: lineage cuts and key expressions."""
+"""Helpers that several corpus operators share: staged tables, batch sizes and key expressions."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbalest.sources.staging import fresh_path, numbered, remove, stage
+
+__all__ = ["WORD", "documents", "fresh_path", "free_name", "id_remainder", "id_text", "in_small_batches", "lower_ascii", "numbered", "remove", "stage", "utf8_size"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch of texts; Spark's own limit is 64 MB, of which a task holds several.
 BATCH_BYTES = 4 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where nothing is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arbalest-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``: lineage ends in the shared folder and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: for results that several later steps read."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, df.sparkSession, path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on hands texts to Python in batches of ``BATCH_BYTES`` at most. Results do not
-    depend on it; memory beside the heap does."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = df.sparkSession.conf.get(name)
-    if not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
-        df.sparkSession.conf.set(name, BATCH_BYTES)
+    """``df``, whose session from now on hands texts to Python in batches of ``BATCH_BYTES`` at most (a smaller limit stays).
+    Results do not depend on it; memory beside the heap does. A lazy plan reads the setting when it runs, so it is not put back."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))  # "64m" and the like
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(col: str = "doc_id") -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -11,11 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 SLICE_BYTES = 1 << 19
-#: Odd multipliers of the polynomial hashes (any odd 64-bit values do).
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Words longer than this are hashed one by one.
+LONG_WORD = 256
+#: Primes below 2**31 with a base each for the hashes of ranges.
+PRIMES = ((2147483647, 1204567891), (2147483629, 1830264571))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,20 +27,20 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo a prime, grown on demand."""
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+    def __init__(self, prime: int, base: int):
+        self.prime, self.bases = prime, (base, pow(base, -1, prime))
         self.up = self.down = np.ones(1, U)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)])) for b in (self.base, self.inverse))
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up, self.down = (np.concatenate([old, old * U(pow(b, k, self.prime)) % U(self.prime)]) for old, b in zip((self.up, self.down), self.bases))
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(BYTE_BASE), _Powers(WORD_BASE)
+_POWERS = [_Powers(*p) for p in PRIMES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,23 +82,80 @@ def words(data: np.ndarray, places: np.ndarray, breaks: np.ndarray = SPACE) -> t
     return starts, ends, np.diff(np.searchsorted(starts, places))
 
 
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _BYTES.to(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(WORD_BASE))
+    """64-bit hashes of words, eight bytes a step through a bijection; words of up to eight bytes and equal length never collide."""
+    size = ends - starts
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    live, at, left = None, starts, size
+    while True:
+        step = mix((out if live is None else out[live]) ^ (eights[at] & _TAILS[np.minimum(left, 8)]))
+        if live is None:
+            out, more = step, np.flatnonzero((left > 8) & (size <= LONG_WORD))
+            live = more
+        else:
+            out[live] = step
+            more = np.flatnonzero(left > 8)
+            live = live[more]
+        if not len(live):
+            break
+        at, left = at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words joined by one space, and the place of each word in it (one more: the end, with a space counted after it)."""
+    first = np.append(0, np.cumsum(ends - starts + 1))
+    out = np.full(int(first[-1]), 0x20, np.uint8)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    kept = data[np.cumsum(inside[:-1]).astype(bool)]
+    where = np.ones(len(out), bool)
+    where[first[1:] - 1] = False
+    out[where] = kept
+    return out.tobytes(), first
+
+
+def word_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words themselves as an Arrow array."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    places = np.append(0, np.cumsum(ends - starts))
+    wide = places[-1] >= 1 << 31
+    kind = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
+    return pa.Array.from_buffers(kind[0], len(starts), [None, pa.py_buffer(places.astype(kind[1])), pa.py_buffer(data[np.cumsum(inside[:-1]).astype(bool)])])
+
+
+def digests(line: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes lo..hi of each range: of the words themselves, independent of their names."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(line[a:b]) for a, b in zip(lo.tolist(), hi.tolist())), U, len(lo))
 
 
 class Ranges:
-    """Hashes of ranges of a sequence of 64-bit names."""
+    """Hashes of ranges of a sequence of 64-bit names, by polynomials modulo two primes."""
 
     def __init__(self, names: np.ndarray):
-        self.up, self.down = _WORDS.to(len(names) + 1)
-        self.sums = np.zeros(len(names) + 1, U)
-        np.cumsum((names | U(1)) * self.up[: len(names)] + (names >> U(1)) * self.up[1 : len(names) + 1], out=self.sums[1:])
+        self.parts = []
+        for (prime, _), powers in zip(PRIMES, _POWERS):
+            up, down = powers.to(len(names) + 1)
+            sums = np.zeros(len(names) + 1, U)
+            np.cumsum(names % U(prime) * up[: len(names)] % U(prime), out=sums[1:])  # below 2**64 up to 2**33 names
+            self.parts.append((U(prime), sums, down))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        a, b = ((sums[ends] - sums[starts]) % p * down[starts] % p for p, sums, down in self.parts)
+        return mix((a << U(32) | b) ^ mix((ends - starts).astype(U)))
 
 
 def window_starts(counts: np.ndarray, size: int) -> np.ndarray:

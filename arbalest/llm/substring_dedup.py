@@ -18,7 +18,8 @@ Contract of ``remove_repeats``:
   removed; all windows are judged on the input;
 * one result row for each input row; rows that share id and text get equal results; null ids are allowed; texts shorter
   than a window lose nothing; an empty table gives an empty result; extra columns are ignored;
-* windows are told apart by two independent 64-bit hashes (key symbol and window words).
+* repeats are verified on the words: spans and windows count as equal if their key symbols agree, at the same distance, and
+  XXH3 of their words' own bytes, which no word hash goes into.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from arbalest.llm.common import in_small_batches, stage
 
 U = np.uint64
 WINDOW = 35
+PAIR_BASE = 0xC2B2AE3D27D4EB4F
 #: Pair rounds. A window can lose 1 + 2 + 4 + 8 words at either side at most, besides its first and last run.
 ROUNDS = 4
 NO_ID = -(1 << 63)
@@ -68,7 +70,7 @@ def parse(names: np.ndarray, owner: np.ndarray, windows: np.ndarray, size: int,
         a, b = np.where(some, index[np.minimum(a, m - 1)], 0), np.where(some, index[np.maximum(b - 1, 0)] + 1, 0)
         at = np.flatnonzero(head)
         two, after = pair[at], np.minimum(at + 1, m - 1)
-        name = np.where(two, K.mix(name[at] * U(K.WORD_BASE) + K.mix(name[after] + U(1))), name[at])
+        name = np.where(two, K.mix(name[at] * U(PAIR_BASE) + K.mix(name[after] + U(1))), name[at])
         span = np.where(two, span[at] + span[after], span[at])
         place, text = place[at], text[at]
     key = (np.minimum(span, 63).astype(U) << U(58)) | (K.mix(name) >> U(6))
@@ -88,19 +90,20 @@ def parse(names: np.ndarray, owner: np.ndarray, windows: np.ndarray, size: int,
 
 
 def _read(texts: pa.Array, size: int) -> Iterator[tuple]:
-    """For each slice: first row, word counts, window starts, key places, key names, window hashes, range hashes."""
+    """For each slice: first row, word counts, window starts, key places, key names, and the digests of ranges of words."""
     for row, _, data, places in K.slices(texts):
         starts, ends, counts = K.words(data, places)
         windows = K.window_starts(counts, size)
         if not len(windows):
             continue
         names = K.word_hashes(data, starts, ends)
-        ranges = K.Ranges(names)
-        whole = ranges.of(windows, windows + size)
         place, name = parse(names, np.repeat(np.arange(len(counts)), counts), windows, size)
-        name = np.where(place < 0, whole ^ U(0x77), name)
-        place = np.where(place < 0, windows, place)
-        yield row, counts, windows, place, name, whole, ranges
+        bare = np.flatnonzero(place < 0)
+        if len(bare):
+            name[bare] = K.Ranges(names).of(windows[bare], windows[bare] + size) ^ U(0x77)
+            place[bare] = windows[bare]
+        line, first = K.joined(data, starts, ends)
+        yield row, counts, windows, place, name, lambda lo, hi, line=line, first=first: K.digests(line, first[lo], first[hi] - 1)
 
 
 def _occurrences(size: int):
@@ -109,13 +112,13 @@ def _occurrences(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch["id"].to_numpy(), batch["th"].to_numpy()
-            for row, counts, windows, place, name, _, ranges in _read(batch["text"], size):
+            for row, counts, windows, place, name, digest in _read(batch["text"], size):
                 firsts = np.cumsum(counts) - counts
                 cut = np.append(True, (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1))
                 at = np.flatnonzero(cut)
                 n = np.diff(np.append(at, len(windows)))
                 start, key = windows[at], name[at]
-                unit = K.mix(ranges.of(start, start + n + size - 1) ^ K.mix((place[at] - start).astype(U) * U(64) + n.astype(U)))
+                unit = K.mix(digest(start, start + n + size - 1) ^ K.mix((place[at] - start).astype(U) * U(64) + n.astype(U)))
                 text = np.searchsorted(firsts, start, "right") - 1
                 yield pa.record_batch(
                     [pa.array(ids[row + text]), pa.array(hashes[row + text]), pa.array((start - firsts[text]).astype(np.int32)), pa.array(n.astype(np.int32)), K.signed(key), K.signed(unit)],
@@ -132,7 +135,7 @@ def _windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, asked = batch["id"].to_numpy(), batch["th"].to_numpy(), batch["asked"]
-            for row, counts, windows, place, name, whole, _ in _read(batch["text"], size):
+            for row, counts, windows, place, name, digest in _read(batch["text"], size):
                 firsts = np.cumsum(counts) - counts
                 asks = asked.slice(row, len(counts))
                 text = np.repeat(np.arange(len(asks)), asks.value_lengths().to_numpy())
@@ -142,7 +145,7 @@ def _windows(size: int):
                 text, need = np.repeat(text, n), np.repeat(need, n)
                 k1 = K.mix(name[at] ^ K.mix((place[at] - windows[at]).astype(U)))
                 yield pa.record_batch(
-                    [pa.array(ids[row + text]), pa.array(hashes[row + text]), pa.array((windows[at] - firsts[text]).astype(np.int32)), pa.array(need), K.signed(k1), K.signed(whole[at])],
+                    [pa.array(ids[row + text]), pa.array(hashes[row + text]), pa.array((windows[at] - firsts[text]).astype(np.int32)), pa.array(need), K.signed(k1), K.signed(digest(windows[at], windows[at] + size))],
                     schema=schema,
                 )
 

@@ -269,6 +269,29 @@ def test_substring_dedup_odd_rows(docs, empty):
     assert substring_dedup.remove_repeats(empty).collect() == []
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement, equal under any polynomial hash modulo 2**64 with an odd base."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_break_polynomial_hashes_stay_apart(spark):
+    for n in (64, 256, 257, 1024, 2048):
+        one, other = thue_morse(n)
+        shared = [f"s{i}" for i in range(34)]
+        check_removed(spark, [" ".join([one, *shared]), " ".join([other, *shared]), " ".join([*shared, "x", one])], 35)
+    lines = [thue_morse(2048, "p ", "q ")[i] for i in (0, 1)]  # the same, word by word
+    check_removed(spark, [*lines, f"{lines[0][:400]} end"], 35)
+    data = np.frombuffer(" ".join(w for n in (8, 9, 16, 250, 1024) for w in thue_morse(n)).encode(), np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]))
+    assert len(set(K.word_hashes(data, starts, ends).tolist())) == len(starts)
+
+
+def test_removed_windows_are_the_same_however_words_are_spaced(spark):
+    ws = [f"w{i % 29}x{i}" for i in range(50)]
+    check_removed(spark, ["  ".join(ws), "\n".join(ws) + "\t", f"lead {' '.join(ws[:36])}"], 35)
+
+
 # decontamination
 
 ITEM = "A train leaves at 7 o'clock and travels 120 miles to Boston before Mary Smith boards it for another 3 hours. How far does the train go in all"
@@ -304,7 +327,7 @@ def test_inconsistent_slots_do_not_match(spark):
 
 @pytest.mark.parametrize("max_cells", [40, lm_score.MAX_CELLS])
 def test_lm_scores(docs, empty, max_cells):
-    got = lm_score.score(docs, head=3, max_cells=max_cells).collect()  # most tokens take the join; few cells make many passes
+    got = lm_score.score(docs, head=3, max_cells=max_cells).collect()  # most tokens take the join; few cells leave most contexts to the join
     rows = document_rows()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     counts = Counter()
@@ -347,6 +370,14 @@ def test_lm_scores(docs, empty, max_cells):
     assert lm_score.score(empty).collect() == []
 
 
+def test_lm_does_not_take_one_word_for_another(spark):
+    one, other = thue_morse(1024)
+    docs = [(i, one if zlib.crc32(str(i).encode()) % 10 else other) for i in range(30)]
+    assert {t for _, t in docs} == {one, other}
+    got = lm_score.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.held_out, r.n_known) for r in got} == {(True, 1), (False, 2)}
+
+
 # SimHash
 
 
