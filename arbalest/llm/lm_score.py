@@ -7,12 +7,13 @@ Every text ends in a symbol of its own.
 
 Contexts of up to two bytes have at most 2**16 * 257 cells, whatever the corpus; they become one broadcast table of
 log probabilities. As a context's symbols were all seen in its shorter contexts too, a three-byte context needs only its own
-seen symbols and two corrections to that table, for symbols that its two-byte context has seen and for others. These cells are
-broadcast in parts of about ``MAX_CELLS``, by a hash of the context; one pass over the texts serves each part, and a
-position is scored in the pass of its context.
+seen symbols and two corrections to that table, for symbols that its two-byte context has seen and for others. These are a
+distributed table with a row for each context. The most frequent contexts, ``MAX_CELLS`` cells at most, are broadcast; positions in
+other contexts are joined with the table. So the texts are read once for counting and once for scoring, whatever the corpus.
 
-Words have no such bound. Their counts stay a distributed table keyed by a 64-bit hash; the ``HEAD`` most frequent
-ones are broadcast, the tokens beyond them are joined with the table. The result does not depend on ``HEAD``.
+Words are treated alike: their counts are a distributed table keyed by the word itself; the ``HEAD`` most frequent ones are
+broadcast and found by hash, each find being verified on the word; the tokens beyond them are joined with the table. Results do
+not depend on ``HEAD`` or ``MAX_CELLS``.
 
 Contract of ``score``:
 * A-Z are lower-cased; tokens are runs of anything but space and \\x09-\\x0D, then one end token; null texts are empty;
@@ -26,12 +27,12 @@ Contract of ``score``:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
@@ -42,13 +43,14 @@ FOLDS = 10
 END = 256
 SYMBOLS = 257
 HEAD = 1 << 18
-NO_ID = -(1 << 63)
+#: Longer words are not broadcast, so that the head has at most HEAD times as many bytes.
+HEAD_WORD = 64
 #: Kinds of counts: words, and grams at the fourth and later, third, second, and first symbol of a text.
 WORD, LATER, THIRD, SECOND, FIRST = 0, 1, 2, 3, 4
 #: Codes: contexts of n bytes are numbers in base 256; a gram is its context * SYMBOLS + symbol.
 PAIRS = (1 << 16) * SYMBOLS
 MAX_CELLS = 1 << 21
-FLUSH = 1 << 20
+FLUSH, FLUSH_BYTES = 1 << 20, 1 << 25
 #: Slices for counting; longer ones share one array of gram counts among more bytes.
 COUNT_BYTES = 1 << 21
 
@@ -119,28 +121,61 @@ class _Sums:
         return keys, counts
 
 
+class _Words:
+    """Counts by word, merged like ``_Sums``."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.Table] = []
+        self.held = self.size = 0
+
+    def add(self, words: pa.Array, counts: pa.Array) -> None:
+        self.parts.append(pa.table({"word": words.cast(pa.large_binary()), "n": counts}))
+        self.held += len(words)
+        self.size += words.nbytes
+
+    def merged(self) -> tuple[pa.Array, pa.Array]:
+        if not self.parts:
+            return pa.array([], pa.large_binary()), pa.array([], pa.int64())
+        sums = pa.concat_tables(self.parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        self.parts, self.held, self.size = [], 0, 0
+        return sums["word"].combine_chunks(), sums["n_sum"].combine_chunks()
+
+
+COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("word", pa.large_binary()), ("n", pa.int64())])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
-    sums = {kind: _Sums() for kind in (WORD, LATER, THIRD, SECOND, FIRST)}
+    sums, words = {kind: _Sums() for kind in (LATER, THIRD, SECOND, FIRST)}, _Words()
 
-    def out(kind: int) -> pa.RecordBatch:
+    def grams(kind: int) -> pa.RecordBatch:
         keys, counts = sums[kind].merged()
-        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(counts)], schema=schema)
+        return pa.record_batch([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.nulls(len(keys), pa.large_binary()), pa.array(counts)], schema=COUNTS)
+
+    def tokens() -> pa.RecordBatch:
+        found, counts = words.merged()
+        return pa.record_batch([pa.array(np.full(len(found), WORD, np.int8)), pa.nulls(len(found), pa.int64()), found, counts], schema=COUNTS)
 
     for batch in batches:
         for _, _, data, places in K.slices(batch["text"], COUNT_BYTES):
             data = K.LOWER[data]
             starts, ends, _ = K.words(data, places)
-            sums[WORD].add(*np.unique(K.word_hashes(data, starts, ends).view(np.int64), return_counts=True))
+            if len(starts):
+                seen = K.word_array(data, starts, ends).value_counts()
+                words.add(seen.field("values"), seen.field("counts"))
             for kind, keys, counts in _grams(*_symbols(data, places)):
                 sums[kind].add(keys, counts)
             for kind, s in sums.items():
                 if s.held > 4 * FLUSH:
                     s.add(*s.merged())
                     if s.held > FLUSH:
-                        yield out(kind)
+                        yield grams(kind)
+            if words.held > 4 * FLUSH or words.size > FLUSH_BYTES:
+                words.add(*words.merged())
+                if words.held > FLUSH or words.size > FLUSH_BYTES // 2:
+                    yield tokens()
     for kind in sums:
-        yield out(kind)
+        yield grams(kind)
+    yield tokens()
 
 
 class Lookup:
@@ -227,30 +262,62 @@ class Short:
         return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
 
+def _corrections(short: Short, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of whole contexts' cells, sorted by code: (contexts, cells of each, count of each, log10 corrections for symbols that the
+    shorter context has seen and for others, log10 probability of each cell)."""
+    counts = counts.astype(np.float64)
+    contexts, starts = np.unique(codes // SYMBOLS, return_index=True)
+    kinds = np.diff(np.append(starts, len(codes)))
+    add = lambda v: np.add.reduceat(v, starts) if len(starts) else np.zeros(0)
+    total = add(counts)
+    below = short.counts[np.searchsorted(short.codes, codes % PAIRS)]  # each cell's symbol in the shorter context
+    at = np.searchsorted(short.contexts, contexts % (1 << 16))
+    total2, kinds2 = short.total[at], short.kinds[at]
+    left, fresh = total2 - add(below), kinds2 - kinds  # what the shorter context has beyond this one
+    escape, escape2 = np.log10(kinds / (total + kinds)), np.log10(kinds2 / (total2 + kinds2))
+    rest = np.maximum(left + fresh, 1)
+    seen = escape + np.log10(total2 + kinds2) - np.log10(rest)
+    unseen = escape + np.where(fresh > 0, np.log10(np.maximum(fresh, 1) / rest), 0) - escape2
+    return contexts, kinds, total, seen.astype(np.float32), unseen.astype(np.float32), np.log10(counts / np.repeat(total + kinds, kinds)).astype(np.float32)
+
+
+CONTEXTS = "context long, n double, size int, seen float, unseen float, symbols array<int>, logs array<float>"
+
+
+def _contexts(shared):
+    """Rows (context, its cells) as ``CONTEXTS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch["cells"].flatten()
+            codes, counts = cells.field("key").to_numpy(), cells.field("n").to_numpy()
+            order = np.argsort(codes, kind="stable")
+            contexts, kinds, total, seen, unseen, logs = _corrections(shared.value, codes[order], counts[order])
+            ends = pa.array(np.append(0, np.cumsum(kinds)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array((codes[order] % SYMBOLS).astype(np.int32)), pa.array(logs))]
+            yield pa.record_batch([pa.array(contexts), pa.array(total), pa.array(kinds.astype(np.int32)), pa.array(seen), pa.array(unseen), *lists], ["context", "n", "size", "seen", "unseen", "symbols", "logs"])
+
+    return run
+
+
 class Long:
-    """Order 3 in one part: own log10 probabilities of the seen cells, and the corrections of the others."""
-
-    def __init__(self, short: Short, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order].astype(np.float64)
-        contexts, starts = np.unique(codes // SYMBOLS, return_index=True)
-        kinds = np.diff(np.append(starts, len(codes)))
-        add = lambda v: np.add.reduceat(v, starts) if len(starts) else np.zeros(0)
-        total = add(counts)
-        below = short.counts[np.searchsorted(short.codes, codes % PAIRS)]  # each cell's symbol in the shorter context
-        at = np.searchsorted(short.contexts, contexts % (1 << 16))
-        total2, kinds2 = short.total[at], short.kinds[at]
-        left, fresh = total2 - add(below), kinds2 - kinds  # what the shorter context has beyond this one
-        escape, escape2 = np.log10(kinds / (total + kinds)), np.log10(kinds2 / (total2 + kinds2))
-        rest = np.maximum(left + fresh, 1)
-        self.seen = (escape + np.log10(total2 + kinds2) - np.log10(rest)).astype(np.float32)
-        self.unseen = (escape + np.where(fresh > 0, np.log10(np.maximum(fresh, 1) / rest), 0) - escape2).astype(np.float32)
-        self.cell = np.log10(counts / np.repeat(total + kinds, kinds)).astype(np.float32)
-        self.contexts, self.cells = Lookup(contexts), Lookup(codes)
-
-
-def ppm_scores(data: np.ndarray, places: np.ndarray, short: Short, long: Long, part: int, parts: int) -> np.ndarray:
-    """log10 probability of each text and its end, as far as its positions belong to the part."""
+    """The broadcast contexts of order 3: log10 probabilities of their seen cells, and the corrections of the others."""
+
+    def __init__(self, rows: pa.Table, whole: bool):
+        arrays = [rows[c].combine_chunks() for c in ("context", "seen", "unseen", "symbols", "logs")]
+        contexts, self.seen, self.unseen = (c.to_numpy() for c in arrays[:3])
+        sizes = arrays[3].value_lengths().to_numpy() if len(contexts) else np.zeros(0, np.int64)
+        self.cell = arrays[4].flatten().to_numpy()
+        self.contexts, self.cells = Lookup(contexts), Lookup(np.repeat(contexts, sizes) * SYMBOLS + arrays[3].flatten().to_numpy())
+        self.whole = whole  # there are no other contexts
+
+
+def ppm_scores(data: np.ndarray, places: np.ndarray, short: Short, long: Long) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 probability of each text and its end, without the open positions; number of open positions of each text; and of
+    these the cell's code * 2 + whether its shorter context has seen the symbol, and the log10 probability there). Open
+    positions have a context of order 3 that is not broadcast."""
     symbols, firsts = _symbols(data, places)
     kind, low = _edges(symbols, firsts), symbols & 255
     row = np.zeros(len(symbols), np.int64)
@@ -262,112 +329,118 @@ def ppm_scores(data: np.ndarray, places: np.ndarray, short: Short, long: Long, p
     logs = short.table.ravel()[cell].astype(np.float64)
     at = np.flatnonzero(kind == LATER)
     context = (low[at - 3] * 256 + low[at - 2]) * 256 + low[at - 1]
-    if parts > 1:
-        own = part_of(context, parts) == part
-        logs[at[~own]] = 0
-        if part:
-            logs[kind != LATER] = 0
-        at, context = at[own], context[own]
     place = long.contexts.find(context)
+    open_at = np.zeros(0, np.int64) if long.whole else at[place < 0]
+    keys, lows = (context[place < 0] * SYMBOLS + symbols[open_at]) * 2 + short.seen2.ravel()[cell[open_at]] if len(open_at) else np.zeros(0, np.int64), logs[open_at]
+    logs[open_at] = 0
     at, context, place = at[place >= 0], context[place >= 0], place[place >= 0]
     hit = long.cells.find(context * SYMBOLS + symbols[at])
     shift = np.where(short.seen2.ravel()[cell[at]], long.seen[place], long.unseen[place])
     logs[at] = np.where(hit >= 0, long.cell[hit] if len(long.cell) else 0, logs[at] + shift)
-    return np.add.reduceat(logs, firsts)
+    n_open = np.bincount(np.searchsorted(firsts, open_at, "right") - 1, minlength=len(firsts))
+    return np.add.reduceat(logs, firsts), n_open, keys, lows
+
 
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
 
-def part_of(contexts: np.ndarray, parts: int) -> np.ndarray:
-    return (contexts * 40503 >> 8) % parts
 
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, open array<long>, lows array<double>"
 
-def _score(shared):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("id", pa.int64()), ("th", pa.int64()), ("tail", pa.list_(pa.int64()))])
+
+def _score(shared_short, shared):
+    names = [c.split()[0] for c in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, logs, end_known, end_log, short, long, parts = shared.value
-        row = TaskContext.get().partitionId() << 40
+        head, hashes, logs, end_known, end_log, long = shared.value
+        short, row = shared_short.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, places in K.slices(batch["text"]):
                 data = K.LOWER[data]
                 starts, ends, counts = K.words(data, places)
-                hashes = K.word_hashes(data, starts, ends).view(np.int64)
-                at = np.minimum(np.searchsorted(head, hashes), max(len(head) - 1, 0))
-                known = head[at] == hashes if len(head) else np.zeros(len(hashes), bool)
+                found = K.word_hashes(data, starts, ends)
+                words = K.word_array(data, starts, ends)
+                at = np.minimum(np.searchsorted(hashes, found), max(len(hashes) - 1, 0))
+                known = hashes[at] == found if len(hashes) else np.zeros(len(found), bool)
+                hit = np.flatnonzero(known)
+                known[hit] = pc.equal(words.take(pa.array(hit)), head.take(pa.array(at[hit]))).to_numpy(zero_copy_only=False)  # the words themselves
                 owner = np.repeat(np.arange(hi - lo), counts)
                 n_head = np.bincount(owner[known], minlength=hi - lo)
-                base = np.bincount(owner[known], logs[at[known]] if len(head) else None, minlength=hi - lo) + end_log
-                tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts - n_head)).astype(np.int32)), pa.array(hashes[~known]))
+                base = np.bincount(owner[known], logs[at[known]] if len(hashes) else None, minlength=hi - lo) + end_log
+                score, n_open, keys, lows = ppm_scores(data, places, short, long)
                 yield pa.record_batch(
-                    [pa.array(np.arange(row, row + hi - lo)), batch["doc_id"].slice(lo, hi - lo), batch["held_out"].slice(lo, hi - lo), pa.array(counts + 1),
-                     pa.array(n_head + end_known), pa.array(base), pa.array(ppm_scores(data, places, short, long, 0, parts)),
-                     batch["id"].slice(lo, hi - lo), batch["th"].slice(lo, hi - lo), tail], schema=schema
+                    [pa.array(np.arange(row, row + hi - lo)), batch["doc_id"].slice(lo, hi - lo), batch["held_out"].slice(lo, hi - lo), pa.array(counts + 1), pa.array(n_head + end_known),
+                     pa.array(base), pa.array(score), _lists(counts - n_head, words.filter(pa.array(~known))), _lists(n_open, pa.array(keys)), _lists(n_open, pa.array(lows))], names
                 )
                 row += hi - lo
 
     return run
 
 
-def _further(shared, part: int):
-    """The share of one further part in each text's score."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("part", pa.int32()), ("more", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, long, parts = shared.value
-        for batch in batches:
-            for lo, hi, data, places in K.slices(batch["text"]):
-                more = ppm_scores(K.LOWER[data], places, short, long, part, parts)
-                yield pa.record_batch([batch["id"].slice(lo, hi - lo), batch["th"].slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(more)], schema=schema)
-
-    return run
-
-
-def most_frequent(words: DataFrame, head: int) -> DataFrame:
-    """At most ``head`` words: all whose counts reach a power of 2**(1/8) that no more words reach. No task sees all words."""
-    steps = words.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("n")).collect()  # a few hundred rows
+def most_frequent(rows: DataFrame, limit: int, size: Column) -> DataFrame:
+    """The rows of largest ``n``, of total ``size`` at most ``limit``: all whose n reaches a power of 2**(1/8) beyond which the rows
+    are no larger together. No task sees all rows."""
+    step = F.floor(F.log2("n") * 8)
+    steps = rows.groupBy(step.alias("step")).agg(F.sum(size).alias("size")).collect()  # a few hundred rows
     least, held = None, 0
     for r in sorted(steps, key=lambda r: -r.step):
-        held += r.n
-        if held > head:
+        held += r.size
+        if held > limit:
             break
         least = r.step
-    return words.where(F.floor(F.log2("n") * 8) >= least) if least is not None else words.limit(0)
+    return rows.where(step >= least) if least is not None else rows.limit(0)
 
 
 def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(folds) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"id": F.coalesce("doc_id", F.lit(NO_ID)), "th": F.xxhash64("text")})
-    counts = rows.where("not held_out").select("text").mapInArrow(_count, "kind byte, key long, n long")
-    counts = stage(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # four rows
-    n = {r.kind: r.n for r in totals}
-    texts, kinds = n.get(FIRST, 0), {r.kind: r.v for r in totals}.get(WORD, 0)
-    train, vocabulary = n.get(WORD, 0) + texts, kinds + (texts > 0)
+    counts = rows.where("not held_out").select("text").mapInArrow(_count, "kind byte, key long, word binary, n long")
+    counts = stage(counts.groupBy("kind", "key", "word").agg(F.sum("n").alias("n")))
+    totals = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # five rows
+    texts = totals[FIRST].n if FIRST in totals else 0
+    tokens, kinds = (totals[WORD].n, totals[WORD].v) if WORD in totals else (0, 0)
+    train, vocabulary = tokens + texts, kinds + (texts > 0)
     below = float(train + 0.1 * (vocabulary + 1))
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    frequent = most_frequent(words, head).toArrow()
-    keys, log = frequent["key"].to_numpy(), np.log10((frequent["n"].to_numpy() + 0.1) / below)
-    order = np.argsort(keys)
-    cells = counts.where(F.col("kind") == LATER).select("key", "n")
+
+    words = counts.where(F.col("kind") == WORD).select("word", "n")
+    frequent = most_frequent(words.where(F.octet_length("word") <= HEAD_WORD), head, F.lit(1)).toArrow().combine_chunks()
+    known = frequent["word"].combine_chunks().cast(pa.binary())
+    line = b" ".join(known.to_pylist())
+    hashes = K.word_hashes(*(lambda d: (d, *K.words(d, np.array([0, len(d)]))[:2]))(np.frombuffer(line, np.uint8)))
+    order = np.argsort(hashes)
+    logs = np.log10((frequent["n"].to_numpy() + 0.1) / below)
+
     pairs = counts.where(F.col("kind").isin(LATER, THIRD)).groupBy((F.col("key") % PAIRS).alias("key")).agg(F.sum("n").alias("n"))
     arrays = lambda df: (lambda t: (t["key"].to_numpy(), t["n"].to_numpy()))(df.select("key", "n").toArrow())
-    short = Short(arrays(pairs), *(arrays(counts.where(F.col("kind") == k)) for k in (SECOND, FIRST)))  # 2**16 * 257 rows at most
-    parts = 1 + {r.kind: r.v for r in totals}.get(LATER, 0) // max_cells
-    in_part = F.pmod(F.shiftright(F.floor(F.col("key") / SYMBOLS) * 40503, 8), F.lit(parts))
-    long = lambda p: Long(short, *arrays(cells.where(in_part == p)))
-    shared = spark.sparkContext.broadcast((keys[order], log[order], int(texts > 0), float(np.log10((texts + 0.1) / below)), short, long(0), parts))
-    found = stage(rows.mapInArrow(_score(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, id long, th long, tail array<long>"))
-    further = [rows.mapInArrow(_further(spark.sparkContext.broadcast((short, long(p), parts)), p), "id long, th long, part int, more double") for p in range(1, parts)]
-    tail = found.select("row", F.explode("tail").alias("key")).join(words, "key", "left")
+    short = spark.sparkContext.broadcast(Short(arrays(pairs), *(arrays(counts.where(F.col("kind") == k)) for k in (SECOND, FIRST))))  # 2**16 * 257 cells at most
+    cells = counts.where(F.col("kind") == LATER).groupBy(F.floor(F.col("key") / SYMBOLS)).agg(F.collect_list(F.struct("key", "n")).alias("cells"))  # 257 a context at most
+    contexts = stage(cells.select("cells").mapInArrow(_contexts(short), CONTEXTS))
+    best = most_frequent(contexts, max_cells, F.col("size")).toArrow()
+    long = Long(best, contexts.count() == best.num_rows)
+    shared = spark.sparkContext.broadcast((known.take(pa.array(order)), hashes[order], logs[order], int(texts > 0), float(np.log10((texts + 0.1) / below)), long))
+
+    found = stage(rows.mapInArrow(_score(short, shared), SCORED))
+    tail = found.select("row", F.explode("tail").alias("word")).join(words, "word", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1).cast("double")) / F.lit(below))).alias("rest"), F.count("n").alias("more")
     )
-    out = found.drop("tail").join(tail, "row", "left")
-    if further:  # rows of equal id and text have equal shares
-        each = reduce(DataFrame.union, further).groupBy("id", "th", "part").agg(F.first("more").alias("more"))
-        out = out.join(each.groupBy("id", "th").agg(F.sum("more").alias("_more")), ["id", "th"]).withColumn("score", F.col("score") + F.col("_more"))
+    out = found.drop("tail", "open", "lows").join(tail, "row", "left")
+    if not long.whole:
+        out = out.join(_opened(found, contexts), "row", "left").withColumn("score", F.col("score") + F.coalesce("_more", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
     )
+
+
+def _opened(found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(row, _more): log10 probability of each row's open positions, by a join with their contexts."""
+    at = found.select("row", F.explode(F.arrays_zip("open", "lows")).alias("x")).select("row", "x.open", F.col("x.lows").alias("low"))
+    code = F.shiftright("open", 1)
+    at = at.select("row", "low", (F.col("open") % 2 == 1).alias("seen2"), (code % SYMBOLS).cast("int").alias("symbol"), F.floor(code / SYMBOLS).alias("context"))
+    both = at.join(contexts.drop("n", "size"), "context", "left")
+    place = F.array_position("symbols", F.col("symbol"))
+    other = F.col("low") + F.when(F.col("seen2"), F.col("seen")).otherwise(F.col("unseen"))
+    value = F.when(F.col("symbols").isNull(), F.col("low")).when(place > 0, F.element_at("logs", F.nullif(place, F.lit(0)).cast("int")).cast("double")).otherwise(other)
+    return both.groupBy("row").agg(F.sum(value).alias("_more"))
