@@ -2,8 +2,11 @@
 
 The keys are the hosts of the table and all their parent domains. Level 0 of the cascade encodes the listed keys,
 level 1 the unlisted keys that pass level 0, level 2 the listed keys that pass level 1, and so on until no key is left.
-For keys of that universe, which are all keys that can be asked for, membership is exact. Testing a url needs no join:
-the levels are literals in its expression.
+For keys of that universe, which are all keys that can be asked for, membership is exact. Testing a url needs no join: the
+levels are literals in its expression. Level 0's false positive rate is listed / unlisted keys, so that about as many unlisted keys
+pass it as are listed: its bits, and those of all further levels, follow the list and the logarithm of the universe.
+A list whose levels would have more than ``MAX_WORDS`` words (some millions of keys) is not sent along with the plan: there the
+universe's flags are joined with the hosts, with the same result.
 
 Contract of ``judge``:
 * host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or
@@ -16,10 +19,12 @@ Contract of ``judge``:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbalest.llm.common import cut, lower_ascii
+from arbalest.llm.common import lower_ascii, stage
 
 #: Rules as (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -29,10 +34,10 @@ LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 LISTED_SUFFIXES = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{name}.{suffix}" for name in LISTED_NAMES for suffix in LISTED_SUFFIXES)
 
-HASHES = 3
-BITS_PER_KEY = 8
-#: Bound of one level as a literal: 2**16 words of 64 bits, 512 KB. A longer list is split by key hash into more cascades.
-MAX_WORDS = 1 << 16
+#: False positive rate of all levels but the first, and of the first at least.
+RATE = 1 / 32
+#: Bound of all levels together: 2**21 words of 64 bits, 16 MB.
+MAX_WORDS = 1 << 21
 
 
 def host_of(url: Column) -> Column:
@@ -58,44 +63,52 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return name, verdict
 
 
+def words_for(n: int, rate: float) -> int:
+    """64-bit words, a power of two of them, of a filter for ``n`` keys at a false positive rate."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, n * math.log2(1 / rate) / math.log(2) / 64))))
+
+
 class Level:
-    """One Bloom filter: 2**k bits as 64-bit words."""
-
-    def __init__(self, keys: DataFrame, n: int, seed: int):
-        self.bits = 64
-        while self.bits < BITS_PER_KEY * n:
-            self.bits *= 2
-        self.seed = seed
-        at = keys.select(F.explode(F.array(*[self.place(F.col("key"), i) for i in range(HASHES)])).alias("at"))
+    """One Bloom filter."""
+
+    def __init__(self, keys: DataFrame, n: int, rate: float, seed: int):
+        self.bits, self.seed = 64 * words_for(n, rate), seed
+        self.hashes = max(1, round(math.log2(1 / rate)))
+        at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(self.bit(F.col("at"))).alias("bits"))
         got = {r.word: r.bits for r in words.collect()}  # bits / 64 rows at most
         self.words = [got.get(i, 0) for i in range(self.bits // 64)]
         self.literal = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded once, when planned
 
-    def place(self, key: Column, i: int) -> Column:
-        return F.xxhash64(key, F.lit(self.seed * HASHES + i)).bitwiseAND(self.bits - 1)
+    def places(self, key: Column) -> list[Column]:
+        """Of all hashes, from two."""
+        a, b = (F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * self.seed + i)), 2) for i in (0, 1))
+        mask = F.lit(self.bits - 1).cast("bigint")
+        return [(a.bitwiseAND(mask) + F.lit(i) * b.bitwiseAND(mask).bitwiseOR(F.lit(1).cast("bigint"))).bitwiseAND(mask) for i in range(self.hashes)]
 
     @staticmethod
     def bit(at: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
 
     def passes(self, key: Column) -> Column:
-        tests = [F.element_at(self.literal, (F.shiftright(at := self.place(key, i), 6) + 1).cast("int")).bitwiseAND(self.bit(at)) != 0 for i in range(HASHES)]
-        return tests[0] & tests[1] & tests[2]
+        answer = F.lit(True)
+        for at in self.places(key):
+            answer = answer & (F.element_at(self.literal, (F.shiftright(at, 6) + 1).cast("int")).bitwiseAND(self.bit(at)) != 0)
+        return answer
 
 
 class Cascade:
-    """Exact membership in ``listed`` for every key of ``universe`` (column ``key``, distinct; flag ``listed``)."""
+    """Exact membership in the listed keys for every key of ``universe`` (column ``key``, distinct; flag ``listed``)."""
 
-    def __init__(self, universe: DataFrame):
+    def __init__(self, universe: DataFrame, n_listed: int, n_unlisted: int):
         self.levels: list[Level] = []
-        inside, outside = universe.where("listed"), universe.where("not listed")
-        while n := inside.count():
-            level = Level(inside, n, len(self.levels))
-            if len(level.words) > MAX_WORDS:
-                raise ValueError("split the list into more parts")
+        inside, outside, n = universe.where("listed"), universe.where("not listed"), n_listed
+        rate = min(RATE, n_listed / max(1, n_unlisted))
+        while n:
+            level = Level(inside, n, rate if not self.levels else RATE, len(self.levels))
             self.levels.append(level)
             inside, outside = outside.where(level.passes(F.col("key"))), inside
+            n = inside.count()
 
     def contains(self, key: Column) -> Column:
         """Decided by the first level that the key fails: even levels hold listed keys, odd ones unlisted."""
@@ -113,24 +126,22 @@ def universe_of(pages: DataFrame, listed: DataFrame) -> DataFrame:
     return keys.join(flags, "key", "left").select("key", F.coalesce("_in", F.lit(False)).alias("listed"))
 
 
-def judge(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """host, path, rule and verdict of every page; ``listed`` has the blocked domains in column ``key``."""
+def judge(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, max_words: int = MAX_WORDS) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page; ``listed`` has the blocked domains in column ``key``."""
     spark = pages.sparkSession
     if listed is None:
         listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
-    universe = cut(universe_of(pages, listed))
-    most = MAX_WORDS * 64 // BITS_PER_KEY // 2
-    parts = 1 + universe.where("listed").count() // most
-    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
-    cascades = [Cascade(universe.where(part_of(F.col("key")) == i)) for i in range(parts)]
-
-    def is_listed(key: Column) -> Column:
-        answer = F.lit(False)
-        for i, cascade in enumerate(cascades):
-            answer = F.when(part_of(key) == i, cascade.contains(key)).otherwise(answer)
-        return answer if parts > 1 else cascades[0].contains(key)
-
+    universe = stage(universe_of(pages, listed))
+    sizes = universe.agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).first()
+    first = words_for(sizes.inside, min(RATE, sizes.inside / max(1, sizes.outside))) if sizes.inside else 0
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    if first + 4 * words_for(sizes.inside, RATE) <= max_words:  # the further levels shrink by RATE every other time
+        cascade = Cascade(universe, sizes.inside, sizes.outside)
+        found = F.exists(domains(F.col("host")), cascade.contains)
+    else:
+        hosts = url.select("host").distinct().withColumn("key", F.explode(domains(F.col("host"))))
+        hits = hosts.join(universe.where("listed"), "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
+        url, found = url.join(hits.hint("merge"), "host", "left"), F.coalesce("hit", F.lit(False))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    hit = F.when(verdict.isNull() & F.exists(domains(F.col("host")), is_listed), F.lit("block")).otherwise(F.lit("allow"))
+    hit = F.when(verdict.isNull() & found, F.lit("block")).otherwise(F.lit("allow"))
     return url.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, hit).alias("verdict"))
