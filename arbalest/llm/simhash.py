@@ -4,12 +4,13 @@ Distances to fixed reference fingerprints (pivots) obey the triangle inequality:
 other differ by at most r in every pivot distance. Inside a bucket the fingerprints are sorted by their distance to
 the first pivot, pairs are taken only while that coordinate is within r, the other coordinates discard most of the
 rest, and the survivors are verified bit by bit. Random fingerprints all lie near 32 from any pivot, so pivots alone
-would leave a quadratic number of pairs to discard; the buckets are therefore exact pigeonhole keys: of 6 bit blocks at
-least 2 agree in any pair within 4 bits, and a fingerprint is filed under all 15 pairs of its blocks.
+would leave a quadratic number of pairs to discard; the buckets are therefore exact pigeonhole keys: of r + 2 bit blocks at
+least 2 agree in any pair within r bits, and a fingerprint is filed under all pairs of its blocks (15 for r = 4, of 21 bits
+each). From ``WIDER`` distinct fingerprints on, keys of 3 of r + 3 blocks, then of 4 of r + 4, keep buckets small.
 
 A bucket of more than ``BLOCK`` fingerprints is cut into blocks by hash, and each pair of blocks is one unit of work, so
 that neither a task nor memory grows with a bucket. A unit emits the edges of a spanning forest, never all its pairs.
-Components come from alternating large-star and small-star rounds, each cut by a checkpoint.
+Components come from alternating large-star and small-star rounds, each written as a table.
 
 Contract of ``near_duplicates``:
 * A-Z are lower-cased; shingles are ``width`` consecutive words (runs of anything but space and \\x09-\\x0D), joined by a
@@ -32,20 +33,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbalest.llm.common import cut, in_small_batches, stage
+from arbalest.llm.common import in_small_batches, stage
 from arbalest.llm.kernels import U, mix
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 PIVOTS = mix(np.arange(1, 17, dtype=U))
 BLOCK = 1024
+#: Numbers of fingerprints from which keys take one block more: 2**25 meet 21 bits 16 times, 2**31 meet 27 bits as often.
+WIDER = (1 << 25, 1 << 31)
 NO_ID = (1 << 63) - 1
 
 
-def _masks(radius: int = RADIUS) -> list[int]:
-    """Masks of all pairs of ``radius`` + 2 bit blocks; two fingerprints within the radius agree under one of them."""
-    ends = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+def _masks(radius: int = RADIUS, agree: int = 2) -> list[int]:
+    """Masks of all choices of ``agree`` of ``radius`` + ``agree`` bit blocks; two fingerprints within the radius agree under one of
+    them."""
+    ends = [round(64 * i / (radius + agree)) for i in range(radius + agree + 1)]
     blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in itertools.pairwise(ends)]
-    return [a | b for a, b in itertools.combinations(blocks, 2)]
+    return [sum(choice) for choice in itertools.combinations(blocks, agree)]
 
 
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
@@ -143,9 +147,12 @@ def _links(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints ``fp`` as their links within ``radius`` bits do."""
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("part")) for i, m in enumerate(_masks(radius))])
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int | None = None) -> DataFrame:
+    """Edges (u, v) that connect the distinct fingerprints ``fp`` as their links within ``radius`` bits do, whatever ``agree`` is."""
+    if agree is None:
+        n = fps.count()
+        agree = 2 + sum(n >= least for least in WIDER)
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("part")) for i, m in enumerate(_masks(radius, agree))])
     filed = fps.select("fp", F.explode(keys).alias("k")).select("k.band", "k.part", "fp")
     counts = filed.groupBy("band", "part").agg(F.count("*").alias("_n")).where("_n > 1")
     filed = filed.join(counts, ["band", "part"]).withColumn("_b", F.ceil(F.col("_n") / block).cast("int"))
@@ -159,14 +166,14 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges, the root being its component's smallest node."""
-    edges, seen = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    edges, seen = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        edges = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -178,7 +185,7 @@ def labelled(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
     """(doc_id, th, fp, root) of every row; th: hash of the text; root: the component's smallest fingerprint."""
     rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     rows = stage(rows.mapInArrow(_fingerprints(width), "doc_id long, th long, fp long"))
-    roots = cut(components(links(rows.select("fp").distinct(), radius)).withColumnRenamed("node", "fp"))
+    roots = stage(components(links(stage(rows.select("fp").distinct()), radius)).withColumnRenamed("node", "fp"))
     return rows.join(roots, "fp", "left").select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -189,9 +196,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return rows.join(firsts, "root").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def rows_of(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """(row, id, th) of the rows of ``docs`` that are (or, with left_anti, are not) among the keys (id, th), whatever their columns are called."""
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return keyed.join(keys.distinct(), ["id", "th"], how)
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the smallest id stays (null ids come
     last; of equal ids the smallest text hash, of equal rows one)."""
-    kept = labelled(docs, width, radius).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("th").alias("_th"))).alias("k"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(kept.select("k._id", "k._th").distinct(), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+    kept = labelled(docs, width, radius).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("k"))
+    return rows_of(docs, kept.select("k.id", "k.th")).dropDuplicates(["id", "th"]).select("row.*")
