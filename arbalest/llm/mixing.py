@@ -11,7 +11,7 @@ Contract:
   reshared by weight until none does;
 * a source's words are taken in whole passes over it, in digest order, and the last pass ends inside one document, so
   the taken words equal floor(target), and no document exceeds ceil(cap) times its size;
-* null ids count as the empty text in the order; equal ids are ordered by size; repeated rows all take part;
+* digests are of id (null: empty) and text, so that rows without ids, or of one id, spread too; repeated rows all take part;
   an empty table, or one without words, gives targets 0; extra columns are ignored.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbalest.llm.common import WORD, cut, id_text
+from arbalest.llm.common import WORD, id_text, numbered, stage
 
 #: Hex digits of the digest that splits each source: 16**3 pieces, so that a hot source is never one group.
 PIECE_DIGITS = 3
@@ -34,23 +34,16 @@ def word_count(col: str = "text") -> Column:
 def ranked_sources(pieces: DataFrame) -> DataFrame:
     """(source, source_size, rank from 0 in code point order, null last).
 
-    Ranks come from a distributed sort: rows before a partition, plus the row's place in it. The sorted table is
-    checkpointed first, which fixes partitions and their order.
-    """
+    Ranks come from a distributed sort: rows before a partition, plus the row's place in it."""
     sizes = pieces.groupBy("source").agg(F.sum("piece_size").alias("source_size"))
-    at = cut(sizes.orderBy(F.col("source").asc_nulls_last())).withColumn("_at", F.monotonically_increasing_id())
-    at = at.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    parts = at.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each sorted partition
-    parts = parts.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    return at.join(parts, "_part").select("source", "source_size", (F.col("_before") + F.col("_row")).alias("rank"))
+    return numbered(sizes.orderBy(F.col("source").asc_nulls_last())).withColumnRenamed("row_no", "rank")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """``sources`` with weight and target. Each round caps the sources above their limit and reshares; two sums
     reach the driver each round."""
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = cut(sources.withColumn("weight", weight))
+    sources = stage(sources.withColumn("weight", weight))
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     limit = F.lit(float(cap)) * F.col("source_size")
     rate, capped, known = 0.0, F.lit(False), -1
@@ -70,7 +63,7 @@ def placed(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float,
     """``rows`` (source, size, _digest, doc_id and any others) with source_size, target, tilt, taken, and _before: the
     source's words ahead. Rows are shuffled once, by (source, digest piece)."""
     rows = rows.withColumn("_piece", F.substring("_digest", 1, PIECE_DIGITS))
-    pieces = cut(rows.groupBy("source", "_piece").agg(F.sum("size").alias("piece_size")))
+    pieces = stage(rows.groupBy("source", "_piece").agg(F.sum("size").alias("piece_size")))
     tilt = F.element_at(F.array(*[F.lit(float(x)) for x in tilts]), (F.col("rank") % len(tilts) + 1).cast("int"))
     sources = targets(ranked_sources(pieces), weights, share, cap).withColumn("tilt", tilt)
     ahead = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +90,7 @@ def position(turn: Column) -> Column:
 
 
 def read(docs: DataFrame, *payload: Column | str) -> DataFrame:
-    return docs.select(*payload, F.col("source").cast("string").alias("source"), word_count().alias("size"), F.md5(id_text()).alias("_digest"))
+    return docs.select(*payload, F.col("source").cast("string").alias("source"), word_count().alias("size"), F.md5(F.concat(id_text(), F.lit(":"), F.coalesce("text", F.lit("")))).alias("_digest"))
 
 
 def mix(

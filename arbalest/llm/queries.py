@@ -75,7 +75,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 OP3_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS digest,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),

@@ -208,7 +208,7 @@ def mixed(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
     out = []
     for s in order:
         target = math.floor(cap * size[s] if s in full else rate * weight[s])
-        mine = [(hashlib.md5(id_text(r["doc_id"]).encode()).hexdigest(), len(words(r["text"])), r) for r in rows if r["source"] == s]
+        mine = [(hashlib.md5(f"{id_text(r['doc_id'])}:{r['text'] or ''}".encode()).hexdigest(), len(words(r["text"])), r) for r in rows if r["source"] == s]
         ahead = 0
         for _, n, r in sorted(mine, key=lambda x: x[:2]):
             taken = target // size[s] * n + max(0, min(target % size[s] - ahead, n)) if size[s] else 0
