@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
 from arbalest.llm.common import in_small_batches, stage
+from arbalest.llm.simhash import rows_of
 
 U = np.uint64
 WIDTH, PLAIN, COVER = 5, 3, 0.8
@@ -291,6 +292,5 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PL
 
 def keep_clean(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs`` without a leak."""
-    bad = leaks(docs, items, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("th").alias("_th")).distinct()
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return marked.join(bad, ["_id", "_th"], "left_anti").drop("_id", "_th")
+    bad = leaks(docs, items, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
+    return rows_of(docs, bad, "left_anti").select("row.*")

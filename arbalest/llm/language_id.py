@@ -13,7 +13,7 @@ Contract of ``identify``:
 * a null text, or one without a letter, is ``und`` with score 0 and rejected; without any learned language so are all;
   with a single one every other text gets it, with score 1;
 * ties go to the language that comes first in code point order; repeated rows and null ids are kept; an empty table gives an
-  empty result; extra columns are kept by ``keep_identified`` and ignored by ``identify``.
+  empty result; extra columns are kept by both, but for ``identify``'s own three names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbalest.llm.common import in_small_batches
+from arbalest.llm.common import free_name, in_small_batches
 
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 256, 2048, 1 << 16
 PIECE, LEVEL = 4096, 9
@@ -82,12 +82,11 @@ def has_letter(text: Column) -> Column:
 
 
 def identify(docs: DataFrame, languages: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
-    docs = in_small_batches(docs)
-    got = predictor(languages)(F.col("text"), has_letter(F.col("text")))
-    return docs.withColumn("_p", got).withColumns(
-        {"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score"), "rejected": (F.col("_p.lang_pred") == UND) | (F.col("_p.score") < min_margin)}
-    ).drop("_p")
+    """``docs`` with lang_pred, score and rejected; columns of these names are replaced."""
+    docs, found = in_small_batches(docs), free_name(docs, "found")
+    docs = docs.drop("lang_pred", "score", "rejected").withColumn(found, predictor(languages)(F.col("text"), has_letter(F.col("text"))))
+    p = F.col(found)
+    return docs.withColumns({"lang_pred": p["lang_pred"], "score": p["score"], "rejected": (p["lang_pred"] == UND) | (p["score"] < min_margin)}).drop(found)
 
 
 def keep_identified(docs: DataFrame, languages: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
