@@ -32,30 +32,48 @@ def lower(text):
 
 
 def brute_topk(vectors, k):
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    longs = lambda x: min(max(math.floor(1024 * x), -(1 << 63)), (1 << 63) - 1)
+    whole = {}
+    for i, v in vectors:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            x = [longs(y) for y in v]
+            whole[i] = min(whole.get(i, x), x)
     out = []
     for q, a in whole.items():
         if q % 4 == 0:
-            best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q)[:k]
+            out += [(q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
+def check_topk(spark, rows, k):
+    frame = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3).withColumns({c: F.lit("extra") for c in ("score", "x", "cell", "block", "d", "order")})
+    assert sorted(tuple(r) for r in topk.search(frame, F.col("id") % 4 == 0, k).collect()) == brute_topk(rows, k)
+
+
 def test_topk_is_exact_with_ties_and_bad_vectors(spark):
     random = np.random.default_rng(1)
     rows = [(i, [float(x) for x in random.normal(size=6) * (1 + i % 7)]) for i in range(300)]
     rows += [(300 + i, [0.25, 0.5, -0.25, 1.0, 0.0, 0.125]) for i in range(40)]  # a hot vector
     rows += [(400, None), (404, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (408, [float("nan")] * 6), (412, [float("inf")] * 6)]
-    frame = spark.createDataFrame(rows, "id long, vector array<double>").withColumn("score", F.lit("extra"))
-    got = sorted(tuple(r) for r in topk.search(frame, F.col("id") % 4 == 0, 5).collect())
-    assert got == brute_topk(rows, 5)
+    rows += [(5, [9.0] * 6), (8, rows[8][1]), (None, [7.0] * 6), (None, None)]  # repeated and null ids
+    check_topk(spark, rows, 5)
+
+
+def test_topk_keeps_every_finite_vector(spark):
+    random = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in random.normal(size=4)]) for i in range(120)]
+    rows += [(200, [40000.0, 0.0, 0.0, 0.0]), (204, [-3e9, 2e9, 1.0, 0.0]), (205, [1e12, 1e12, -1e12, 5.0]), (208, [1e300, -1e300, 0.0, 1.0]), (209, [1.5e300] * 4)]
+    check_topk(spark, rows, 4)
+    rows = [r for r in rows if r[0] < 205] + [(300, [1.0]), (304, [2.0, -1.0]), (305, []), (308, [float(x) for x in random.normal(size=9)]), (309, [50.0] * 7)]
+    check_topk(spark, rows, 7)
 
 
 def test_topk_of_nothing_and_of_few(spark):
     schema = "id long, vector array<float>"
     assert topk.search(spark.createDataFrame([], schema), F.col("id") % 4 == 0).collect() == []
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0])], schema)
-    assert [tuple(r) for r in topk.search(few, F.col("id") % 4 == 0).collect()] == [(0, 1, 1, 1024 * 512)]
+    assert [tuple(r) for r in topk.search(few, F.col("id") % 4 == 0).collect()] == [(0, 1, 2, 1024 * 1024), (0, 2, 1, 1024 * 512)]
 
 
 # language ID
