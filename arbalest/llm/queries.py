@@ -156,29 +156,32 @@ FROM r
 
 
 def op4_sql() -> str:
-    phrases = [(i, text, label, i < len(licenses.BASE)) for i, (text, label) in enumerate((*licenses.BASE, *licenses.KEY_PHRASES))]
-    rows = ", ".join(f"({i}, '{text}', '{label}', {base})" for i, text, label, base in phrases)
+    rows = ", ".join(f"({i}, '{label}', '{key}', '{text}')" for i, (label, key, text) in enumerate(licenses.TEMPLATES))
+    base = ", ".join(f"('{text}', '{label}')" for text, label in licenses.BASE)
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-p AS (SELECT * FROM (VALUES {rows}) t(id, phrase, label, base)),
-pw AS (SELECT id, label, base, unnest(string_split(phrase, ' ')) AS word, unnest(range(len(string_split(phrase, ' ')))) AS q FROM p),
+b AS (SELECT string_split(phrase, ' ') AS ps, label FROM (VALUES {base}) v(phrase, label)),
+t AS (SELECT id, label, string_split(phrase, ' ') AS ks, string_split(text, ' ') AS ts FROM (VALUES {rows}) v(id, label, phrase, text)),
+post AS (SELECT id, unnest(ts) AS word, unnest(range(len(ts))) AS q, len(ts) AS size FROM t),
+keys AS (SELECT id, k, k + unnest(range(len(ks))) AS q, len(ks) AS length FROM (SELECT id, ks, ts, unnest(range(len(ts) - len(ks) + 1)) AS k FROM t) WHERE ts[k + 1:k + len(ks)] = ks),
 w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM d),
-lw AS (SELECT w.* FROM w SEMI JOIN pw USING (word)),
-df AS (SELECT word, count(DISTINCT r) AS n FROM lw GROUP BY word),
-idf AS (SELECT pw.*, coalesce(n, 0) AS n, ln((SELECT count(*) + 1 FROM d)::DOUBLE / (coalesce(n, 0) + 1)) AS idf FROM pw LEFT JOIN df USING (word)),
-pi AS (SELECT *, first_value(word) OVER (PARTITION BY id ORDER BY n, word, q) = word AS rarest,
-              sum(idf) OVER (PARTITION BY id) AS total, count(*) OVER (PARTITION BY id) AS size FROM idf),
-al AS (
-  SELECT r, id, label, base, place - q AS start, count(*) = any_value(size) AS whole, sum(idf) / nullif(any_value(total), 0) AS share
-  FROM lw JOIN pi USING (word) GROUP BY r, id, label, base, place - q HAVING bool_or(rarest)),
-g AS (
-  SELECT r, count(*) FILTER (whole AND base) AS n_base, min(start) FILTER (whole AND base) AS first_word, max(start) FILTER (whole AND base) AS last_word,
-         array_to_string(list_sort(list_distinct(list(label) FILTER (whole AND base))), ',') AS base_labels,
-         array_to_string(list_sort(list_distinct(list(label) FILTER (whole))), ',') AS labels,
-         max(CASE WHEN whole THEN 1.0::DOUBLE ELSE round(coalesce(share, 0), 6) END) AS score FROM al GROUP BY r)
+lw AS (SELECT w.* FROM w SEMI JOIN (SELECT word FROM post UNION SELECT unnest(ps) FROM b) v USING (word)),
+idf AS (SELECT v.word, count(DISTINCT r) AS n, ln((SELECT count(*) + 1 FROM d)::DOUBLE / (count(DISTINCT r) + 1)) AS idf
+        FROM (SELECT word FROM post UNION SELECT unnest(ps) FROM b) v LEFT JOIN lw USING (word) GROUP BY v.word),
+rare AS (SELECT r, word FROM (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY n, word) AS k FROM (SELECT DISTINCT r, word FROM lw) JOIN idf USING (word)) WHERE k <= {licenses.RARE}),
+al AS (SELECT r, id, place - q AS o FROM lw JOIN rare USING (r, word) JOIN post USING (word) GROUP BY r, id, place - q HAVING count(DISTINCT word) >= {licenses.VOTES}),
+hit AS (SELECT al.*, post.q, idf, size FROM al JOIN post USING (id) JOIN idf USING (word) JOIN lw ON lw.r = al.r AND lw.word = post.word AND lw.place = al.o + post.q),
+total AS (SELECT id, sum(idf) AS total FROM post JOIN idf USING (word) GROUP BY id),
+share AS (SELECT r, id, o, CASE WHEN count(*) = any_value(size) THEN 1.0::DOUBLE ELSE round(coalesce(sum(idf) / nullif(any_value(total), 0), 0), 6) END AS share FROM hit JOIN total USING (id) GROUP BY r, id, o),
+whole AS (SELECT DISTINCT r, id, o FROM (SELECT r, id, o, k FROM hit JOIN keys USING (id, q) GROUP BY r, id, o, k HAVING count(*) = any_value(length))),
+tl AS (SELECT r, label FROM share JOIN whole USING (r, id, o) JOIN t USING (id) WHERE share >= {licenses.SHARE}),
+bp AS (SELECT r, label, i FROM (SELECT r, ws, ps, label, unnest(range(len(ws) - len(ps) + 1)) AS i FROM d, b WHERE list_contains(ws, ps[1])) WHERE ws[i + 1:i + len(ps)] = ps),
+bg AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM bp GROUP BY r),
+lg AS (SELECT r, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT r, label FROM tl UNION SELECT r, label FROM bp) GROUP BY r),
+sg AS (SELECT r, max(share) AS score FROM share GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM d LEFT JOIN g USING (r)
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM d LEFT JOIN bg USING (r) LEFT JOIN lg USING (r) LEFT JOIN sg USING (r)
 """

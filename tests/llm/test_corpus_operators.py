@@ -164,8 +164,7 @@ def test_license_places(docs, empty):
         assert r.n_base == len(places)
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({label for _, label in places}))
-        whole = {label for text, label in (*licenses.BASE, *licenses.KEY_PHRASES) if f" {text} " in f" {' '.join(ws)} "}
-        assert r.labels == ",".join(sorted(whole)) and 0 <= r.score <= 1 and (r.score == 1) == bool(whole)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score == 1 or not r.n_base)
     assert licenses.scan(empty).collect() == []
 
 
@@ -176,7 +175,28 @@ def test_a_word_of_every_document_still_has_to_stand_in_its_place(spark):
     got = {r.doc_id: (r.n_base, r.labels) for r in licenses.scan(frame).collect()}
     assert got == {0: (1, "apache-2"), 1: (0, ""), 2: (0, ""), 3: (0, ""), 9: (0, "")}
     near = spark.createDataFrame([(1, "apache shield version 2 license"), (2, "license 2")], "doc_id long, text string")
-    assert [r.labels for r in licenses.scan(near, base=(("apache license version", "x"),), more=()).collect()] == ["", ""]
+    assert [r.labels for r in licenses.scan(near, base=(("apache license version", "x"),), templates=()).collect()] == ["", ""]
+
+
+def test_reworded_licences_are_found_by_the_words_that_are_left(spark):
+    long = [t for t in licenses.TEMPLATES if len(t[2].split()) > 20]
+    texts, want = [], []
+    for label, key, text in long:
+        ws = text.split()
+        spare = [i for i in range(len(ws)) if not any(k <= i < k + len(key.split()) for k in licenses.key_places((label, key, text)))]
+        for changed in (spare[::9], spare[3::7], spare[:1]):
+            texts.append("some words of another kind " + " ".join("changed" if i in changed else w for i, w in enumerate(ws)) + " and so on")
+            want.append(label)
+        texts.append(" ".join("changed" if w in key.split() else w for w in ws))  # no key phrase: no label
+        want.append(None)
+        texts.append(" ".join(ws[len(ws) // 2 :: 2]))  # nothing stands in its place
+        want.append(None)
+    texts += ["a story without any of it", "the software of the person is free and the notice above is a copy", ""]
+    want += [None] * 3
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, label in enumerate(want):
+        assert label is None or label in got[i].labels.split(",") and got[i].score >= licenses.SHARE, (texts[i], got[i])
+        assert label is not None or got[i].labels == "", (texts[i], got[i])
 
 
 # sharding
