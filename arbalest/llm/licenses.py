@@ -178,17 +178,22 @@ class Index:
     def alignments(self, number: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, template, offset) on which enough of a text's rarest licence words agree; offsets count over all words."""
         at = np.flatnonzero(number >= 0)
-        pair = np.unique(owner[at] * len(self.words) + number[at])  # sorted by text, then by idf
+        code = owner[at] * len(self.words) + number[at]
+        pair, back = np.unique(code, return_inverse=True)  # sorted by text, then by idf
         text = pair // len(self.words)
-        rare = pair[np.arange(len(pair)) - np.searchsorted(text, text) < RARE]
-        at = at[np.isin(owner[at] * len(self.words) + number[at], rare)]
+        at = at[(np.arange(len(pair)) - np.searchsorted(text, text) < RARE)[back]]
         word, n = number[at], self.n_posted[number[at]]
         lo = np.cumsum(self.n_posted) - self.n_posted
         take = np.repeat(lo[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
         template, offset = self.posted[take, 1], np.repeat(at, n) - self.posted[take, 2]
-        votes = np.unique(np.stack([np.repeat(owner[at], n), template, offset, np.repeat(word, n)], axis=1), axis=0)  # a word votes once
-        found, count = np.unique(votes[:, :3], axis=0, return_counts=True)
-        return tuple(found[count >= VOTES].T)
+        reach = max((len(t[1]) for t in self.templates), default=0)  # offsets from -reach, packed with text and template into one number
+        places = len(number) + reach
+        packed = (np.repeat(owner[at], n) * len(self.templates) + template) * places + offset + reach
+        votes = np.unique(packed * len(self.words) + np.repeat(word, n)) // max(len(self.words), 1)  # a word votes once
+        found, count = np.unique(votes, return_counts=True)
+        found = found[count >= VOTES]
+        rest = found // max(places, 1)
+        return rest // max(len(self.templates), 1), rest % max(len(self.templates), 1), found % max(places, 1) - reach
 
     def verified(self, number: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
         """For each template: label; of its alignments the text, the share of idf, and whether the label is given."""
