@@ -64,6 +64,11 @@ DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
 UPPER = np.zeros(256, bool)
 UPPER[0x41:0x5B] = True
+#: The small letter of each letter of two bytes in UTF-8 (Latin, Greek, Cyrillic, Armenian), as such pairs of bytes.
+SMALL = np.arange(1 << 16)
+for _code in range(0x80, 0x800):
+    if len(_low := chr(_code).lower().encode()) == 2:
+        SMALL[int.from_bytes(chr(_code).encode())] = int.from_bytes(_low)
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:;"]] = True
 
@@ -82,10 +87,13 @@ def templates(data: np.ndarray, places: np.ndarray, openers: bool = False) -> tu
     if not len(starts):
         return none, none, np.zeros(0, bool), counts
     low = K.LOWER[data]
-    accent = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-    wide = np.append(accent[1:], False)  # of an accented capital the first byte counts
+    wide = np.zeros(len(data), bool)  # the first bytes of capitals beyond ASCII
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] < 0xE0))
+    pair = data[lead].astype(np.int64) << 8 | data[lead + 1]
+    small = SMALL[pair]
+    wide[lead] = small != pair
+    low[lead], low[lead + 1] = small >> 8, small & 0xFF
     upper = UPPER[data] | wide
-    low[accent] += 0x20
     n, alnum = len(data), ALNUM[data]
     place = np.arange(n)
     after = np.minimum.accumulate(np.where(alnum, place, n)[::-1])[::-1]
@@ -99,7 +107,7 @@ def templates(data: np.ndarray, places: np.ndarray, openers: bool = False) -> tu
     first, last, owner, opens = first[some], last[some], owner[some], opens[some]
     value = K.word_hashes(low, first, last)
     second = first + 1 + wide[first]
-    shouted = (second < last) & UPPER[data[np.minimum(second, n - 1)]]
+    shouted = (second < last) & upper[np.minimum(second, n - 1)]
     number = DIGIT[data[first]] | np.isin(value, _hashes(NUMBERS))
     same = np.append(False, owner[1:] == owner[:-1])
     unit = np.isin(value, _hashes(UNITS)) & np.append(False, number[:-1]) & same & ~number

@@ -103,9 +103,30 @@ def components(fps, radius=4):
     return [find(i) for i in range(len(fps))]
 
 
+def alike(texts):
+    """Components of five-word shingle similarity 0.8 or more, by all pairs."""
+    sets = []
+    for text in texts:
+        ws = words(lower(text))
+        sets.append({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
 def keep_one(rows):
     """rows: dicts. Of each component the row of the smallest (id, text hash)."""
-    roots = components([fingerprint(r["text"]) for r in rows])
+    roots = alike([r["text"] for r in rows])
     order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, text_hash(r["text"]))
     return [min((r for r, x in zip(rows, roots) if x == c), key=order) for c in sorted(set(roots))]
 
@@ -113,8 +134,14 @@ def keep_one(rows):
 # decontamination
 
 
+def _small(letter):
+    """The small letter of one of one or two bytes."""
+    low = letter.lower()
+    return low if len(low) == 1 and ord(letter) < 0x800 and len(low.encode()) == len(letter.encode()) else letter
+
+
 def _lower_accents(word):
-    return re.sub(r"[A-ZÀ-ÖØ-Þ]", lambda m: chr(ord(m[0]) + 32), word)
+    return "".join(map(_small, word))
 
 
 def template(text):
@@ -131,7 +158,7 @@ def template(text):
         low = _lower_accents(core)
         number = core[0] in "0123456789" or low in decontamination.NUMBERS
         unit = low in decontamination.UNITS and was_number and not number
-        capital = re.match(r"[A-ZÀ-ÖØ-Þ]", core) and len(core.encode()) > 1 and not re.match(r".[A-Z]", core)
+        capital = _small(core[0]) != core[0] and len(core.encode()) > 1 and not (len(core) > 1 and _small(core[1]) != core[1])
         name = bool(capital) and not opens and not number and not unit
         if name and was_name:
             tokens[-1] = ("name", None, tokens[-1][2] + (low,))

@@ -59,6 +59,14 @@ def test_verbatim_copies_of_items_poor_in_plain_words(spark):
     assert not {(11, 2), (12, 3), (13, 4)} & set(got)
 
 
+def test_names_in_other_scripts(spark):
+    item = "вчера Иван купил 3 яблока и потом Иван отдал 2 яблока а Ζωή и Đorđe взяли 4 яблока домой"
+    moved = item.replace("Иван", "Олег Петров").replace("3", "9").replace("Ζωή", "Άννα").replace("Đorđe", "Šime")
+    docs = [(1, f"начало текста. {moved} и конец"), (2, item), (3, item.replace("потом Иван", "потом Олег")), (4, item.upper())]
+    got = found(spark, docs, [(1, item)])
+    assert set(got) == {(1, 1), (2, 1)} and not got[1, 1].exact and got[2, 1].exact
+
+
 def test_names_that_open_sentences(spark):
     items = [(1, "Tom has 3 apples. Ann has 5 apples. Who has more?"), (2, "Yesterday it rained. Mary Jones walked 4 miles to school. Then she walked home. Mary Jones was wet")]
     docs = [
