@@ -1,4 +1,5 @@
-"""Pair probability: a multilayer perceptron on the vectors of both sides, trained on true pairs and wrong partners.
+"""Pair probability: a multilayer perceptron on the products and distances of both sides' components, each scaled to unit
+deviation, trained on true pairs and wrong partners.
 
 Wrong partners are the targets of the next ``negatives`` pairs in a seeded cyclic order, as other pairs of one batch would be; no
 square of pairs is formed. Training and prediction are Spark ML on the executors, the model is weights alone.
@@ -6,7 +7,9 @@ square of pairs is formed. Training and prediction are Spark ML on the executors
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from arbalest.functions.text import hash_order
 from arbalest.operators.scoring import PAIR, pairs
 from arbalest.operators.splitting import numbered
 
-NEGATIVES, HIDDEN, ROUNDS, SEED = 7, (512, 128), 20, 2026
+NEGATIVES, HIDDEN, ROUNDS, SEED = 7, (16,), 60, 2026
 
 
 def labelled_pairs(linked: DataFrame, negatives: int = NEGATIVES, seed: int = SEED) -> DataFrame:
@@ -33,16 +36,19 @@ def labelled_pairs(linked: DataFrame, negatives: int = NEGATIVES, seed: int = SE
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("features", array_to_vector(F.concat(V.doubles("qv"), V.doubles("tv"))))
+    q, t = V.doubles("qv"), V.doubles("tv")
+    both = F.concat(F.zip_with(q, t, lambda x, y: x * y), F.zip_with(q, t, lambda x, y: F.abs(x - y)))
+    return rows.withColumn("raw", array_to_vector(both))
 
 
-def fit(linked: DataFrame, negatives: int = NEGATIVES, hidden: tuple[int, ...] = HIDDEN, rounds: int = ROUNDS, seed: int = SEED) -> MultilayerPerceptronClassificationModel:
-    rows = _features(labelled_pairs(linked, negatives, seed)).select("features", "label")
-    width = rows.select(F.max(F.size(vector_to_array("features")))).first()[0]
-    return MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=rounds, seed=seed).fit(rows)
+def fit(linked: DataFrame, negatives: int = NEGATIVES, hidden: tuple[int, ...] = HIDDEN, rounds: int = ROUNDS, seed: int = SEED) -> PipelineModel:
+    rows = _features(labelled_pairs(linked, negatives, seed)).select("raw", "label")
+    width = rows.select(F.max(F.size(vector_to_array("raw")))).first()[0]
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+    return Pipeline(stages=[scaler, MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=rounds, seed=seed)]).fit(rows)
 
 
-def probability_scores(queries: DataFrame, gallery: DataFrame, model: MultilayerPerceptronClassificationModel) -> DataFrame:
+def probability_scores(queries: DataFrame, gallery: DataFrame, model: PipelineModel) -> DataFrame:
     """Every query against its pool's gallery, scored by the probability that they belong together."""
     rows = model.transform(_features(pairs(queries, gallery)))
     return rows.select(*PAIR, vector_to_array("probability")[1].alias("score"))

@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.functions import rules
 from arbalest.functions import vectors as V
 from arbalest.operators.ranking import QUERY, best_two, rank
-from arbalest.operators.scoring import PAIR, POOL
+from arbalest.operators.scoring import PAIR, POOL, pairs
 
 
 def true_rank(ranked: DataFrame, truth: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Rank of each query's true target; null if absent, or the pool's gallery size + 1 with ``sizes`` (n_targets)."""
     out = truth.join(ranked.select(*PAIR, "rank"), PAIR, "left")
-    if sizes is not None:
-        out = out.join(sizes, POOL).withColumn("rank", F.coalesce("rank", F.col("n_targets") + 1)).drop("n_targets")
-    return out.select(*PAIR, F.col("rank").cast("long").alias("rank"))
+    out = out.select(*PAIR, F.col("rank").cast("long").alias("rank"))
+    return out if sizes is None else absent_last(out, sizes)
+
+
+def counted_ranks(queries: DataFrame, gallery: DataFrame, truth: DataFrame, score: Column) -> DataFrame:
+    """``true_rank`` without a ranking: each query's targets that beat the true one are counted as the pairs are scored, so the
+    score matrix is neither shuffled nor sorted. ``score`` is an expression over both sides' columns."""
+    at = F.round(score, 9)
+    own = truth.select(*PAIR).join(queries, QUERY).join(gallery, [*POOL, "target_id"]).select(*QUERY, F.col("target_id").alias("_true"), at.alias("_best"))
+    rows = pairs(queries.join(own, QUERY), gallery).select(*PAIR, "_true", "_best", at.alias("_score"))
+    beats = (F.col("_score") > F.col("_best")) | ((F.col("_score") == F.col("_best")) & (F.col("target_id") < F.col("_true")))
+    counts = rows.groupBy(*QUERY, "_true").agg((F.count_if(beats) + 1).alias("rank")).withColumnRenamed("_true", "target_id")
+    return truth.select(*PAIR).join(counts, PAIR, "left")
+
+
+def absent_last(ranks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Null ranks become the pool's gallery size + 1 (sizes: n_targets)."""
+    return ranks.join(sizes, POOL).select(*PAIR, F.coalesce("rank", F.col("n_targets") + 1).cast("long").alias("rank"))
+
+
+def pool_mrr(ranks: DataFrame) -> DataFrame:
+    """Mean of 1 / rank of each pool; null ranks count as 0."""
+    return ranks.groupBy(*POOL).agg(F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("n_queries"))
+
+
+def macro_of(ranks: DataFrame) -> DataFrame:
+    """Mean of the pools' MRR; without a pool the query fails."""
+    pools = ranks.groupBy(*POOL).agg(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+    mean = F.when(F.count("*") == 0, F.raise_error(F.lit("no pool to average")).cast("double")).otherwise(F.round(F.avg("mrr"), 6))
+    return pools.agg(mean.alias("macro_mrr"), F.count("*").alias("n_pools"))
+
+
+def recall_of(ranks: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20, 25, 30)) -> DataFrame:
+    rows = ranks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return rows.groupBy(*POOL, "k").agg(F.round(F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))), 6).alias("recall"))
 
 
 def reciprocal_ranks(ranked: DataFrame, truth: DataFrame) -> DataFrame:
@@ -25,35 +57,32 @@ def reciprocal_ranks(ranked: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def mrr_by_pool(ranked: DataFrame, truth: DataFrame) -> DataFrame:
-    return reciprocal_ranks(ranked, truth).groupBy(*POOL).agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n_queries"))
+    return pool_mrr(true_rank(ranked, truth))
 
 
 def macro_mrr(ranked: DataFrame, truth: DataFrame) -> DataFrame:
-    """Mean of the pools' MRR."""
-    pools = reciprocal_ranks(ranked, truth).groupBy(*POOL).agg(F.avg("rr").alias("mrr"))
-    return pools.agg(F.round(F.avg("mrr"), 6).alias("macro_mrr"), F.count("*").alias("n_pools"))
+    return macro_of(true_rank(ranked, truth))
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (5, 10, 15, 20, 25, 30)) -> DataFrame:
-    ranks = true_rank(ranked, truth).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return ranks.groupBy(*POOL, "k").agg(F.round(F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))), 6).alias("recall"))
+    return recall_of(true_rank(ranked, truth), ks)
 
 
 def method_table(methods: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
-    """MRR of each method by pool as columns, and their mean as ``macro``."""
+    """MRR of each method by pool as columns, one for each pool of the truth, and their mean as ``macro``."""
     rows = None
     for name, ranked in methods.items():
         part = reciprocal_ranks(ranked, truth).withColumn("method", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    pools = [f"dataset{i}_{s}" for i in (1, 2, 3) for s in ("val", "test")]
+    pools = sorted(r.pool for r in truth.select(F.concat_ws("_", "dataset", "split").alias("pool")).distinct().collect())  # columns of the result
     wide = rows.withColumn("pool", F.concat_ws("_", "dataset", "split")).groupBy("method", "pool").agg(F.avg("rr").alias("mrr"))
     macro = wide.groupBy("method").agg(F.round(F.avg("mrr"), 6).alias("macro"))
     return wide.groupBy("method").pivot("pool", pools).agg(F.round(F.first("mrr"), 6)).join(macro, "method")
 
 
-def delta_table(base: DataFrame, other: DataFrame, truth: DataFrame) -> DataFrame:
-    """Change of each pool's MRR and its reading."""
-    a, b = (mrr_by_pool(r, truth).select(*POOL, F.col("mrr").alias(n)) for r, n in ((base, "base_mrr"), (other, "other_mrr")))
+def delta_table(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Change of each pool's MRR and its reading, from two frames of true ranks."""
+    a, b = (pool_mrr(r).select(*POOL, F.col("mrr").alias(n)) for r, n in ((base, "base_mrr"), (other, "other_mrr")))
     delta = F.round(F.col("other_mrr") - F.col("base_mrr"), 6)
     return a.join(b, POOL).withColumn("delta", delta).withColumn("reading", rules.delta_reading(F.col("delta")))
 
@@ -85,7 +114,7 @@ def gap_summary(distances: DataFrame, near: float = 1e-3, wide: float = 1e-2) ->
     return out.join(bijection(distances).select(*POOL, "is_bijection"), POOL).withColumn("is_leak", F.col("is_bijection") & leak)
 
 
-def field_leaks(pairs: DataFrame, wrong: DataFrame, fields: dict[str, str]) -> DataFrame:
+def field_leaks(true: DataFrame, wrong: DataFrame, fields: dict[str, str]) -> DataFrame:
     """How often each header field agrees in true and in wrong pairs (columns q_<field>, t_<field>); ``fields`` names each
     field's kind: 'array' compares within 1e-4, 'value' exactly."""
 
@@ -94,7 +123,7 @@ def field_leaks(pairs: DataFrame, wrong: DataFrame, fields: dict[str, str]) -> D
         shares = rows.agg(*[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(f) for f, c in same.items()])
         return shares.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias(name)) for f in fields])).alias("x")).select("x.*")
 
-    out = agreement(pairs, "at_true").join(agreement(wrong, "at_wrong"), "field")
+    out = agreement(true, "at_true").join(agreement(wrong, "at_wrong"), "field")
     out = out.withColumn("leak", F.col("at_true") * (1 - F.col("at_wrong")))
     out = out.withColumn("verdict", rules.leak_verdict(F.col("leak"), F.col("at_true"), F.col("at_wrong")))
     return out.select("field", *[F.round(c, 6).alias(c) for c in ("at_true", "at_wrong", "leak")], "verdict")

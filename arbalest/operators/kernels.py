@@ -79,27 +79,30 @@ def descriptor(volume: np.ndarray, least: int = 64) -> np.ndarray:
     return out / size if size > 0 else out
 
 
-def edge_distance(mask: np.ndarray) -> np.ndarray:
-    """City-block distance of each voxel of the mask to the nearest one off it."""
-    out, inner, d = np.zeros(mask.shape, int), np.pad(mask, 1), 1
-    while inner.any():
-        out += inner[1:-1, 1:-1, 1:-1]
-        inner = np.logical_and.reduce([inner] + [np.roll(inner, s, a) for a in range(3) for s in (1, -1)])
-        d += 1
-    return out
-
-
-def resect(volume: np.ndarray, radii: tuple[float, float, float], seed: int) -> np.ndarray:
+def edge_distance(mask: np.ndarray, spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
+    """Euclidean distance, in units of ``spacing``, of each voxel of the mask to the nearest one off it, axis by axis. Of a mask without a
+    voxel off it the outside counts."""
+    if mask.all():
+        return edge_distance(np.pad(mask, 1), spacing)[tuple(slice(1, -1) for _ in mask.shape)]
+    square = np.where(mask, np.inf, 0.0)
+    for axis, step in enumerate(spacing):
+        n = mask.shape[axis]
+        places = np.arange(n).reshape([-1 if i == axis else 1 for i in range(mask.ndim)])
+        square = np.minimum.reduce([square.take([j], axis) + (step * (places - j)) ** 2 for j in range(n)])
+    return np.sqrt(square)
+
+
+def resect(volume: np.ndarray, radii: tuple[float, float, float], seed: int, spacing: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
     """An ellipsoid set to 0, centred on a voxel that is at least its radius inside the volume's foreground; if there is none,
-    on one at half the largest depth or more."""
-    depth = edge_distance(volume > 0)
-    if not depth.any():
+    on one at half the largest depth or more. Radii are in units of ``spacing``."""
+    if not (volume > 0).any():
         return volume
-    deep = np.argwhere(depth >= min(max(radii), depth.max()))
-    deep = deep if depth.max() >= max(radii) else np.argwhere(depth >= 0.5 * depth.max())
+    depth = edge_distance(volume > 0, spacing)
+    deep = np.argwhere(depth >= max(radii))
+    deep = deep if len(deep) else np.argwhere(depth >= 0.5 * depth.max())
     centre = deep[np.random.default_rng(seed).integers(len(deep))]
     grid = np.indices(volume.shape)
-    inside = sum(((grid[i] - centre[i]) / radii[i]) ** 2 for i in range(3)) <= 1
+    inside = sum(((grid[i] - centre[i]) * spacing[i] / radii[i]) ** 2 for i in range(3)) <= 1
     return np.where(inside, 0, volume)
 
 

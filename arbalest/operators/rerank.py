@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from arbalest.functions import vectors as V
 from arbalest.operators.ranking import QUERY, rank
 from arbalest.operators.scoring import PAIR, POOL, maxsim, neighbours
+from arbalest.sources.staging import stage
 
 TARGET = [*POOL, "target_id"]
+#: Pairs of a pool that one worker normalises as a matrix: 32 MB of doubles.
+MATRIX = 1 << 22
 
 
 def csls(scores: DataFrame, k: int) -> DataFrame:
@@ -27,29 +30,55 @@ def csls(scores: DataFrame, k: int) -> DataFrame:
     return out.select(*PAIR, (2.0 * F.col("score") - F.col("_q") - F.col("_t")).alias("score"))
 
 
+def _weights(scores: DataFrame, tau: float) -> DataFrame:
+    """exp((score - the pool's largest) / tau) of each pair; the maximum is an aggregate, joined back."""
+    part = scores.select(*PAIR, (F.col("score") / max(tau, 1e-6)).alias("_z"))
+    top = part.groupBy(*POOL).agg(F.max("_z").alias("_top"))
+    return part.join(top, POOL).select(*PAIR, F.exp(F.col("_z") - F.col("_top")).alias("score"))
+
+
 def sinkhorn_steps(scores: DataFrame, tau: float, rounds: int) -> DataFrame:
-    """A few Sinkhorn rounds as windows; for many use ``sinkhorn``."""
-    top = F.max(F.col("score") / max(tau, 1e-6)).over(Window.partitionBy(*POOL))
-    out = scores.withColumn("score", F.exp(F.col("score") / max(tau, 1e-6) - top))
+    """A few Sinkhorn rounds as windows of one query or one target; for many use ``sinkhorn``."""
+    out = _weights(scores, tau)
     for _ in range(rounds):
         for side in (QUERY, TARGET):
             out = out.withColumn("score", F.col("score") / (F.sum("score").over(Window.partitionBy(*side)) + 1e-12))
     return out.select(*PAIR, "score")
 
 
-def sinkhorn(scores: DataFrame, tau: float, rounds: int) -> DataFrame:
-    """Sinkhorn normalisation as one pandas group for each pool; a pool's score matrix must fit one worker."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="query_id", columns="target_id", values="score").to_numpy() / max(tau, 1e-6)
-        out = np.exp(wide - wide.max())
-        for _ in range(rounds):
-            out /= out.sum(axis=1, keepdims=True) + 1e-12
-            out /= out.sum(axis=0, keepdims=True) + 1e-12
-        q, t = np.sort(frame.query_id.unique()), np.sort(frame.target_id.unique())
-        return pd.DataFrame({"dataset": frame.dataset.iloc[0], "split": frame.split.iloc[0], "query_id": np.repeat(q, len(t)), "target_id": np.tile(t, len(q)), "score": out.ravel()})
-
-    return scores.groupBy(*POOL).applyInPandas(run, "dataset string, split string, query_id string, target_id string, score double")
+def _whole_pools(frame: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    out = frame.pivot(index="query_id", columns="target_id", values="score").to_numpy()
+    for _ in range(rounds):
+        out = out / (out.sum(axis=1, keepdims=True) + 1e-12)
+        out = out / (out.sum(axis=0, keepdims=True) + 1e-12)
+    q, t = np.sort(frame.query_id.unique()), np.sort(frame.target_id.unique())
+    return pd.DataFrame({"dataset": frame.dataset.iloc[0], "split": frame.split.iloc[0], "query_id": np.repeat(q, len(t)), "target_id": np.tile(t, len(q)), "score": out.ravel()})
+
+
+def _by_factors(weights: DataFrame, rounds: int) -> DataFrame:
+    """Sinkhorn by one factor for each query and each target: the matrix is never rewritten. A half round is a join with the other
+    side's factors and a sum that is added up before the shuffle; factors are tables, so lineage stays short."""
+    u = weights.select(*QUERY).distinct().withColumn("u", F.lit(1.0))
+    v = weights.select(*TARGET).distinct().withColumn("v", F.lit(1.0))
+    u, v = stage(u), stage(v)
+    for _ in range(rounds):
+        sums = weights.join(v, TARGET).groupBy(*QUERY).agg(F.sum(F.col("score") * F.col("v")).alias("_s"))
+        u = stage(u.join(sums, QUERY).select(*QUERY, (F.col("u") / (F.col("u") * F.col("_s") + 1e-12)).alias("u")))
+        sums = weights.join(u, QUERY).groupBy(*TARGET).agg(F.sum(F.col("score") * F.col("u")).alias("_s"))
+        v = stage(v.join(sums, TARGET).select(*TARGET, (F.col("v") / (F.col("v") * F.col("_s") + 1e-12)).alias("v")))
+    return weights.join(u, QUERY).join(v, TARGET).select(*PAIR, (F.col("score") * F.col("u") * F.col("v")).alias("score"))
+
+
+def sinkhorn(scores: DataFrame, tau: float, rounds: int, most: int = MATRIX) -> DataFrame:
+    """Sinkhorn normalisation of each pool. Pools of up to ``most`` pairs are one matrix each in a worker; larger ones go by
+    factors, with the same result but for rounding."""
+    weights = stage(_weights(scores, tau))
+    sizes = weights.groupBy(*POOL).agg(F.count("*").alias("_n"))  # one row a pool
+    marked = weights.join(sizes, POOL)
+    small, large = marked.where(F.col("_n") <= most).drop("_n"), marked.where(F.col("_n") > most).drop("_n")
+    shape = "dataset string, split string, query_id string, target_id string, score double"
+    out = small.groupBy(*POOL).applyInPandas(lambda frame: _whole_pools(frame, rounds), shape)
+    return out if large.isEmpty() else out.unionByName(_by_factors(stage(large), rounds))
 
 
 def scaled(score: str = "score") -> Column:

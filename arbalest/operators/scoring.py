@@ -1,7 +1,7 @@
 """Pair scores: every query against its own pool's gallery, as (dataset, split, query_id, target_id, score).
 
 Features are prepared per entity before the join. The pool join is salted by query, so that a large pool is spread over
-``SPREAD`` tasks; the gallery side is copied that often.
+many tasks of about ``PAIRS_A_TASK`` pairs; the gallery side is copied that often.
 """
 
 from __future__ import annotations
@@ -17,10 +17,19 @@ from arbalest.functions import vectors as V
 
 POOL = ["dataset", "split"]
 PAIR = [*POOL, "query_id", "target_id"]
-SPREAD = 16
+PAIRS_A_TASK, MOST_SPREAD = 1 << 12, 1 << 12
 
 
-def pairs(queries: DataFrame, gallery: DataFrame, spread: int = SPREAD) -> DataFrame:
+def spread_for(queries: DataFrame, gallery: DataFrame) -> int:
+    """Parts of the largest pool, from the pools' counts (one row a pool)."""
+    n = [side.groupBy(*POOL).agg(F.count("*").alias(name)) for side, name in ((queries, "n_q"), (gallery, "n_t"))]
+    most = n[0].join(n[1], POOL).agg(F.max(F.least(F.ceil(F.col("n_q") * F.col("n_t") / PAIRS_A_TASK), "n_q"))).first()[0] or 1
+    return min(int(most), MOST_SPREAD)
+
+
+def pairs(queries: DataFrame, gallery: DataFrame, spread: int | None = None) -> DataFrame:
+    """Every query with every target of its pool, in ``spread`` parts a pool (by the pools' counts, if not given)."""
+    spread = spread or spread_for(queries, gallery)
     left = queries.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(spread)).cast("int"))
     right = gallery.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return left.join(right, [*POOL, "_salt"]).drop("_salt")
@@ -86,7 +95,7 @@ def nmi(a: Column, b: Column, bins: int) -> Column:
 
 
 def nmi_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48) -> DataFrame:
-    """Of volumes qv and tv; digitised once each. For volumes of many voxels use ``nmi_block_scores``."""
+    """Of volumes qv and tv; digitised once each. For volumes of many voxels use ``nmi_block_scores``, which gives the same."""
     q, t = queries.withColumn("qd", digitize("qv", bins)), gallery.withColumn("td", digitize("tv", bins))
     return score_by(q.select(*POOL, "query_id", "qd"), t.select(*POOL, "target_id", "td"), nmi(F.col("qd"), F.col("td"), bins))
 
@@ -157,10 +166,63 @@ def _blocks(rows: DataFrame, name: str, vector: str, size: int) -> DataFrame:
     return rows.groupBy(*POOL, "_b").agg(F.collect_list(name).alias(f"{name}s"), F.flatten(F.collect_list(vector)).alias(f"{vector}s"))
 
 
+def _block_pairs(q: DataFrame, t: DataFrame) -> DataFrame:
+    """Every query block with every target block of its pool. Query blocks are copied to the target blocks' numbers, so that a pool
+    is as many tasks as it has target blocks."""
+    last = t.groupBy(*POOL).agg(F.max("_b").alias("_last"))  # one row a pool
+    q = q.drop("_b").join(last, POOL).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last").cast("bigint")))).drop("_last")
+    return q.join(t, [*POOL, "_b"]).drop("_b")
+
+
+def digits(volume: np.ndarray, bins: int) -> np.ndarray:
+    """``digitize`` of one volume; -1 for null."""
+    mask = volume > 0
+    out = np.full(len(volume), -1, np.int16)
+    if mask.any():
+        inside = volume[mask]
+        lo, hi = inside.min(), inside.max()
+        out[mask] = np.minimum(np.rint((inside - lo) / (hi - lo) * (bins - 1)), bins - 1) if hi > lo else 0
+    return out
+
+
+def digits_nmi(a: np.ndarray, b: np.ndarray, bins: int) -> float:
+    both = (a >= 0) & (b >= 0)
+    if both.sum() < 2:
+        return 1.0
+    joint = np.bincount(a[both].astype(np.int64) * bins + b[both], minlength=bins * bins).reshape(bins, bins)
+    h = [-(p * np.log(p)).sum() for p in (c[c > 0] / both.sum() for c in (joint.sum(axis=1), joint.sum(axis=0), joint.ravel()))]
+    return 2.0 if h[2] < 1e-12 else float((h[0] + h[1]) / h[2])
+
+
+def nmi_block_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48, size: int = 16) -> DataFrame:
+    """``nmi_scores`` for whole volumes: each is digitised once, in Arrow batches; blocks of ``size`` volumes of both sides meet, and a
+    pair costs one joint histogram by ``bincount``."""
+
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(vec=[digits(np.asarray(v, np.float64), bins).tobytes() for v in frame.vec])
+
+    def side(rows: DataFrame, name: str, vector: str) -> DataFrame:
+        rows = rows.select(*POOL, F.col(name).alias("id"), F.col(vector).alias("vec")).mapInPandas(coded, "dataset string, split string, id string, vec binary")
+        counts = rows.groupBy(*POOL).agg(F.ceil(F.count("*") / size).alias("_n"))  # one row a pool
+        rows = rows.join(counts, POOL).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")))
+        return rows.groupBy(*POOL, "_b").agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}s"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                a, b = ([(e["id"], np.frombuffer(e["vec"], np.int16)) for e in block] for block in (row.query_ids, row.target_ids))
+                out = [(x, y, digits_nmi(u, v, bins)) for x, u in a for y, v in b]
+                yield pd.DataFrame(out, columns=["query_id", "target_id", "score"]).assign(dataset=row.dataset, split=row.split)[[*PAIR, "score"]]
+
+    both = _block_pairs(side(queries, "query_id", "qv"), side(gallery, "target_id", "tv"))
+    return both.mapInPandas(run, "dataset string, split string, query_id string, target_id string, score double")
+
+
 def block_dot_scores(queries: DataFrame, gallery: DataFrame, k: int, size: int = 1024) -> DataFrame:
     """``dot_scores`` cut to each query's ``k`` best, by matrix products of blocks; equal to it after rounding to 6 digits."""
-    q = _blocks(queries.select(*POOL, "query_id", "qv"), "query_id", "qv", size).drop("_b")
-    t = _blocks(gallery.select(*POOL, "target_id", "tv"), "target_id", "tv", size).drop("_b")
+    q = _blocks(queries.select(*POOL, "query_id", "qv"), "query_id", "qv", size)
+    t = _blocks(gallery.select(*POOL, "target_id", "tv"), "target_id", "tv", size)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -172,7 +234,7 @@ def block_dot_scores(queries: DataFrame, gallery: DataFrame, k: int, size: int =
                 at = np.repeat(np.arange(len(a)), order.shape[1])
                 yield pd.DataFrame({"dataset": row.dataset, "split": row.split, "query_id": np.asarray(row.query_ids)[at], "target_id": targets[order.ravel()], "score": score[at, order.ravel()]})
 
-    found = q.join(t, POOL).mapInPandas(run, "dataset string, split string, query_id string, target_id string, score double")
+    found = _block_pairs(q, t).mapInPandas(run, "dataset string, split string, query_id string, target_id string, score double")
     from arbalest.operators.ranking import rank
 
     return rank(found, k)

@@ -22,7 +22,7 @@ Aligner = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def descriptor_scores(queries: DataFrame, gallery: DataFrame, k: int, tau: float, rounds: int) -> DataFrame:
     """Sinkhorn of CSLS of cosine."""
     scores = rerank.csls(scoring.dot_scores(queries, gallery), k)
-    return rerank.sinkhorn_steps(scores, tau, rounds) if rounds <= 3 else rerank.sinkhorn(scores, tau, rounds)
+    return rerank.sinkhorn(scores, tau, rounds)
 
 
 def no_alignment(fixed: np.ndarray, moving: np.ndarray) -> np.ndarray:
@@ -62,11 +62,11 @@ def aligned_scores(pairs: DataFrame, shape: tuple[int, int, int], aligner: Align
 
 
 def dataset2_ranking(
-    queries: DataFrame, gallery: DataFrame, shape: tuple[int, int, int], k: int = 30, aligner: Aligner = shift_alignment, bins: int = 8, least: int = 32
+    queries: DataFrame, gallery: DataFrame, shape: tuple[int, int, int], k: int = 30, aligner: Aligner = shift_alignment, bins: int = 8, least: int = 32, rounds: int = 50
 ) -> DataFrame:
     """Prefilter, then descriptor and NMI ranks of the aligned shortlist fused by reciprocal ranks (weights 1, 2, 2), then
     the untouched tail."""
-    first = ranking.rank(descriptor_scores(queries, gallery, 5, 0.1, 3))
+    first = ranking.rank(descriptor_scores(queries, gallery, 5, 0.1, rounds))
     short = first.where(F.col("rank") <= k).select(*PAIR, "rank")
     pairs = short.join(queries.select(*QUERY, "qv"), QUERY).join(gallery.select(*TARGET, "tv"), TARGET)
     again = aligned_scores(pairs, shape, aligner, bins, least)

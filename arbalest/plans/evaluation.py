@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbalest.functions import text
+from arbalest.functions import vectors as V
 from arbalest.operators import evaluation as E
 from arbalest.operators import losses, ranking, splitting, validation
 from arbalest.operators.scoring import POOL
@@ -38,24 +39,28 @@ def full_ranking_submission(spark, d):
 
 @query(SQL + "SELECT dataset, split, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) AS n_queries FROM tr GROUP BY dataset, split")
 def mrr_by_pool(spark, d):
-    return E.mrr_by_pool(views.ranked(spark, d), views.truth(spark, d))
+    return E.pool_mrr(views.true_ranks(spark, d))
 
 
 @query(SQL + "SELECT round(avg(m), 6) AS macro_mrr, count(*) AS n_pools FROM (SELECT avg(coalesce(1.0::DOUBLE / rank, 0)) AS m FROM tr GROUP BY dataset, split)")
 def mrr_macro(spark, d):
-    return E.macro_mrr(views.ranked(spark, d), views.truth(spark, d))
+    return E.macro_of(views.true_ranks(spark, d))
 
 
-@query(SQL + """SELECT dataset, split, query_id, target_id, coalesce(x.rank, n + 1) AS rank
-FROM truth LEFT JOIN (SELECT * FROM r WHERE rank <= 10) x USING (dataset, split, query_id, target_id) JOIN (SELECT dataset, split, count(*) AS n FROM g GROUP BY ALL) USING (dataset, split)""")
+@query(SQL + """, kept AS (SELECT dataset, split, target_id FROM g WHERE p % 13 <> 0),
+x AS (SELECT dataset, split, query_id, target_id, row_number() OVER (PARTITION BY dataset, split, query_id ORDER BY round(score, 9) DESC, target_id) AS rank FROM s SEMI JOIN kept USING (dataset, split, target_id))
+SELECT dataset, split, query_id, target_id, coalesce(x.rank, n + 1) AS rank
+FROM truth LEFT JOIN x USING (dataset, split, query_id, target_id) JOIN (SELECT dataset, split, count(*) AS n FROM kept GROUP BY ALL) USING (dataset, split)""")
 def true_rank(spark, d):
-    shown = ranking.rank(views.scores(spark, d), 10)
-    return E.true_rank(shown, views.truth(spark, d), pool_counts(spark, d).select(*POOL, "n_targets"))
+    """In whole rankings of a gallery that lacks some true targets; these have rank N + 1."""
+    gallery = views.linked(spark, d).where("p % 13 <> 0")
+    ranks = E.counted_ranks(views.queries(spark, d), gallery, views.truth(spark, d), V.dot("qv", "tv"))
+    return E.absent_last(ranks, gallery.groupBy(*POOL).agg(F.count("*").alias("n_targets")))
 
 
 @query(SQL + "SELECT dataset, split, k::INT AS k, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM tr, (SELECT unnest([5, 10, 15, 20, 25, 30]) AS k) GROUP BY ALL")
 def recall_at_k(spark, d):
-    return E.recall_at(views.ranked(spark, d), views.truth(spark, d))
+    return E.recall_of(views.true_ranks(spark, d))
 
 
 RANDOM_SQL = "row_number() OVER (PARTITION BY dataset, split, query_id ORDER BY sha256('7:' || query_id || ':' || target_id), target_id)"
@@ -84,7 +89,8 @@ def random_ranker_mrr(spark, d):
 y AS (SELECT dataset, split, round(avg(1.0::DOUBLE / rank), 6) AS other_mrr FROM tr GROUP BY ALL), z AS (SELECT *, round(other_mrr - base_mrr, 6) AS delta FROM x JOIN y USING (dataset, split))
 SELECT *, CASE WHEN delta > 0.10 THEN 'large gain' WHEN delta > 0.05 THEN 'gain' WHEN delta < -0.05 THEN 'regression' ELSE 'no change' END AS reading FROM z""")
 def delta_reading(spark, d):
-    return E.delta_table(ranking.rank(views.raw_scores(spark, d)), views.ranked(spark, d), views.truth(spark, d))
+    raw = E.counted_ranks(views.queries(spark, d), views.gallery(spark, d), views.truth(spark, d), V.dot("qv", "tv"))
+    return E.delta_table(raw, views.true_ranks(spark, d))
 
 
 @query(SQL + "SELECT query_id, target_id, rank FROM r")
@@ -94,17 +100,18 @@ def submission_parse(spark, d):
 
 
 def damaged(spark: SparkSession, d: str) -> DataFrame:
-    """A submission with faults: every 7th query is gone, one in 5 has a repeated target, one in 11 a foreign one."""
+    """A submission with faults: every 7th query is gone, one in 5 has a repeated target, one in 11 a foreign one, one in 13 no target."""
     sub = ranking.submission(views.ranked(spark, d)).select("query_id", "target_id_ranking").withColumn("n", F.substring("query_id", 3, 6).cast("int"))
     ids = F.col("target_id_ranking")
     ids = F.when(F.col("n") % 5 == 0, F.concat(ids, F.lit(" "), F.substring_index(ids, " ", 1))).otherwise(ids)
     ids = F.when(F.col("n") % 11 == 0, F.concat(ids, F.lit(" g_x"))).otherwise(ids)
+    ids = F.when(F.col("n") % 13 == 0, F.lit("")).otherwise(ids)
     sub = sub.where("n % 7 <> 0").select("query_id", ids.alias("target_id_ranking"))
     return sub.unionByName(spark.createDataFrame([("q_unknown", "g_000001")], "query_id string, target_id_ranking string"))
 
 
 DAMAGED = SQL + """, dn AS (SELECT dataset, split, query_id, target_id_ranking AS ids, substr(query_id, 3, 6)::INT AS n FROM sub),
-dm AS (SELECT query_id, ids || CASE WHEN n % 5 = 0 THEN ' ' || split_part(ids, ' ', 1) ELSE '' END || CASE WHEN n % 11 = 0 THEN ' g_x' ELSE '' END AS ids FROM dn WHERE n % 7 <> 0
+dm AS (SELECT query_id, CASE WHEN n % 13 = 0 THEN '' ELSE ids || CASE WHEN n % 5 = 0 THEN ' ' || split_part(ids, ' ', 1) ELSE '' END || CASE WHEN n % 11 = 0 THEN ' g_x' ELSE '' END END AS ids FROM dn WHERE n % 7 <> 0
        UNION ALL SELECT 'q_unknown', 'g_000001')
 """
 
@@ -114,8 +121,8 @@ def submission_coverage(spark, d):
     return validation.coverage(damaged(spark, d), views.queries(spark, d))
 
 
-@query(DAMAGED + """, ids AS (SELECT query_id, dataset, split, unnest(string_split(ids, ' ')) AS target_id FROM dm JOIN (SELECT query_id, dataset, split FROM q) USING (query_id)),
-c AS (SELECT query_id, dataset, split, count(*)::BIGINT AS n_ranked, (count(*) - count(DISTINCT target_id))::BIGINT AS n_repeated,
+@query(DAMAGED + """, ids AS (SELECT query_id, dataset, split, unnest(CASE WHEN ids = '' THEN [NULL] ELSE string_split(ids, ' ') END) AS target_id FROM dm JOIN (SELECT query_id, dataset, split FROM q) USING (query_id)),
+c AS (SELECT query_id, dataset, split, count(target_id)::BIGINT AS n_ranked, (count(target_id) - count(DISTINCT target_id))::BIGINT AS n_repeated,
         count(DISTINCT CASE WHEN g.p IS NULL THEN target_id END)::BIGINT AS n_foreign
       FROM ids LEFT JOIN g USING (dataset, split, target_id) GROUP BY ALL)
 SELECT c.*, n_targets, n_repeated = 0 AND n_foreign = 0 AND n_ranked = n_targets AS valid FROM c JOIN (SELECT dataset, split, count(*) AS n_targets FROM g GROUP BY ALL) USING (dataset, split)""")

@@ -12,6 +12,8 @@ from arbalest.plans.scoring import NCC, RANK, shown, top
 from arbalest.plans.views import SQL
 
 KEYS = "dataset, split, query_id, target_id"
+#: Sinkhorn rounds of the rankers.
+ROUNDS = 50
 
 CSLS = """, qn AS (SELECT dataset, split, query_id, avg(score) AS a FROM (SELECT *, row_number() OVER (PARTITION BY dataset, split, query_id ORDER BY score DESC, target_id) AS k FROM s) WHERE k <= 5 GROUP BY ALL),
 tn AS (SELECT dataset, split, target_id, avg(score) AS b FROM (SELECT *, row_number() OVER (PARTITION BY dataset, split, target_id ORDER BY score DESC, query_id) AS k FROM s) WHERE k <= 5 GROUP BY ALL),
@@ -38,14 +40,14 @@ def sinkhorn3_rank(spark, d):
     return shown(rerank.sinkhorn_steps(views.scores(spark, d), 0.1, 3))
 
 
-@query(SQL + sinkhorn_sql("s", 10, 0.1) + top("k20"))
+@query(SQL + sinkhorn_sql("s", ROUNDS, 0.1) + top(f"k{2 * ROUNDS}"))
 def sinkhorn_rank(spark, d):
-    return shown(rerank.sinkhorn(views.scores(spark, d), 0.1, 10))
+    return shown(rerank.sinkhorn(views.scores(spark, d), 0.1, ROUNDS))
 
 
-@query(SQL + CSLS + sinkhorn_sql("cs", 3, 0.1) + top("k6"))
+@query(SQL + CSLS + sinkhorn_sql("cs", ROUNDS, 0.1) + top(f"k{2 * ROUNDS}"))
 def descriptor_cascade(spark, d):
-    return shown(cascades.descriptor_scores(views.queries(spark, d), views.linked(spark, d), 5, 0.1, 3))
+    return shown(cascades.descriptor_scores(views.queries(spark, d), views.linked(spark, d), 5, 0.1, ROUNDS))
 
 
 @query(NCC + f", rn AS (SELECT *, {RANK} AS rank FROM nc), f AS (SELECT {KEYS}, 1.0::DOUBLE / (60 + rank) AS w FROM r UNION ALL SELECT {KEYS}, 2.0::DOUBLE / (60 + rank) FROM rn), rf AS (SELECT {KEYS}, sum(w) AS score FROM f GROUP BY ALL)" + top("rf"))
@@ -54,9 +56,9 @@ def rrf_fusion(spark, d):
     return shown(fusion.reciprocal_rank_fusion([(ranking.rank(scoring.dot_scores(q, t)), 1.0), (ranking.rank(scoring.ncc_scores(q, t)), 2.0)]))
 
 
-@query(SQL + f", a AS (SELECT * FROM r WHERE rank <= 20), b AS (SELECT * FROM r0 WHERE rank <= 20), re AS (SELECT {KEYS}, 0.5::DOUBLE * coalesce(1.0::DOUBLE / a.rank, 0) + 0.5::DOUBLE * coalesce(1.0::DOUBLE / b.rank, 0) AS score FROM a FULL JOIN b USING ({KEYS}))" + top("re"))
+@query(SQL + f", re AS (SELECT {KEYS}, 0.5::DOUBLE * coalesce(1.0::DOUBLE / a.rank, 0) + 0.5::DOUBLE * coalesce(1.0::DOUBLE / b.rank, 0) AS score FROM r a FULL JOIN r0 b USING ({KEYS}))" + top("re"))
 def rank_ensemble(spark, d):
-    return shown(fusion.rank_ensemble(ranking.rank(views.scores(spark, d), 20), ranking.rank(views.raw_scores(spark, d), 20)))
+    return shown(fusion.rank_ensemble(ranking.rank(views.scores(spark, d)), ranking.rank(views.raw_scores(spark, d))))
 
 
 @query(SQL + """, b AS (SELECT r.dataset, r.split, query_id, i, avg(x) AS m FROM (SELECT * FROM r WHERE rank <= 5) r JOIN (SELECT target_id, unnest(tv) AS x, unnest(range(64)) AS i FROM lk) USING (target_id) GROUP BY ALL),
@@ -123,9 +125,9 @@ def dataset_dispatch(spark, d):
 
 @query()
 def shortlist_cascade(spark, d):
-    """Without SQL: it goes through the aligner's kernel; the tests hold it against numpy."""
-    got = cascades.dataset2_ranking(views.queries(spark, d), views.linked(spark, d), views.SHAPE, k=10)
-    return got.where("rank <= 10").select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
+    """Whole rankings, a shortlist of 30 and the tail. Without SQL: it goes through the aligner's kernel; the tests hold it against numpy."""
+    got = cascades.dataset2_ranking(views.queries(spark, d), views.linked(spark, d), views.SHAPE)
+    return got.select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
 
 
 @query(SQL + ", n AS (SELECT dataset, split, target_id, b.target_id AS neighbour, row_number() OVER (PARTITION BY dataset, split, a.target_id ORDER BY round(CASE WHEN a.target_id = b.target_id THEN -1.0::DOUBLE ELSE list_dot_product(a.tv, b.tv) END, 9) DESC, b.target_id) AS rank FROM lk a JOIN (SELECT dataset, split, target_id, tv FROM lk) b USING (dataset, split)) SELECT * FROM n WHERE rank <= 6".replace("dataset, split, target_id, b.target_id AS", "a.dataset, a.split, a.target_id, b.target_id AS").replace("PARTITION BY dataset, split, a.", "PARTITION BY a.dataset, a.split, a."))

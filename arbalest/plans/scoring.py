@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbalest.functions import vectors as V
 from arbalest.operators import classifier, evaluation, fusion, ranking, scoring
 from arbalest.operators.scoring import POOL
 from arbalest.plans import views
@@ -43,7 +44,7 @@ def cosine_raw_topk(spark, d):
 
 @query(SQL + top("s", 10))
 def block_cosine_topk(spark, d):
-    got = scoring.block_dot_scores(views.queries(spark, d), views.linked(spark, d), 10, 64)
+    got = scoring.block_dot_scores(views.queries(spark, d), views.linked(spark, d), 10)
     return got.select(*scoring.PAIR, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -103,6 +104,23 @@ def nmi_rank(spark, d):
     return shown(scoring.nmi_scores(views.queries(spark, d), views.linked(spark, d), BINS))
 
 
+@query(SQL + ", " + digit_sql("query_id", "dq", "qv") + ", " + digit_sql("target_id", "dt", "tv") + f""",
+jt AS (SELECT dataset, split, query_id, target_id, unnest(list_filter(list_transform(range(1, 65), lambda i: a.d[i] * {BINS} + b.d[i]), lambda x: x IS NOT NULL)) AS c FROM dq a JOIN dt b USING (dataset, split)),
+{JOINT.format(bins=BINS)}
+ns AS (SELECT dataset, split, query_id, target_id, CASE WHEN coalesce(t, 0) < 2 THEN 1.0::DOUBLE WHEN hab < 1e-12 THEN 2.0 ELSE (ha.h + hb.h) / hab END AS score
+  FROM s LEFT JOIN tot USING (dataset, split, query_id, target_id) LEFT JOIN ha USING (dataset, split, query_id, target_id) LEFT JOIN hb USING (dataset, split, query_id, target_id))""" + top("ns"))
+def nmi_block_rank(spark, d):
+    return shown(scoring.nmi_block_scores(views.queries(spark, d), views.linked(spark, d), BINS))
+
+
+@query(SQL + "SELECT vec_id, round(list_sum(list_transform(v, lambda x: CASE WHEN x > 2 THEN 0 ELSE x END)), 6) AS total FROM e")
+def clean_vectors(spark, d):
+    """Components over 2 are made infinite or NaN first, and cleaned."""
+    spoilt = lambda x: F.when(x > 2.5, F.lit(float("nan"))).when(x > 2, F.lit(float("inf"))).otherwise(x)
+    rows = views.volumes(spark, d).withColumn("vec", F.transform("vec", spoilt))
+    return rows.select(F.col("id").alias("vec_id"), F.round(V.total(V.clean("vec")), 6).alias("total"))
+
+
 def robust_sql(source: str, name: str, vector: str) -> str:
     keys = f"dataset, split, {source}"
     table = "q" if source == "query_id" else "lk"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
 from arbalest.operators import scoring
+from arbalest.operators.evaluation import counted_ranks
 from arbalest.operators.ranking import rank
 from arbalest.operators.scoring import POOL
 
@@ -54,6 +55,10 @@ def raw_scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.dot_scores(queries(spark, d), gallery(spark, d))
 
 
+def true_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return counted_ranks(queries(spark, d), linked(spark, d), truth(spark, d), V.dot("qv", "tv"))
+
+
 def ranked(spark: SparkSession, d: str) -> DataFrame:
     return rank(scores(spark, d))
 

@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbalest.sources.staging import located
+
 
 def cached(inputs: DataFrame, path: str, settings: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Features of ``inputs`` (fingerprint, ...): known ones come from the table, the others are computed and appended.
+    """Features of ``inputs`` (fingerprint, ...): known ones come from the table, the others are computed and added.
 
-    ``compute`` keeps the column ``fingerprint``. Rows of other settings stay in the table and are not read.
+    ``compute`` keeps the column ``fingerprint``. Each call writes a folder of its own beside the table and moves it in whole when it is
+    complete, so that readers never see a part; where two writers add one fingerprint, one of its rows is read. Rows of other
+    settings are neither read nor touched.
     """
-    spark = inputs.sparkSession
-    keyed = inputs.withColumn("settings", F.lit(settings))
-    known = _read(spark, path)
-    missing = keyed if known is None else keyed.join(known.where(F.col("settings") == settings).select("fingerprint"), "fingerprint", "left_anti")
-    compute(missing).withColumn("settings", F.lit(settings)).write.mode("append").partitionBy("settings").parquet(path)
-    done = _read(spark, path)
-    return done.where(F.col("settings") == settings).join(inputs.select("fingerprint").distinct(), "fingerprint", "left_semi").drop("settings")
-
-
-def _read(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing has been written yet
-        return None
+    spark, folder = inputs.sparkSession, f"{path}/settings-{hashlib.sha256(settings.encode()).hexdigest()[:16]}"
+    at, files = located(spark, folder)
+
+    def known() -> DataFrame | None:
+        batches = [b.getPath().toString() for b in files.listStatus(at)] if files.exists(at) else []
+        return spark.read.parquet(*batches) if batches else None
+
+    have = known()
+    missing = inputs if have is None else inputs.join(have.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    name = uuid.uuid4().hex
+    new = f"{path}/_new-{name}"
+    compute(missing).write.parquet(new)
+    files.mkdirs(at)
+    if not files.rename(located(spark, new)[0], located(spark, f"{folder}/{name}")[0]):
+        raise OSError(f"could not move {new} into {folder}")
+    return known().dropDuplicates(["fingerprint"]).join(inputs.select("fingerprint").distinct(), "fingerprint", "left_semi").select(F.col("*"))

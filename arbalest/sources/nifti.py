@@ -6,7 +6,10 @@ Files are decoded in Arrow batches on the executors. Volumes come as (path, shap
 from __future__ import annotations
 
 import gzip
+import os
 import struct
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,21 @@ def unpacked(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
+def head_of(content: bytes) -> bytes:
+    """What stands before the voxels; of a packed file no more is unpacked."""
+    if content[:2] != b"\x1f\x8b":
+        return content[: max(HEADER + 4, _voxel_start(content))]
+    stream = zlib.decompressobj(31)
+    head = stream.decompress(content, HEADER + 4)
+    more = _voxel_start(head) - len(head)
+    return head + stream.decompress(stream.unconsumed_tail, more) if more > 0 else head
+
+
+def _voxel_start(head: bytes) -> int:
+    order = "<" if struct.unpack_from("<i", head, 0)[0] == HEADER else ">"
+    return int(struct.unpack_from(order + "f", head, 108)[0])
+
+
 def _text(raw: bytes) -> str:
     return raw.split(b"\0", 1)[0].decode("latin-1").strip()
 
@@ -124,11 +142,28 @@ def read_volumes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Headers alone; extensions are read, voxels are not decoded."""
+    """Headers and extensions alone; voxels are neither unpacked nor decoded. (Spark's source still reads whole files.)"""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = [header(unpacked(c)) for c in frame.content]
+            got = [header(head_of(c)) for c in frame.content]
             yield pd.DataFrame([{"path": p} | {k: v for k, v in h.items() if k[0] != "_"} for p, h in zip(frame.path, got)])
 
     return files(spark, path).select("path", "content").mapInPandas(run, HEADER_SCHEMA)
+
+
+def write_volumes(rows: DataFrame, folder: str) -> None:
+    """A <name>.nii.gz file of each row (name, shape, data, affine) in a folder that all executors have mounted. A file is moved in whole,
+    so that a task that is run again replaces its own files."""
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+
+    def save(part: Iterator) -> None:
+        for row in part:
+            data, affine = np.asarray(row.data, np.float32).reshape(row["shape"]), np.reshape(row.affine, (4, 4))
+            at = os.path.join(folder, f"{row.name}.nii.gz")
+            with open(f"{at}.{uuid.uuid4().hex}", "wb") as out:
+                out.write(gzip.compress(encode(data, affine), mtime=0))
+            os.replace(out.name, at)
+
+    rows.select("name", "shape", "data", "affine").foreachPartition(save)

@@ -24,7 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def _path(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -32,7 +33,7 @@ def _path(spark: SparkSession, path: str):
 def fresh_path(spark: SparkSession, name: str = "stage") -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    at, system = _path(spark, path)
+    at, system = located(spark, path)
     system.deleteOnExit(at)
     return path
 
@@ -47,7 +48,7 @@ def stage(df: DataFrame) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that no plan reads any more."""
     with contextlib.suppress(Exception):  # it goes at the end all the same
-        at, system = _path(spark, path)
+        at, system = located(spark, path)
         system.delete(at, True)
 
 

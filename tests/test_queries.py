@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
+from arbalest.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -30,10 +31,10 @@ def rows(frame, columns):
     return sorted(str(tuple(map(plain, r))) for r in frame.where(frame.notna(), None).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.load()[1]))
 def test_query_matches_sql(spark, con, name):
-    got = __spark_entry__.queries()[name](spark, DATA).toPandas()
-    want = con.sql(__spark_entry__.oracle_sql()[name]).df()
+    got = catalogue.load()[0][name](spark, DATA).toPandas()
+    want = con.sql(catalogue.load()[1][name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from arbalest.functions import vectors
 from arbalest.operators import classifier, evaluation, fusion, kernels, losses, ranking, rerank, scoring, splitting, validation
 from arbalest.operators.scoring import POOL
 from arbalest.plans import cascades
@@ -72,7 +73,7 @@ def test_scores_and_rerankers_match_numpy(pool):
         out /= out.sum(axis=1, keepdims=True) + 1e-12
         out /= out.sum(axis=0, keepdims=True) + 1e-12
     assert np.allclose(matrix(rerank.sinkhorn(scores, 0.1, 3)), out) and np.allclose(matrix(rerank.sinkhorn_steps(scores, 0.1, 3)), out)
-    assert np.allclose(out.sum(axis=0), 1)
+    assert np.allclose(out.sum(axis=0), 1) and np.allclose(matrix(rerank.sinkhorn(scores, 0.1, 3, most=10)), out)  # by factors
     low, high = s.min(axis=1, keepdims=True), s.max(axis=1, keepdims=True)
     assert np.allclose(matrix(rerank.row_min_max(scores)), (s - low) / (high - low))
     best = np.argsort(-s, axis=1)[:, :5]
@@ -83,6 +84,58 @@ def test_scores_and_rerankers_match_numpy(pool):
     assert len(block) == 25 * 7 and set(block.target_id[(block.query_id == "q003") & (block["rank"] == 1)]) == {f"t{s[3].argmax():03d}"}
 
 
+def test_counted_ranks_are_places_in_the_ranking(spark, pool):
+    q, t, queries, gallery = pool
+    truth = truth_of(spark, {f"q{i:03d}": f"t{(7 * i) % 25:03d}" for i in range(25)} | {"q_none": "t000", "q001b": "t001"})
+    tied = gallery.unionByName(gallery.where("target_id < 't010'").withColumn("target_id", F.concat("target_id", F.lit("a"))))
+    want = evaluation.true_rank(ranking.rank(scoring.dot_scores(queries, tied)), truth).collect()
+    got = evaluation.counted_ranks(queries, tied, truth, vectors.dot("qv", "tv")).collect()
+    assert {(r.query_id, r["rank"]) for r in got} == {(r.query_id, r["rank"]) for r in want} and ("q_none", None) in {(r.query_id, r["rank"]) for r in got}
+    with pytest.raises(Exception, match="no pool"):
+        evaluation.macro_mrr(ranking.rank(scoring.dot_scores(queries, gallery)), truth.limit(0)).collect()
+
+
+def test_submission_rows_the_last_wins_and_empty_ones_are_reported(spark, pool):
+    _, _, queries, gallery = pool
+    rows = [("q000", "t001 t002", 1), ("q000", "t003 t001 t003", 2), ("q001", "", 3), ("q002", None, 4)]
+    sub = spark.createDataFrame(rows, "query_id string, target_id_ranking string, row_no int")
+    assert {tuple(r) for r in validation.parse(sub).collect()} == {("q000", "t003", 1), ("q000", "t001", 2)}
+    assert {tuple(r) for r in validation.parse(sub.drop("row_no").coalesce(1)).collect()} == {("q000", "t003", 1), ("q000", "t001", 2)}
+    report = {r.query_id: (r.n_ranked, r.n_repeated, r.n_foreign, r.valid) for r in validation.ranking_checks(sub.where("row_no > 1"), queries, gallery).collect()}
+    assert report == {"q000": (3, 1, 0, False), "q001": (0, 0, 0, False), "q002": (0, 0, 0, False)}
+
+
+def test_nmi_of_whole_volumes(spark):
+    random = np.random.default_rng(3)
+    base = [np.clip(random.normal(1, 1, (48, 48, 48)), 0, None) for _ in range(2)]
+    volumes = [base[0], base[1], np.zeros((48, 48, 48)), np.ones((48, 48, 48))]
+    rows = lambda c: spark.createDataFrame([("d", "val", f"{c}{i}", v.ravel().tolist()) for i, v in enumerate(volumes)], f"dataset string, split string, {'query' if c == 'q' else 'target'}_id string, {c}v array<double>")
+    got = matrix(scoring.nmi_block_scores(rows("q"), rows("t"), 48, 3))
+
+    def digits(v):
+        m = v > 0
+        span = np.ptp(v[m]) if m.any() else 0
+        return m, np.round((v - v[m].min()) / span * 47) if span else np.zeros(v.shape)
+
+    h = lambda c: -(c[c > 0] / c.sum() * np.log(c[c > 0] / c.sum())).sum()
+    for i, a in enumerate(volumes):
+        for j, b in enumerate(volumes):
+            (ma, da), (mb, db) = digits(a), digits(b)
+            both = ma & mb
+            joint = np.histogram2d(da[both], db[both], bins=[np.arange(49) - 0.5] * 2)[0]
+            want = 1.0 if both.sum() < 2 else 2.0 if h(joint.ravel()) < 1e-12 else (h(joint.sum(axis=1)) + h(joint.sum(axis=0))) / h(joint.ravel())
+            assert got[i, j] == pytest.approx(want), (i, j)
+
+
+def test_euclidean_depth():
+    random = np.random.default_rng(6)
+    mask, spacing = random.random((7, 6, 5)) < 0.85, (1.0, 2.0, 0.5)
+    off = np.argwhere(~mask) * spacing
+    want = [[np.sqrt(((np.array(p) * spacing - off) ** 2).sum(axis=1)).min()] for p in np.ndindex(mask.shape)]
+    assert np.allclose(kernels.edge_distance(mask, spacing).ravel(), np.ravel(want))
+    assert kernels.edge_distance(np.ones((3, 3, 3), bool)).max() == 2
+
+
 def test_k_reciprocal_matches_a_loop(pool):
     q, t, queries, gallery = pool
     s, k1, k2, lam = q @ t.T, 6, 3, 0.35

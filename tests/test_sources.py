@@ -22,9 +22,14 @@ def test_registry(spark, tmp_path):
     assert root == str(tmp_path / "deep")
     queries, gallery = manifests.registry(spark, root, [("dataset1", "val"), ("dataset1", "test")])
     assert queries.count() == gallery.count() == 5 and {r.dataset for r in queries.collect()} == {"dataset1"}
-    (tmp_path / "deep/dataset1/val_gallery.csv").write_text(",".join(manifests.GALLERY) + "\nt0,a,T2,x")
-    with pytest.raises(ValueError, match="unequal"):
+    (tmp_path / "deep/dataset1/val_gallery.csv").write_text("\n".join([",".join(manifests.GALLERY), *(f"t{i},a,T2,x" for i in range(5))]))
+    assert manifests.registry(spark, root, [("dataset1", "val")])[1].count() == 5
+    (tmp_path / "deep/dataset1/val_gallery.csv").write_text(",".join(manifests.GALLERY))
+    with pytest.raises(ValueError, match="one side"):
         manifests.registry(spark, root, [("dataset1", "val")])
+    labels = spark.createDataFrame([("qx", "tx")], "query_id string, target_id string")
+    with pytest.raises(ValueError, match="no training pairs"):
+        manifests.training_pairs(labels.limit(0).withColumns({"query_image": F.lit(""), "target_image": F.lit("")}), labels, queries, gallery)
     assert manifests.first_source([queries.limit(0), gallery]) is gallery
     with pytest.raises(ValueError, match="no file"):
         manifests.repaired(queries, "/x/", ".nii", "query_id", spark.createDataFrame([("/x/q0.nii",)], "path string"))
@@ -55,6 +60,14 @@ def test_volumes(spark, tmp_path):
     heads = nifti.read_headers(spark, str(tmp_path)).collect()
     assert all(np.allclose(np.reshape(r.affine, (4, 4)), affine) and np.allclose(r.zooms, [2, 3, 4]) and r.sform_code == 1 for r in heads)
     assert nifti.listing(spark, str(tmp_path)).count() == 2
+    extended = bytearray(raw[:352]) + (16).to_bytes(4, "little") + bytes(12) + raw[352:]
+    extended[348] = 1
+    extended[108:112] = np.float32(368).tobytes()
+    assert nifti.head_of(gzip.compress(bytes(extended))) == nifti.head_of(bytes(extended)) == bytes(extended[:368])
+    assert nifti.header(nifti.head_of(bytes(extended)))["n_extensions"] == 1
+    rows = spark.createDataFrame([(f"v{i}", [2, 3, 4], [float(i)] * 24, affine.ravel().tolist()) for i in range(5)], "name string, shape array<int>, data array<double>, affine array<double>")
+    nifti.write_volumes(rows, str(tmp_path / "out"))
+    assert {r.path.rsplit("/", 1)[1]: r.data[7] for r in nifti.read_volumes(spark, str(tmp_path / "out")).collect()} == {f"v{i}.nii.gz": float(i) for i in range(5)}
 
 
 def test_four_dimensions_and_scaling():
