@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbalest.llm import byte_bpe, decontamination, language_id, licenses, lm_score, mixing, negatives, sharding, simhash, substring_dedup, topk, url_filter
+from arbalest.llm import byte_bpe, decontamination, language_id, lexical, licenses, lm_score, mixing, negatives, sharding, simhash, substring_dedup, topk, url_filter
 from arbalest.llm.common import documents, id_remainder
 
 
@@ -55,6 +55,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,12 +73,12 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_topk, op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_lm_score, op10_simhash, op12_byte_bpe, op13_hard_negatives)
+    named = (op1_exact_topk, op2_language_id, op3_mix_sources, op4_license_scan, op5_shard, op6_url_filter, op7_substring_dedup, op8_decontaminate, op9_lm_score, op10_simhash, op11_ranked_search, op12_byte_bpe, op13_hard_negatives)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_mix_sources": OP3_SQL, "op4_license_scan": op4_sql(), "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_mix_sources": OP3_SQL, "op4_license_scan": op4_sql(), "op5_shard": OP5_SQL, "op6_url_filter": op6_sql(), "op7_substring_dedup": OP7_SQL, "op11_ranked_search": OP11_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 OP1_SQL = """
@@ -149,6 +153,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed
 FROM w LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+n AS (SELECT r, doc_id, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+g AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM n),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM i GROUP BY item_id, term),
+w AS (SELECT r, unnest(ws) AS term FROM d),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM w SEMI JOIN q USING (term) GROUP BY r, term),
+v AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM f, g GROUP BY term, nn),
+s AS (
+  SELECT item_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM q JOIN v USING (term) JOIN f USING (term) JOIN n USING (r), g GROUP BY item_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s JOIN n USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
 OP13_SQL = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
