@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,41 +104,28 @@ def key_places(template: Template) -> list[int]:
     return [i for i in range(len(words) - len(key) + 1) if words[i : i + len(key)] == key]
 
 
-def hashes_of(words: list[str]) -> np.ndarray:
-    data = " ".join(words).encode()
-    starts, ends, _ = K.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), BREAKS)
-    return K.word_hashes(np.frombuffer(data, np.uint8), starts, ends)
-
-
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(texts: pa.Array, known: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, words of each text, each word's number in ``known`` or -1): words are told apart by their bytes."""
+    names = pa.array([w.encode() for w in known], pa.large_binary())
     for row, end, data, places in K.slices(texts):
         data = K.LOWER[data]
         starts, ends, counts = K.words(data, places, BREAKS)
-        yield row, end, counts, K.word_hashes(data, starts, ends)
-
-
-def _lookup(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, indices in the sorted ``known``) of the known ones among ``hashes``."""
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    some = np.flatnonzero(known[at] == hashes)
-    return some, at[some]
+        found = pc.index_in(K.word_array(data, starts, ends).cast(pa.large_binary()), names)
+        yield row, end, counts, pc.fill_null(found, -1).to_numpy().astype(np.int64)
 
 
 def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[dict[str, int], int]:
     """In how many of all rows each word occurs, and the number of rows; one row a word and task is shuffled."""
-    hashes = hashes_of(words)
-    order = np.argsort(hashes)
-    known, names = hashes[order], [words[i] for i in order]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(len(known), np.int64), 0
+        seen, rows = np.zeros(len(words), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for row, end, counts, h in _slices(batch["text"]):
-                places, index = _lookup(known, h)
+            for _, _, counts, number in _slices(batch["text"], words):
+                places = np.flatnonzero(number >= 0)
                 owner = np.searchsorted(np.cumsum(counts), places, "right")
-                seen += np.bincount(np.unique(owner * len(known) + index) % len(known), minlength=len(known))
-        yield pa.record_batch([pa.array([*names, ""]), pa.array([*seen.tolist(), rows])], names=["word", "n"])
+                seen += np.bincount(np.unique(owner * len(words) + number[places]) % max(len(words), 1), minlength=len(words))
+        yield pa.record_batch([pa.array([*words, ""]), pa.array([*seen.tolist(), rows])], names=["word", "n"])
 
     got = {r.word: r.n for r in docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     rows = got.pop("", 0)
@@ -151,20 +139,12 @@ class Index:
         self.words = sorted(frequencies, key=lambda w: (frequencies[w], w))
         number = {w: i for i, w in enumerate(self.words)}
         self.idf = np.array([np.log((rows + 1) / (frequencies[w] + 1)) for w in self.words])
-        hashes = hashes_of(self.words)
-        self.order = np.argsort(hashes)
-        self.known = hashes[self.order]
         self.base = [(label, np.array([number[w] for w in text.split()])) for text, label in base]
         self.templates = [(t[0], np.array([number[w] for w in t[2].split()]), key_places(t), len(t[1].split())) for t in templates]
         posted = sorted((int(w), t, q) for t, (_, words, _, _) in enumerate(self.templates) for q, w in enumerate(words))
         self.posted = np.array(posted, np.int64).reshape(-1, 3)
         self.n_posted = np.bincount(self.posted[:, 0], minlength=len(self.words))
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's number in the index, or -1."""
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.order[at], -1)
-
     def base_places(self, number: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         """For each base phrase its label and the places where it stands; first, last: of each word's text."""
         for label, words in self.base:
@@ -221,15 +201,15 @@ def _scan(index: Index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, counts, hashes in _slices(batch["text"]):
+            for row, end, counts, number in _slices(batch["text"], index.words):
                 n = end - row
                 n_base, score = np.zeros(n, np.int64), np.zeros(n)
                 first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 labels: dict[int, set[str]] = {}
                 base_labels: dict[int, set[str]] = {}
-                number, ends = index.numbers(hashes), np.cumsum(counts)
+                ends = np.cumsum(counts)
                 owner = np.repeat(np.arange(n), counts)
-                for label, at in index.base_places(number, (ends - counts)[owner], ends[owner], owner) if len(hashes) else ():
+                for label, at in index.base_places(number, (ends - counts)[owner], ends[owner], owner) if len(number) else ():
                     text = owner[at]
                     start = at - (ends - counts)[text]
                     n_base += np.bincount(text, minlength=n)

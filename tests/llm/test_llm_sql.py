@@ -44,7 +44,7 @@ def test_licences_and_mixing_on_planted_rows(spark, tmp_path):
 
 def test_url_cascade_of_several_levels(spark, tmp_path, monkeypatch):
     hosts = [f"{'www.' * (i % 2)}{name}.example.org" for i in range(3000) for name in (f"n{i}",)] + [f"{x}.example.com" for x in url_filter.LISTED_NAMES] + list(url_filter.LISTED)
-    urls = [None, "", "x" * 300_000, f"http://{'a.' * 500}ads-track.example.org/{'p' * 100_000}", *(f"HTTPS://{h}/fr/x?y" for h in hosts), *(f"https://{h}" for h in hosts[::7])]
+    urls = [None, "", "x" * 300_000, f"http://{'a.' * 50_000}ads-track.example.org/{'p' * 100_000}", f"http://{'b.' * 50_000}c/", "http://.../x", "http://..org/fr/", *(f"HTTPS://{h}/fr/x?y" for h in hosts), *(f"https://{h}" for h in hosts[::7])]
     pages = pa.table({"page_id": pa.array(range(len(urls)), pa.int64()), "url": urls, "html": [""] * len(urls)})
     pq.write_table(pages, tmp_path / "pages.parquet", row_group_size=500)
     names = tuple(f"n{i}" for i in range(0, 3000, 4))
@@ -55,3 +55,15 @@ def test_url_cascade_of_several_levels(spark, tmp_path, monkeypatch):
     assert found and found[0] >= 3 and (got.verdict == "block").sum() > 100
     joined = url_filter.judge(spark.read.parquet(f"{tmp_path}/pages.parquet"), max_words=1).toPandas()
     assert len(found) == 1 and rows(joined, sorted(joined.columns)) == rows(got, sorted(joined.columns))
+
+
+def test_a_word_made_to_collide(spark, tmp_path):
+    """This word once had the hash of ``license``."""
+    word = b"qkhylxws\xc9\xbfb0y\xdf\x935".decode()
+    texts = [f"under the mit {word} here", "under the mit license here", f"apache {word} version 2", "apache license version 2"]
+    docs = [{"doc_id": i, "text": t, "lang": "en", "source": "s", "n_chars": 0} for i, t in enumerate(texts)]
+    pq.write_table(pa.Table.from_pylist(docs, pq.read_schema(f"{DATA}/documents.parquet")), tmp_path / "documents.parquet")
+    got = compare(spark, str(tmp_path), "op4_license_scan")
+    assert got.sort_values("doc_id").n_base.tolist() == [0, 1, 0, 1]
+    for name in ("op7_substring_dedup", "op3_mix_sources"):
+        compare(spark, str(tmp_path), name)
