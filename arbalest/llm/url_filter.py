@@ -48,10 +48,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domains(host: Column) -> Column:
-    """The host and its parent domains."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+def domains(host: Column, depth: int) -> Column:
+    """The host's last 1 to ``depth`` labels, or the whole host where it has no more: each is found from the right."""
+    return F.array(*(F.call_function("substring_index", host, F.lit("."), F.lit(-k)) for k in range(1, depth + 1)))
+
+
+def depth_of(listed: DataFrame) -> int:
+    """Labels of the longest listed key; no domain with more can be listed."""
+    return listed.agg(F.max(F.length("key") - F.length(F.replace("key", F.lit("."), F.lit(""))) + 1)).first()[0] or 1
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
@@ -91,10 +95,8 @@ class Level:
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
 
     def passes(self, key: Column) -> Column:
-        answer = F.lit(True)
-        for at in self.places(key):
-            answer = answer & (F.element_at(self.literal, (F.shiftright(at, 6) + 1).cast("int")).bitwiseAND(self.bit(at)) != 0)
-        return answer
+        found = lambda at: F.element_at(self.literal, (F.shiftright(at, 6) + 1).cast("int")).bitwiseAND(self.bit(at)) != 0
+        return F.forall(F.array(*self.places(key)), found)  # so that the plan holds the literal once
 
 
 class Cascade:
@@ -118,10 +120,10 @@ class Cascade:
         return answer
 
 
-def universe_of(pages: DataFrame, listed: DataFrame) -> DataFrame:
+def universe_of(pages: DataFrame, listed: DataFrame, depth: int) -> DataFrame:
     """All distinct keys of the pages' urls, flagged if listed. Hosts are made distinct before they are split."""
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
-    keys = hosts.select(F.explode(domains(F.col("host"))).alias("key")).distinct()
+    keys = hosts.select(F.explode(domains(F.col("host"), depth)).alias("key")).distinct()
     flags = listed.select(lower_ascii(F.col("key")).alias("key"), F.lit(True).alias("_in")).where("key is not null").distinct()
     return keys.join(flags, "key", "left").select("key", F.coalesce("_in", F.lit(False)).alias("listed"))
 
@@ -131,15 +133,16 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[tuple[
     spark = pages.sparkSession
     if listed is None:
         listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
-    universe = stage(universe_of(pages, listed))
+    depth = depth_of(listed)
+    universe = stage(universe_of(pages, listed, depth))
     sizes = universe.agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).first()
     first = words_for(sizes.inside, min(RATE, sizes.inside / max(1, sizes.outside))) if sizes.inside else 0
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if first + 4 * words_for(sizes.inside, RATE) <= max_words:  # the further levels shrink by RATE every other time
         cascade = Cascade(universe, sizes.inside, sizes.outside)
-        found = F.exists(domains(F.col("host")), cascade.contains)
+        found = F.exists(domains(F.col("host"), depth), cascade.contains)
     else:
-        hosts = url.select("host").distinct().withColumn("key", F.explode(domains(F.col("host"))))
+        hosts = url.select("host").distinct().withColumn("key", F.explode(domains(F.col("host"), depth)))
         hits = hosts.join(universe.where("listed"), "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
         url, found = url.join(hits.hint("merge"), "host", "left"), F.coalesce("hit", F.lit(False))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
