@@ -107,7 +107,7 @@ def curriculum(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, tilts: tuple[float, ...] = TILTS
 ) -> DataFrame:
     """The rows of ``docs`` in training order, each as often as the mix takes it (taken / size, rounded half up)."""
-    rows = placed(read(docs, "doc_id", F.struct(*docs.columns).alias("_row")), weights, share, cap, tilts)
+    rows = placed(read(docs, "doc_id", F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_row")), weights, share, cap, tilts)
     times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
     rows = rows.withColumn("_times", times).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     return rows.withColumn("_at", position(F.col("_turn"))).orderBy("_at", "_digest").select("_row.*")
