@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from arbalest.llm.common import free_name, in_small_batches
 
 MAX_VOCABULARY = 1 << 20
-#: Entries that a task keeps of pieces and of token pairs; both start anew when full, which only costs time.
-KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 1 << 17, 1 << 19, 64
+#: Entries that a task keeps of pieces (of so many bytes at most), in each of two generations, and of token pairs; none are needed.
+KEPT_PIECES, KEPT_PAIRS, KEPT_BYTES = 1 << 18, 1 << 19, 64
 #: Characters of a text whose pieces are held at once.
 KEPT_TEXT = 1 << 20
 #: Characters after its end that a match of the pattern may look at: white space before a word sees the space and the word.
@@ -74,6 +74,7 @@ class Tokens:
                 spines[rank] = [*inner[:-1], *([(part, rank)] if inner else []), (token, math.inf)]
             self.rising &= len(token) == 1 or rank > max(ranks[p] for p in parts)
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the pieces before; what is asked for again stays
         self.pairs: dict[int, bool] = {}  # under the first token << 20 | the second
 
     def _merge(self, data: bytes) -> list[bytes]:
@@ -153,15 +154,16 @@ class Tokens:
 
     def piece(self, text: str) -> tuple[int, ...]:
         """The tokens of one piece."""
-        ids = self.pieces.get(text)
+        ids = self.pieces.get(text) or self.older.get(text)
         if ids is None:
             data = text.encode()
             whole = self.ranks.get(data)
             ids = (whole,) if whole is not None else tuple(self.walk(self.prefixes(data), 0, len(data)))
-            if len(data) <= KEPT_BYTES:
-                if len(self.pieces) >= KEPT_PIECES:
-                    self.pieces.clear()
-                self.pieces[text] = ids
+            if len(data) > KEPT_BYTES:
+                return ids
+        if len(self.pieces) >= KEPT_PIECES:
+            self.older, self.pieces = self.pieces, {}
+        self.pieces[text] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
