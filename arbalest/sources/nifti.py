@@ -6,15 +6,14 @@ Files are decoded in Arrow batches on the executors. Volumes come as (path, shap
 from __future__ import annotations
 
 import gzip
-import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values of the public format: numpy kinds by data type code.
 KINDS = {2: "u1", 256: "i1", 4: "i2", 512: "u2", 8: "i4", 16: "f4", 64: "f8", 768: "u4"}
@@ -33,14 +32,14 @@ def unpacked(content: bytes) -> bytes:
 def head_of(content: bytes) -> bytes:
     """What stands before the voxels; of a packed file no more is unpacked."""
     if content[:2] != b"\x1f\x8b":
-        return content[: max(HEADER + 4, _voxel_start(content))]
+        return content[: max(HEADER + 4, voxel_start(content))]
     stream = zlib.decompressobj(31)
     head = stream.decompress(content, HEADER + 4)
-    more = _voxel_start(head) - len(head)
+    more = voxel_start(head) - len(head)
     return head + stream.decompress(stream.unconsumed_tail, more) if more > 0 else head
 
 
-def _voxel_start(head: bytes) -> int:
+def voxel_start(head: bytes) -> int:
     order = "<" if struct.unpack_from("<i", head, 0)[0] == HEADER else ">"
     return int(struct.unpack_from(order + "f", head, 108)[0])
 
@@ -141,29 +140,28 @@ def read_volumes(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("path", "content").mapInPandas(run, "path string, shape array<int>, data array<float>")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Headers and extensions alone; voxels are neither unpacked nor decoded. (Spark's source still reads whole files.)"""
+def read_headers(spark: SparkSession, path: str, ranged: bool = True) -> DataFrame:
+    """Headers and extensions alone, with ``bytes_read`` of each file: ranged reads fetch what stands before the voxels. Without
+    ``ranged`` Spark's own reader fetches whole files, from any file system; voxels are not unpacked either way."""
+    if ranged:
+        from arbalest.sources import volume_source
+
+        volume_source.register(spark)
+        return spark.read.format("nifti").load(path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = [header(head_of(c)) for c in frame.content]
-            yield pd.DataFrame([{"path": p} | {k: v for k, v in h.items() if k[0] != "_"} for p, h in zip(frame.path, got)])
-
-    return files(spark, path).select("path", "content").mapInPandas(run, HEADER_SCHEMA)
+            yield pd.DataFrame([{"path": p} | {k: v for k, v in h.items() if k[0] != "_"} | {"bytes_read": len(c)} for p, c, h in zip(frame.path, frame.content, got)])
 
+    return files(spark, path).select("path", "content").mapInPandas(run, f"{HEADER_SCHEMA}, bytes_read long")
 
-def write_volumes(rows: DataFrame, folder: str) -> None:
-    """A <name>.nii.gz file of each row (name, shape, data, affine) in a folder that all executors have mounted. A file is moved in whole,
-    so that a task that is run again replaces its own files."""
-    folder = folder.removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
 
-    def save(part: Iterator) -> None:
-        for row in part:
-            data, affine = np.asarray(row.data, np.float32).reshape(row["shape"]), np.reshape(row.affine, (4, 4))
-            at = os.path.join(folder, f"{row.name}.nii.gz")
-            with open(f"{at}.{uuid.uuid4().hex}", "wb") as out:
-                out.write(gzip.compress(encode(data, affine), mtime=0))
-            os.replace(out.name, at)
+def write_volumes(rows: DataFrame, folder: str, packed: bool = True, mode: str = "append") -> None:
+    """A <name>.nii.gz (or .nii) file of each row (name, shape, data, affine); of rows of one name the last written stays. Files show
+    in the folder when all tasks are done, or not at all; ``overwrite`` replaces the folder's volumes then."""
+    from arbalest.sources import volume_source
 
-    rows.select("name", "shape", "data", "affine").foreachPartition(save)
+    volume_source.register(rows.sparkSession)
+    rows = rows.select("name", "shape", F.col("data").cast("array<float>").alias("data"), F.col("affine").cast("array<double>").alias("affine"))
+    rows.write.format("nifti").option("packed", str(packed).lower()).mode(mode).save(folder)

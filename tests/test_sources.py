@@ -70,6 +70,54 @@ def test_volumes(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.data[7] for r in nifti.read_volumes(spark, str(tmp_path / "out")).collect()} == {f"v{i}.nii.gz": float(i) for i in range(5)}
 
 
+def volume_rows(spark, n, edge=4, bad=None):
+    rows = [(f"v{i}", [edge] * 3 if i != bad else [7, 7, 7], [float(i)] * edge**3, np.eye(4).ravel().tolist(), "more") for i in range(n)]
+    return spark.createDataFrame(rows, "name string, shape array<int>, data array<float>, affine array<double>, `a.b` string").repartition(4)
+
+
+def test_headers_are_read_by_range(spark, tmp_path):
+    random = np.random.default_rng(1)
+    for edge in (4, 64):
+        raw = nifti.encode(random.normal(size=(edge,) * 3).astype(np.float32), np.eye(4))
+        long = bytearray(raw[:352]) + (3008).to_bytes(4, "little") + random.bytes(3004) + raw[352:]  # a long extension
+        long[348] = 1
+        long[108:112] = np.float32(3360).tobytes()
+        for name, content in (("plain", raw), ("long", bytes(long))):
+            (tmp_path / f"{name}{edge}.nii").write_bytes(content)
+            (tmp_path / "deep").mkdir(exist_ok=True)
+            (tmp_path / f"deep/{name}{edge}.nii.gz").write_bytes(gzip.compress(content))
+    got = {r.path.rsplit("/", 1)[1]: r for r in nifti.read_headers(spark, str(tmp_path)).collect()}
+    whole = {r.path.rsplit("/", 1)[1]: r for r in nifti.read_headers(spark, f"file:{tmp_path}", ranged=False).collect()}
+    assert len(got) == 8 and got.keys() == whole.keys()
+    for name, r in got.items():
+        assert r.asDict() | {"path": 0, "bytes_read": 0} == whole[name].asDict() | {"path": 0, "bytes_read": 0}
+        assert r.bytes_read <= (8192 if "long" in name else 2048) and whole[name].bytes_read >= (900_000 if "64" in name else 300)
+    assert {got[f"{n}{e}.nii"].bytes_read for n in ("plain",) for e in (4, 64)} == {352} and got["long4.nii"].n_extensions == 1
+    assert nifti.read_headers(spark, str(tmp_path / "plain4.nii")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert nifti.read_headers(spark, f"file://{tmp_path}/none").collect() == []
+    from arbalest.sources import volume_source
+
+    volume_source.register(spark)
+    assert spark.read.format("nifti").option("files", 3).load(str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_volumes_are_committed_whole_or_not_at_all(spark, tmp_path):
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="reshape"):
+        nifti.write_volumes(volume_rows(spark, 12, bad=7), str(out))
+    assert not list(out.rglob("*.nii*")) and not (out / "_temporary").exists()
+    nifti.write_volumes(volume_rows(spark, 12), str(out))
+    nifti.write_volumes(volume_rows(spark, 3, 2), str(out))  # replaces files of the same name
+    sizes = {r.path.rsplit("/", 1)[1]: r["shape"] for r in nifti.read_volumes(spark, str(out)).collect()}
+    assert len(sizes) == 12 and sizes["v1.nii.gz"] == [2, 2, 2] and sizes["v9.nii.gz"] == [4, 4, 4] and not (out / "_temporary").exists()
+    nifti.write_volumes(volume_rows(spark, 2), f"file://{out}", packed=False, mode="overwrite")
+    assert sorted(f.name for f in out.iterdir() if not f.name.startswith(".")) == ["v0.nii", "v1.nii"]
+    nifti.write_volumes(volume_rows(spark, 2).where("false"), str(out))
+    with pytest.raises(Exception, match="file name"):
+        nifti.write_volumes(volume_rows(spark, 1).withColumn("name", F.lit("../x")), str(out))
+
+
 def test_four_dimensions_and_scaling():
     raw = bytearray(nifti.encode(np.zeros((2, 2, 2), np.float32), np.eye(4)))
     import struct
