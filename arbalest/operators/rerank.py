@@ -107,13 +107,14 @@ def expanded_queries(queries: DataFrame, gallery: DataFrame, scores: DataFrame,
     return out.withColumn("qv", V.unit(V.combine("qv", mean_vector(F.col("_t")), alpha, 1 - alpha))).drop("_t")
 
 
-def k_reciprocal(scores: DataFrame, gallery: DataFrame, k1: int = 20, k2: int = 6, lam: float = 0.35) -> DataFrame:
+def k_reciprocal(scores: DataFrame, gallery: DataFrame, k1: int = 20, k2: int = 6, lam: float = 0.35, near: DataFrame | None = None) -> DataFrame:
     """lam * s + (1 - lam) * Jaccard overlap of the query's reciprocal set with each target's neighbours.
 
     The set has the query's k1 best targets whose own k1 neighbours share at least k1 / 2 with them (else its k2 best), and
-    their k2 nearest neighbours. Lists are k1 long at most, so each step is an equi-join and an array function.
+    their k2 nearest neighbours. Lists are k1 long at most, so each step is an equi-join and an array function. ``near`` has the targets'
+    neighbour lists where they are known already, as from ``inverted.neighbours``.
     """
-    near = neighbours(gallery, k1)
+    near = neighbours(gallery, k1) if near is None else near
     lists = near.groupBy(*TARGET).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("_knn"))
     best = rank(scores, k1)
     own = best.groupBy(*QUERY).agg(F.collect_list("target_id").alias("_own"))

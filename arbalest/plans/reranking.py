@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arbalest.operators import fusion, ranking, rerank, scoring
+from arbalest.operators import fusion, inverted, ranking, rerank, scoring
 from arbalest.operators.scoring import POOL
-from arbalest.plans import cascades, views
+from arbalest.plans import cascades, catalogue, views
 from arbalest.plans.catalogue import query
 from arbalest.plans.scoring import NCC, RANK, shown, top
 from arbalest.plans.views import SQL
@@ -130,8 +130,33 @@ def shortlist_cascade(spark, d):
     return got.select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
 
 
-@query(SQL + ", n AS (SELECT dataset, split, target_id, b.target_id AS neighbour, row_number() OVER (PARTITION BY dataset, split, a.target_id ORDER BY round(CASE WHEN a.target_id = b.target_id THEN -1.0::DOUBLE ELSE list_dot_product(a.tv, b.tv) END, 9) DESC, b.target_id) AS rank FROM lk a JOIN (SELECT dataset, split, target_id, tv FROM lk) b USING (dataset, split)) SELECT * FROM n WHERE rank <= 6".replace("dataset, split, target_id, b.target_id AS", "a.dataset, a.split, a.target_id, b.target_id AS").replace("PARTITION BY dataset, split, a.", "PARTITION BY a.dataset, a.split, a."))
+NEIGHBOURS = SQL + ", n AS (SELECT dataset, split, target_id, b.target_id AS neighbour, row_number() OVER (PARTITION BY dataset, split, a.target_id ORDER BY round(CASE WHEN a.target_id = b.target_id THEN -1.0::DOUBLE ELSE list_dot_product(a.tv, b.tv) END, 9) DESC, b.target_id) AS rank FROM lk a JOIN (SELECT dataset, split, target_id, tv FROM lk) b USING (dataset, split)) SELECT * FROM n WHERE rank <= 6".replace("dataset, split, target_id, b.target_id AS", "a.dataset, a.split, a.target_id, b.target_id AS").replace("PARTITION BY dataset, split, a.", "PARTITION BY a.dataset, a.split, a.")
+
+
+@query(NEIGHBOURS)
 def gallery_neighbours(spark, d):
     return scoring.neighbours(views.linked(spark, d), 6).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(NEIGHBOURS)
+def indexed_neighbours(spark, d):
+    """The same lists from the inverted-file index, whose bounds make them exact."""
+    return inverted.neighbours(views.linked(spark, d), 6).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(catalogue.SQL["k_reciprocal"])
+def indexed_k_reciprocal(spark, d):
+    gallery = views.linked(spark, d)
+    return shown(rerank.k_reciprocal(views.scores(spark, d), gallery, near=inverted.neighbours(gallery, 20)))
+
+
+@query()
+def probed_neighbours(spark, d):
+    """Recall of the index by pool with as many probes as a recall of 0.95 takes on a sample, and the share of pairs that it scores. Without
+    SQL: the cells are learned. The fixtures' vectors have no clusters, so most cells are probed; the tests plant some."""
+    gallery = views.linked(spark, d)
+    index = inverted.build(gallery)
+    queries = gallery.select(*POOL, F.col("target_id").alias("query_id"), F.col("tv").alias("qv"))
+    probes = inverted.calibrated(index, queries, 21)
+    got = inverted.recall(inverted.neighbours(gallery, 20, probes, index), scoring.neighbours(gallery, 20), [*POOL, "target_id", "neighbour"])
+    return got.join(inverted.visited(index, queries, 21, probes), POOL).withColumn("probes", F.lit(probes))
