@@ -41,6 +41,22 @@ def resample(volume: np.ndarray, shape: tuple[int, ...], corners: bool = True) -
     return volume
 
 
+def smoothing_weights(n: int, m: int) -> np.ndarray:
+    """(m, n) weights of a linear resize from n to m places: triangles at half-pixel places, as wide as the reduction, cut at the
+    edges and normed. Without a reduction it is plain linear interpolation."""
+    scale = max(n / m, 1.0)
+    centres = (np.arange(m) + 0.5) * n / m
+    weights = np.maximum(0.0, 1 - np.abs(np.arange(n)[None, :] + 0.5 - centres[:, None]) / scale)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def smooth_resize(image: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Linear resize that averages what it leaves out, one axis after the other."""
+    for axis, m in enumerate(shape):
+        image = np.moveaxis(np.tensordot(smoothing_weights(image.shape[axis], m), image, (1, axis)), 0, axis)
+    return image
+
+
 def _filtered(volume: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     """Correlation along one axis; the volume is mirrored at its edges, edge voxels included."""
     r = len(weights) // 2

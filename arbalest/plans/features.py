@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
-from arbalest.operators import pooling, volumes
+from arbalest.operators import kernels, pooling, volumes
 from arbalest.plans import views
 from arbalest.plans.catalogue import query
 from arbalest.plans.views import SHAPE, SQL
+from arbalest.sources import slabs, staging
 
 #: A voxel counts as occupied above this value, so that ranges differ among the volumes.
 LEAST = 0.15
@@ -106,6 +107,25 @@ def axial_slice(spark, d):
     return _long(rows, "id")
 
 
+@query(SQL + "SELECT id::VARCHAR AS id, 3 AS z, (x * 4 + y)::INT AS i, round(value::FLOAT::DOUBLE, 6) AS value FROM vox WHERE z = 3")
+def stored_slices(spark, d):
+    """Volumes stored as slabs of one slice; the last slice read again, by a place beyond it."""
+    path = staging.fresh_path(spark, "slabs")
+    slabs.write(views.volumes(spark, d).select("id", F.array(*[F.lit(n) for n in SHAPE]).alias("shape"), F.col("vec").alias("data")), path, 1)
+    rows = slabs.axial_slice(spark, path, 9).select("id", "z", F.posexplode("data").alias("i", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query(SQL + """, a AS (SELECT i, j, greatest(0, 1 - abs(j + 0.5::DOUBLE - (i + 0.5::DOUBLE) * 4 / 3) * 3 / 4) AS w FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(4)) AS j)),
+k AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM a)
+SELECT id::VARCHAR AS id, (p.i * 3 + r.i)::INT AS i, round(sum(p.w * r.w * value), 6) AS value FROM vox JOIN k p ON p.j = x JOIN k r ON r.j = y WHERE z = 2 GROUP BY id, p.i, r.i""")
+def smooth_resize(spark, d):
+    """A slice of each volume, resized from 4 x 4 to 3 x 3 by the smoothing rule."""
+    rows = views.volumes(spark, d).select(F.col("id").cast("string").alias("id"), F.array(F.lit(4), F.lit(4)).alias("shape"), volumes.axial_slice("vec", SHAPE, F.lit(2)).alias("data"))
+    resized = kernels.map_volumes(rows, lambda v, _: kernels.smooth_resize(v, (3, 3)))
+    return resized.select("id", F.posexplode("data").alias("i", "value")).withColumn("value", F.round("value", 6))
+
+
 SLICES = "sl AS (SELECT vec_id AS id, label, k, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS w FROM (SELECT e.vec_id, embeddings.label, k, e.v[k * 16 + 1:k * 16 + 16] AS w FROM e JOIN embeddings USING (vec_id), (SELECT unnest(range(4)) AS k)))"
 
 

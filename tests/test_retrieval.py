@@ -282,3 +282,21 @@ def test_volume_kernels(spark):
     rows = spark.createDataFrame([("a", [9, 9, 9], volume.ravel().tolist())], "id string, shape array<int>, data array<double>")
     got = kernels.map_volumes(rows, lambda v, i: kernels.resample(v, (3, 3, 3))).first()
     assert got["shape"] == [3, 3, 3] and np.allclose(np.reshape(got.data, (3, 3, 3)), volume[::4, ::4, ::4])
+
+
+def test_smoothing_resize():
+    random = np.random.default_rng(5)
+    for n, m in ((7, 3), (5, 5), (4, 9), (12, 1), (64, 24)):
+        w = kernels.smoothing_weights(n, m)
+        assert np.allclose(w.sum(axis=1), 1)
+        for i in range(m):  # by the definition, one place at a time
+            centre, scale = (i + 0.5) * n / m, max(n / m, 1)
+            want = [max(0.0, 1 - abs(j + 0.5 - centre) / scale) for j in range(n)]
+            assert np.allclose(w[i], np.array(want) / sum(want))
+    assert np.allclose(kernels.smooth_resize(np.full((6, 9), 2.5), (4, 3)), 2.5)
+    image = random.normal(size=(11, 8))
+    got = kernels.smooth_resize(image, (4, 5))
+    want = [[sum(kernels.smoothing_weights(11, 4)[i, a] * kernels.smoothing_weights(8, 5)[k, b] * image[a, b] for a in range(11) for b in range(8)) for k in range(5)] for i in range(4)]
+    assert np.allclose(got, want) and np.allclose(kernels.smooth_resize(image, image.shape), image)
+    ramp = np.add.outer(np.arange(32.0), np.zeros(4))
+    assert np.allclose(kernels.smooth_resize(ramp, (8, 4))[1:-1, 0], np.arange(8)[1:-1] * 4 + 1.5)  # a ramp stays one inside

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbalest.functions import text
-from arbalest.sources import cache, manifests, nifti, submissions
+from arbalest.sources import cache, manifests, nifti, slabs, submissions
 from arbalest.streaming import incremental
 
 
@@ -144,6 +144,56 @@ def test_cache_computes_only_what_is_missing(spark, tmp_path):
     assert asked == [["a", "bb"], ["ccc"], ["a"]]
 
 
+def test_a_full_cache_is_not_written_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a",), ("b",)], "fingerprint string")
+    compute = lambda r: r.select("fingerprint", F.length("fingerprint").alias("n"))
+    first = cache.cached(rows, str(tmp_path), "s", compute)
+    before = sorted(str(p) for p in tmp_path.rglob("*"))
+    again = cache.cached(rows.limit(1), str(tmp_path), "s", compute)
+    assert sorted(str(p) for p in tmp_path.rglob("*")) == before and (first.count(), again.count()) == (2, 1)
+
+
+def test_prefixes_are_kept_by_plan_files_and_settings(spark, tmp_path):
+    data, kept = str(tmp_path / "in"), tmp_path / "kept"
+    spark.range(20).withColumn("v", F.col("id") * 2).write.parquet(data)
+    plan = lambda n=3: spark.read.parquet(data).where(F.col("id") > n).select("id", (F.col("v") + 1).alias("w"))
+    tables = lambda: sorted(p.name for p in kept.iterdir() if p.name[0] not in "._") if kept.exists() else []
+    first = cache.cached_prefix(plan(), str(kept))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, plan().collect())) and first.columns == ["id", "w"] and len(tables()) == 1
+    cache.cached_prefix(plan(), str(kept))
+    assert len(tables()) == 1  # the same plan, made anew
+    cache.cached_prefix(plan(4), str(kept))
+    cache.cached_prefix(plan(), str(kept), "other settings")
+    cache.cached_prefix(plan().withColumnRenamed("w", "u"), str(kept))
+    assert len(tables()) == 4
+    spark.range(5).withColumn("v", F.col("id")).write.mode("append").parquet(data)
+    assert cache.cached_prefix(plan(), str(kept)).count() == plan().count() and len(tables()) == 5
+    with pytest.raises(ValueError, match="deterministic"):
+        cache.cached_prefix(plan().withColumn("r", F.rand()), str(kept))
+
+
+def test_a_slice_reads_its_slabs_alone(spark, tmp_path):
+    random = np.random.default_rng(2)
+    whole = {f"v{i:02d}": random.normal(size=(5, 3, 4 + i % 9)).astype(np.float32) for i in range(40)}
+    rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in whole.items()] + [("none", [0, 2, 3], [])]
+    path = str(tmp_path / "slabs")
+    slabs.write(spark.createDataFrame(rows, "id string, shape array<int>, data array<double>").repartition(3), path, 2, 10)
+    n_slabs = spark.read.parquet(path).count()
+    for z in (0, 3, 11, 99, -4):
+        got = slabs.axial_slice(spark, path, z)
+        assert len(got.collect()) == 40
+        for r in got.collect():
+            v = whole[r.id]
+            at = min(max(z, 0), v.shape[2] - 1)
+            assert r.z == at and np.array_equal(np.float32(r.data), v[:, :, at].ravel())
+    got = slabs.axial_slice(spark, path, 0)
+    got.collect()
+    scan = got._jdf.queryExecution().executedPlan().collectLeaves().head()
+    scan = scan.executedPlan().collectLeaves().head() if "Adaptive" in scan.getClass().getName() else scan
+    assert "PushedFilters" in got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert scan.metrics().apply("numOutputRows").value() < n_slabs / 2
+
+
 def test_header_text_and_names(spark):
     row = spark.createDataFrame([(bytearray(b" caf\xe9 \0junk"), "a/b:c", "x" * 20)], "raw binary, path string, long string").select(
         text.header_text(F.col("raw")).alias("t"), text.safe_id(F.col("path")).alias("s"), text.short_id(F.col("long")).alias("l")
