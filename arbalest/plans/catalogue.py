@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def load() -> tuple[dict[str, Plan], dict[str, str]]:
-    from arbalest.plans import evaluation, features, manifests, reranking, scoring, training  # noqa: F401  they register themselves
+    from arbalest.plans import evaluation, features, manifests, registering, reranking, scoring, training  # noqa: F401  they register themselves
 
     return PLANS, SQL
