@@ -13,7 +13,8 @@ Placeholders alone fit anything: windows with fewer than ``PLAIN`` plain tokens
 joined by template and slot values, that is literally. So every verbatim copy is found, but where such windows make up
 more than the rest that ``COVER`` leaves, none with other values.
 The items' window hashes are broadcast as a filter while there are at most ``MAX_FILTER``; beyond that all windows of the
-documents are joined, with the same result.
+documents are joined, with the same result. Words and windows are told apart by 64-bit hashes under a secret key of the job, so that no
+text can be made to look like an item.
 
 Contract of ``leaks``:
 * one row for each (document, item) with a leak, of its best choice in the first reading that gives one: most covered tokens, then leftmost;
@@ -41,7 +42,7 @@ WIDTH, PLAIN, COVER = 5, 3, 0.8
 DRIFT = 8
 MAX_FILTER = 1 << 22
 #: Steps of the search for a chain of alignments of one (document, item).
-TRIES = 20_000
+TRIES = 200_000
 NO_ID = (1 << 63) - 1
 
 #: Units and number words.
@@ -73,13 +74,13 @@ STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:;"]] = True
 
 
-def _hashes(words: list[str]) -> np.ndarray:
+def _hashes(words: list[str], key: int) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = K.words(data, np.array([0, len(data)]))
-    return np.unique(K.word_hashes(data, starts, ends))
+    return np.unique(K.word_hashes(data, starts, ends, key))
 
 
-def templates(data: np.ndarray, places: np.ndarray, openers: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def templates(data: np.ndarray, places: np.ndarray, openers: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template tokens of some texts: (tokens, slot values, is a slot, tokens of each text). A run of names is one token.
     With ``openers``, capitalised words that open a sentence are names too."""
     none = np.zeros(0, U)
@@ -105,12 +106,12 @@ def templates(data: np.ndarray, places: np.ndarray, openers: bool = False) -> tu
     opens[1:] = (owner[1:] != owner[:-1]) | STOP[data[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]])
     some = first < last  # punctuation alone is no token
     first, last, owner, opens = first[some], last[some], owner[some], opens[some]
-    value = K.word_hashes(low, first, last)
+    value = K.word_hashes(low, first, last, key)
     second = first + 1 + wide[first]
     shouted = (second < last) & upper[np.minimum(second, n - 1)]
-    number = DIGIT[data[first]] | np.isin(value, _hashes(NUMBERS))
+    number = DIGIT[data[first]] | np.isin(value, _hashes(NUMBERS, key))
     same = np.append(False, owner[1:] == owner[:-1])
-    unit = np.isin(value, _hashes(UNITS)) & np.append(False, number[:-1]) & same & ~number
+    unit = np.isin(value, _hashes(UNITS, key)) & np.append(False, number[:-1]) & same & ~number
     name = upper[first] & (~opens | openers) & (last - first > 1) & ~shouted & ~number & ~unit
     head = ~(name & np.append(False, name[:-1]) & same)
     at = np.flatnonzero(head)
@@ -120,7 +121,7 @@ def templates(data: np.ndarray, places: np.ndarray, openers: bool = False) -> tu
     return token, ranges.of(at, ends_at), (number | unit | name)[at], np.bincount(owner[at], minlength=len(counts))
 
 
-def _windows(width: int, plain: int, known: np.ndarray | None, items: bool, sizes: list[int]):
+def _windows(width: int, plain: int, known: np.ndarray | None, items: bool, sizes: list[int], secret: int):
     """Windows of ``sizes`` as (id, th, pos, size, reading, total, hash, slot values); of items the widest that fit."""
     schema = pa.schema(
         [("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("reading", pa.int32()), ("total", pa.int32()), ("key", pa.int64()), ("slots", pa.list_(pa.int64()))]
@@ -131,7 +132,7 @@ def _windows(width: int, plain: int, known: np.ndarray | None, items: bool, size
             ids, hashes = batch["id"].to_numpy(), batch["th"].to_numpy()
             for row, end, data, places in K.slices(batch["text"]):
                 for reading in (0, 1):
-                    token, value, slot, counts = templates(data, places, bool(reading))
+                    token, value, slot, counts = templates(data, places, bool(reading), secret)
                     firsts = np.cumsum(counts) - counts
                     ranges, literal, slots = K.Ranges(token), K.Ranges(value), np.append(0, np.cumsum(slot))
                     values = value[slot]
@@ -190,12 +191,13 @@ def _agreed(hits: list[tuple], least: float) -> tuple | None:
 def _chain(hits: list[tuple], total: int, least: float) -> list[tuple] | None:
     """Whole runs of hits, in the order of both texts, whose shifts change by ``DRIFT`` at most from one run to the next
     and whose slots agree, covering ``least`` tokens. No hit of a run is left out, and a run that disagrees is passed over only by
-    a change of the shift. Found by depth-first search, of ``TRIES`` steps at most for a pair."""
+    a change of the shift. Found by depth-first search that enters no state twice, of ``TRIES`` steps at most for a pair."""
     at = {(h[0], h[1]): h for h in hits}
     reach, spare = WIDTH + DRIFT, None
     drifts = sorted(((a, b) for a in range(1, reach + DRIFT + 1) for b in range(1, reach + 1) if 0 < abs(a - b) <= DRIFT), key=lambda s: (s[1], abs(s[0] - s[1])))
     heads = [h for h in hits if total - h[1] >= least and not any((h[0] - k, h[1] - k) in at for k in range(1, reach + 1))]
     stack = [((h,), h[2], {}) for h in sorted(heads, key=lambda h: (-h[1], -h[0]))]
+    seen: dict[tuple, int] = {}  # tokens covered on the way to a hit with these slots: what followed was tried then
     for _ in range(TRIES):
         if not stack:
             break
@@ -204,6 +206,10 @@ def _chain(hits: list[tuple], total: int, least: float) -> list[tuple] | None:
         values = dict(values)
         if any(values.setdefault(a, b) != b for a, b in zip(item_slots, slots)) or n + total - item_pos - size < least:
             continue
+        state = (pos, item_pos, frozenset(values.items()))
+        if seen.get(state, -1) >= n:
+            continue
+        seen[state] = n
         ahead = next((k for k in range(1, reach + 1) if (pos + k, item_pos + k) in at), None)
         following = [at[pos + ahead, item_pos + ahead]] if ahead else []
         if ahead != 1:
@@ -277,14 +283,15 @@ def _leaks(rows: list[tuple]) -> pa.RecordBatch:
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, plain: int = PLAIN, cover: float = COVER, max_filter: int = MAX_FILTER) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, coverage, exact, first_token, th) of every leak."""
-    wanted = keyed(items, "item_id").dropDuplicates(["id", "th"]).mapInArrow(_windows(width, plain, None, True, list(range(1, width + 1))), SHAPE)
+    secret = K.fresh_key()
+    wanted = keyed(items, "item_id").dropDuplicates(["id", "th"]).mapInArrow(_windows(width, plain, None, True, list(range(1, width + 1)), secret), SHAPE)
     wanted = wanted.select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("pos").alias("item_pos"), "size", "reading", F.col("total").alias("n_tokens"), "key", F.col("slots").alias("item_slots"))
     wanted = stage(wanted)
     sizes = sorted(r.size for r in wanted.select("size").distinct().collect())
     keys = wanted.select("key").distinct()
     known = keys.toArrow()["key"].to_numpy() if keys.count() <= max_filter else None
     known = np.sort(known) if known is not None else None
-    found = keyed(docs, "doc_id").mapInArrow(_windows(width, plain, known, False, sizes), SHAPE).drop("total", "reading")
+    found = keyed(docs, "doc_id").mapInArrow(_windows(width, plain, known, False, sizes, secret), SHAPE).drop("total", "reading")
     hits = stage(found.join(wanted, ["key", "size"]))
     pair = ["id", "th", "item_id", "item_th"]
     # no choice of a pair's hits covers more than all of them

@@ -6,6 +6,7 @@ cut into slices of half a megabyte, which bounds a worker's memory; a single lon
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,15 +86,27 @@ def words(data: np.ndarray, places: np.ndarray, breaks: np.ndarray = SPACE) -> t
 _TAILS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, eight bytes a step through a bijection; words of up to eight bytes and equal length never collide."""
+def fresh_key() -> int:
+    """A random key for ``word_hashes``, drawn for each job."""
+    return secrets.randbits(63) | 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of words, eight bytes a step through a bijection; words of up to eight bytes and equal length never collide.
+    Longer words can be made to collide by whoever knows the function: where no bytes are compared afterwards, a job draws a secret
+    ``key``, which goes into every step, and no text can be made to fit it."""
     size = ends - starts
+    if key:
+        scale, offset = mix(np.array([key, key + 1], U)) | U(1)
+        scrambled = lambda x: mix(x * scale + offset)
+    else:
+        scrambled = mix
     padded = np.append(data, np.zeros(8, np.uint8))
     eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
-    out = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    out = scrambled(size.astype(U) + U(0x9E3779B97F4A7C15))
     live, at, left = None, starts, size
     while True:
-        step = mix((out if live is None else out[live]) ^ (eights[at] & _TAILS[np.minimum(left, 8)]))
+        step = scrambled((out if live is None else out[live]) ^ (eights[at] & _TAILS[np.minimum(left, 8)]))
         if live is None:
             out, more = step, np.flatnonzero((left > 8) & (size <= LONG_WORD))
             live = more
@@ -107,7 +120,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     long = np.flatnonzero(size > LONG_WORD)
     if len(long):
         view = memoryview(np.ascontiguousarray(data))
-        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b], key) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
     return out
 
 

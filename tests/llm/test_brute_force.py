@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from arbalest.llm import language_id, queries
+from arbalest.llm import decontamination, language_id, queries, shingle_dedup
 from llm_cases import TEXTS
 
 TABLES = "/root/testdata/sf0.001"
@@ -71,3 +71,15 @@ def test_pipeline(spark, tables):
     want = brute.sharded(brute.mixed(clean))
     got = corpus_pipeline.run(spark, folder).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+COLLIDING = b"qkhylxws\xc9\xbfb0y\xdf\x935".decode()  # once had the hash of ``license``
+
+
+def test_words_made_to_collide_are_different_words(spark):
+    item = "please read the license before you copy any part of it"
+    copies = [item, item.replace("license", COLLIDING)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*copies, "license", COLLIDING])], "doc_id long, text string")
+    found = decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_covered, r.exact) for r in found if r.exact and r.n_covered == r.n_tokens} == {0: (11, True)}
+    assert sorted(r.doc_id for r in shingle_dedup.keep_one(docs).collect()) == [0, 1, 2, 3]

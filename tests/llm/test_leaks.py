@@ -77,3 +77,11 @@ def test_names_that_open_sentences(spark):
     got = found(spark, docs, items)
     assert set(got) >= {(1, 1), (2, 2), (3, 1), (5, 1)} and not got[1, 1].exact and got[5, 1].exact
     assert not {(1, 2), (2, 1), (5, 2)} & set(got)
+
+
+def test_a_search_of_many_ways_ends():
+    """Runs of one template in item and document, whose slots never agree: every way to the same hit and slots is tried once."""
+    hits = [(40, 5 * a, 5 * b, 5, (1,), (2,)) for a in range(8) for b in range(8)]
+    hits = [h[1:] for h in hits]
+    got = decontamination._chain(hits, 40, 32.0)
+    assert got is None or len(got) >= 1
