@@ -9,8 +9,9 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from arbalest.llm import decontamination, language_id, queries, shingle_dedup
+from arbalest.llm import decontamination, language_id, lm_score, queries, shingle_dedup
 from llm_cases import TEXTS
+from test_corpus_operators import brute_components, brute_fingerprint, brute_lm
 
 TABLES = "/root/testdata/sf0.001"
 QUESTION = "A baker sells 12 loaves to Anna Bell before noon and another 7 kg of flour to Émile after lunch. How many loaves does the baker sell in all?"
@@ -83,3 +84,25 @@ def test_words_made_to_collide_are_different_words(spark):
     found = decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert {r.doc_id: (r.n_covered, r.exact) for r in found if r.exact and r.n_covered == r.n_tokens} == {0: (11, True)}
     assert sorted(r.doc_id for r in shingle_dedup.keep_one(docs).collect()) == [0, 1, 2, 3]
+
+
+def test_lm_score_on_a_whole_table(spark, tables):
+    folder, docs, _ = tables
+    rows = [(r["doc_id"], r["text"]) for r in docs if len(r["text"] or "") < 100_000]
+    small = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = Counter((i, *w[:2], round(w[2], 3), round(w[3], 2), *w[4:]) for (i, _), w in zip(rows, brute_lm(rows)))
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 2), r.held_out, r.train_tokens) for r in lm_score.score(small).collect())
+    assert sum((got & want).values()) >= len(rows) - 2 and len(got - want) <= 2  # a last digit may be rounded either way
+
+
+def test_near_duplicates_on_a_whole_table(spark, tables):
+    folder, docs, _ = tables
+    fps = [brute_fingerprint(r["text"]) for r in docs]
+    roots = brute_components(fps)
+    least = {}
+    for r, c in zip(docs, roots):
+        if r["doc_id"] is not None:
+            least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+    want = Counter((r["doc_id"], f"{f:016x}", least.get(c)) for r, f, c in zip(docs, fps, roots))
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in queries.op10_simhash(spark, folder).collect())
+    assert got == want and len(set(roots)) < len(docs) - 20
