@@ -1,12 +1,12 @@
 """Pair scores: every query against its own pool's gallery, as (dataset, split, query_id, target_id, score).
 
-Features are prepared per entity before the join. The pool join is salted by query, so that a large pool is spread over
-many tasks of about ``PAIRS_A_TASK`` pairs; the gallery side is copied that often.
+Features are prepared per entity before the join. A pool's gallery is dealt into blocks of about ``TARGETS``, so that a large pool is
+spread over many tasks; the query side is copied to each block. Nothing runs before the plan does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,22 +17,18 @@ from arbalest.functions import vectors as V
 
 POOL = ["dataset", "split"]
 PAIR = [*POOL, "query_id", "target_id"]
-PAIRS_A_TASK, MOST_SPREAD = 1 << 12, 1 << 12
+#: Targets of a block of a pool, and blocks of a pool at most.
+TARGETS, BLOCKS = 64, 1 << 12
 
 
-def spread_for(queries: DataFrame, gallery: DataFrame) -> int:
-    """Parts of the largest pool, from the pools' counts (one row a pool)."""
-    n = [side.groupBy(*POOL).agg(F.count("*").alias(name)) for side, name in ((queries, "n_q"), (gallery, "n_t"))]
-    most = n[0].join(n[1], POOL).agg(F.max(F.least(F.ceil(F.col("n_q") * F.col("n_t") / PAIRS_A_TASK), "n_q"))).first()[0] or 1
-    return min(int(most), MOST_SPREAD)
-
-
-def pairs(queries: DataFrame, gallery: DataFrame, spread: int | None = None) -> DataFrame:
-    """Every query with every target of its pool, in ``spread`` parts a pool (by the pools' counts, if not given)."""
-    spread = spread or spread_for(queries, gallery)
-    left = queries.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(spread)).cast("int"))
-    right = gallery.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return left.join(right, [*POOL, "_salt"]).drop("_salt")
+def pairs(queries: DataFrame, gallery: DataFrame, targets: int = TARGETS) -> DataFrame:
+    """Every query with every target of its pool. The gallery alone is counted, within the plan: a pool's targets are dealt by hash into
+    blocks, and queries are copied to the numbers of these. Of counts there is one row a pool."""
+    parts = F.greatest(F.lit(1), F.least(F.ceil(F.count("*") / targets), F.lit(BLOCKS))).cast("int")
+    counts = F.broadcast(gallery.select(*POOL, "target_id").groupBy(*POOL).agg(parts.alias("_n")))
+    right = gallery.join(counts, POOL).withColumn("_b", F.pmod(F.xxhash64("target_id"), F.col("_n")).cast("int")).drop("_n")
+    left = queries.join(counts, POOL).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return left.join(right, [*POOL, "_b"]).drop("_b")
 
 
 def score_by(queries: DataFrame, gallery: DataFrame, score: Column) -> DataFrame:
@@ -194,13 +190,29 @@ def digits_nmi(a: np.ndarray, b: np.ndarray, bins: int) -> float:
     return 2.0 if h[2] < 1e-12 else float((h[0] + h[1]) / h[2])
 
 
-def nmi_block_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48, size: int = 16) -> DataFrame:
-    """``nmi_scores`` for whole volumes: each is digitised once, in Arrow batches; blocks of ``size`` volumes of both sides meet, and a
-    pair costs one joint histogram by ``bincount``."""
+def robust_histogram_nmi(a: np.ndarray, b: np.ndarray, bins: int, least: int) -> float:
+    """``robust_nmi`` of one pair of robust volumes."""
+    both = (np.abs(a) > 1e-6) & (np.abs(b) > 1e-6)
+    n = int(both.sum())
+    if n < least or not n:
+        return 0.0
+
+    def places(x: np.ndarray) -> np.ndarray:
+        lo, hi = x.min(), x.max()
+        lo, wide = (lo - 0.5, 1.0) if hi <= lo else (lo, hi - lo)
+        return np.minimum(np.floor((x - lo) / wide * bins), bins - 1).astype(np.int64)
+
+    joint = np.bincount(places(a[both]) * bins + places(b[both]), minlength=bins * bins).reshape(bins, bins)
+    h = [-(p * np.log(p)).sum() for p in (c[c > 0] / n for c in (joint.sum(axis=1), joint.sum(axis=0), joint.ravel()))]
+    return float((h[0] + h[1]) / max(h[2], 1e-6))
+
+
+def _volume_block_scores(queries: DataFrame, gallery: DataFrame, prepare: Callable[[np.ndarray], np.ndarray], score: Callable[[np.ndarray, np.ndarray], float], kind: str, size: int) -> DataFrame:
+    """Scores of whole volumes: each is prepared once, in Arrow batches; blocks of ``size`` volumes of both sides meet."""
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(vec=[digits(np.asarray(v, np.float64), bins).tobytes() for v in frame.vec])
+            yield frame.assign(vec=[prepare(np.asarray(v, np.float64)).astype(kind).tobytes() for v in frame.vec])
 
     def side(rows: DataFrame, name: str, vector: str) -> DataFrame:
         rows = rows.select(*POOL, F.col(name).alias("id"), F.col(vector).alias("vec")).mapInPandas(coded, "dataset string, split string, id string, vec binary")
@@ -211,14 +223,26 @@ def nmi_block_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48, siz
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                a, b = ([(e["id"], np.frombuffer(e["vec"], np.int16)) for e in block] for block in (row.query_ids, row.target_ids))
-                out = [(x, y, digits_nmi(u, v, bins)) for x, u in a for y, v in b]
+                a, b = ([(e["id"], np.frombuffer(e["vec"], kind)) for e in block] for block in (row.query_ids, row.target_ids))
+                out = [(x, y, score(u, v)) for x, u in a for y, v in b]
                 yield pd.DataFrame(out, columns=["query_id", "target_id", "score"]).assign(dataset=row.dataset, split=row.split)[[*PAIR, "score"]]
 
     both = _block_pairs(side(queries, "query_id", "qv"), side(gallery, "target_id", "tv"))
     return both.mapInPandas(run, "dataset string, split string, query_id string, target_id string, score double")
 
 
+def nmi_block_scores(queries: DataFrame, gallery: DataFrame, bins: int = 48, size: int = 16) -> DataFrame:
+    """``nmi_scores`` for whole volumes; a pair costs one joint histogram by ``bincount``."""
+    return _volume_block_scores(queries, gallery, lambda v: digits(v, bins), lambda a, b: digits_nmi(a, b, bins), "<i2", size)
+
+
+def robust_nmi_block_scores(queries: DataFrame, gallery: DataFrame, bins: int = 64, least: int = 64, size: int = 16) -> DataFrame:
+    """``robust_nmi_scores`` for whole volumes."""
+    from arbalest.operators.kernels import robust as robust_volume
+
+    return _volume_block_scores(queries, gallery, lambda v: robust_volume(v, least), lambda a, b: robust_histogram_nmi(a, b, bins, least), "<f8", size)
+
+
 def block_dot_scores(queries: DataFrame, gallery: DataFrame, k: int, size: int = 1024) -> DataFrame:
     """``dot_scores`` cut to each query's ``k`` best, by matrix products of blocks; equal to it after rounding to 6 digits."""
     q = _blocks(queries.select(*POOL, "query_id", "qv"), "query_id", "qv", size)

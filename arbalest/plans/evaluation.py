@@ -247,9 +247,11 @@ def bce_loss(spark, d):
     return losses.binary_cross_entropy(views.scores(spark, d), views.truth(spark, d), 5.0)
 
 
-@query("SELECT e::INT AS epoch, round(CASE WHEN e < 5 THEN (e + 1) / 5.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * (e - 5) / 45.0::DOUBLE)) END, 6) AS rate FROM (SELECT unnest(range(50)) AS e)")
+@query(SQL + "SELECT query_id, e::INT AS epoch, round(CASE WHEN e < 5 THEN (e + 1) / 5.0::DOUBLE ELSE 0.5::DOUBLE * (1 + cos(pi() * (e - 5) / 45.0::DOUBLE)) END, 6) AS rate FROM (SELECT query_id, p % 50 AS e FROM q)")
 def lr_schedule(spark, d):
-    return spark.range(50).select(F.col("id").cast("int").alias("epoch"), F.round(losses.warmup_cosine(F.col("id"), 5, 50), 6).alias("rate"))
+    """The rate at which each pair would be trained, were every 50th pair an epoch."""
+    rows = views.queries(spark, d).select("query_id", (F.col("p") % 50).cast("int").alias("epoch"))
+    return rows.withColumn("rate", F.round(losses.warmup_cosine(F.col("epoch"), 5, 50), 6))
 
 
 @query("SELECT round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem")

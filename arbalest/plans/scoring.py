@@ -143,7 +143,13 @@ def robust_nmi_rank(spark, d):
     return shown(scoring.robust_nmi_scores(views.queries(spark, d), views.linked(spark, d), 8, 32))
 
 
+def robust_nmi_block_rank(spark, d):
+    """The same through the block form for whole volumes."""
+    return shown(scoring.robust_nmi_block_scores(views.queries(spark, d), views.linked(spark, d), 8, 32))
+
+
 query()(robust_nmi_rank)
+query()(robust_nmi_block_rank)
 
 Z = "list_transform({v}, lambda x: (x - list_sum({v}) / 64) / (sqrt(list_sum(list_transform({v}, lambda y: (y - list_sum({v}) / 64) * (y - list_sum({v}) / 64))) / 64) + 0.000001::DOUBLE))"
 NCC = SQL + f", zq AS (SELECT dataset, split, query_id, {Z.format(v='qv')} AS a FROM q), zt AS (SELECT dataset, split, target_id, {Z.format(v='tv')} AS b FROM lk), nc AS (SELECT dataset, split, query_id, target_id, list_dot_product(a, b) / 64 AS score FROM zq JOIN zt USING (dataset, split))"

@@ -300,3 +300,60 @@ def test_smoothing_resize():
     assert np.allclose(got, want) and np.allclose(kernels.smooth_resize(image, image.shape), image)
     ramp = np.add.outer(np.arange(32.0), np.zeros(4))
     assert np.allclose(kernels.smooth_resize(ramp, (8, 4))[1:-1, 0], np.arange(8)[1:-1] * 4 + 1.5)  # a ramp stays one inside
+
+
+def test_robust_nmi_of_whole_volumes(spark):
+    random = np.random.default_rng(6)
+    base = np.where(random.random((24, 24, 24)) < 0.3, 0, random.normal(5, 2, (24, 24, 24)))
+    volumes = [base, base**2, random.normal(size=base.shape), np.zeros(base.shape), np.where(random.random(base.shape) < 0.001, 3.0, 0.0), np.full(base.shape, 2.0)]
+    rows = lambda c: spark.createDataFrame([("d", "val", f"{c}{i}", v.ravel().tolist()) for i, v in enumerate(volumes)], f"dataset string, split string, {'query' if c == 'q' else 'target'}_id string, {c}v array<double>")
+    got = matrix(scoring.robust_nmi_block_scores(rows("q"), rows("t"), 64, 64, 4))
+    for i, a in enumerate(volumes):
+        for j, b in enumerate(volumes):
+            want = cascades.histogram_nmi(kernels.robust(a), kernels.robust(b), 64, 64)
+            assert got[i, j] == pytest.approx(want, abs=2e-4), (i, j)  # histogram2d places edges by their own rounding
+    assert got[0, 0] > got[0, 1] > got[0, 2] > 0 and got[3, 0] == 0.0
+    small = lambda c: rows(c).withColumn(f"{c}v", F.slice(f"{c}v", 1, 343))
+    blocks, plain = (matrix(f(small("q"), small("t"), 8, 32)) for f in (scoring.robust_nmi_block_scores, scoring.robust_nmi_scores))
+    assert np.allclose(blocks, plain)
+
+
+def test_descriptor_by_its_definition():
+    """Voxel by voxel, with nothing taken from the kernels but the robust scaling."""
+    volume = np.random.default_rng(7).normal(3, 1, (5, 4, 6))
+    weights = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    weights /= weights.sum()
+    fold = lambda i, n: (i % (2 * n)) if (i % (2 * n)) < n else 2 * n - 1 - i % (2 * n)
+
+    def filtered(v, kernels_by_axis):
+        out = np.zeros(v.shape)
+        for at in np.ndindex(*v.shape):
+            for step in np.ndindex(*(len(k) for k in kernels_by_axis)):
+                w = np.prod([k[s] for k, s in zip(kernels_by_axis, step)])
+                out[at] += w * v[tuple(fold(a + s - len(k) // 2, n) for a, s, k, n in zip(at, step, kernels_by_axis, v.shape))]
+        return out
+
+    smooth = filtered(kernels.robust(volume), [weights] * 3)
+    edge, rest = np.array([-1.0, 0, 1]), np.array([1.0, 2, 1])
+    gradient = np.sqrt(sum(filtered(smooth, [edge if a == b else rest for b in range(3)]) ** 2 for a in range(3)))
+    parts = [smooth, gradient]
+    for axis in range(3):
+        for step in (1, -1):
+            diff = np.array([(smooth[at] - smooth[tuple((x - step) % n if a == axis else x for a, (x, n) in enumerate(zip(at, smooth.shape)))]) ** 2 for at in np.ndindex(*smooth.shape)]).reshape(smooth.shape)
+            diff = filtered(diff, [weights] * 3)
+            parts.append(np.exp(-diff / (diff.mean() + 1e-6)))
+    want = np.concatenate([p.ravel() for p in parts])
+    want -= want.mean()
+    assert np.allclose(kernels.descriptor(volume), want / np.linalg.norm(want))
+
+
+def test_no_job_runs_before_the_plan_does(spark):
+    side = lambda c: spark.range(50).select(F.lit("d").alias("dataset"), F.lit("val").alias("split"), F.concat(F.lit(c), "id").alias("query_id" if c == "q" else "target_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias(f"{c}v"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("plans", "")
+    scores = scoring.dot_scores(side("q"), side("t"))
+    assert not jobs("plans")
+    assert scores.count() == 2500 and jobs("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = scoring.pairs(side("q"), side("t"), 7).groupBy("query_id").agg(F.count_distinct("target_id").alias("n"), F.count("*").alias("m"))
+    assert {(r.n, r.m) for r in rows.collect()} == {(50, 50)}
