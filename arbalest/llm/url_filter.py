@@ -5,8 +5,8 @@ level 1 the unlisted keys that pass level 0, level 2 the listed keys that pass l
 For keys of that universe, which are all keys that can be asked for, membership is exact. Testing a url needs no join: the
 levels are literals in its expression. Level 0's false positive rate is listed / unlisted keys, so that about as many unlisted keys
 pass it as are listed: its bits, and those of all further levels, follow the list and the logarithm of the universe.
-A list whose levels would have more than ``MAX_WORDS`` words (some millions of keys) is not sent along with the plan: there the
-universe's flags are joined with the hosts, with the same result.
+Where the levels would have more than ``MAX_WORDS`` words (some millions of listed keys), the keys are dealt by hash into parts with a cascade
+each, and the urls' hosts pass these one after the other; no plan holds more than one, and there is still no join.
 
 Contract of ``judge``:
 * host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or
@@ -36,7 +36,7 @@ LISTED = tuple(f"{name}.{suffix}" for name in LISTED_NAMES for suffix in LISTED_
 
 #: False positive rate of all levels but the first, and of the first at least.
 RATE = 1 / 32
-#: Bound of all levels together: 2**21 words of 64 bits, 16 MB.
+#: Bound of all levels of a cascade together: 2**21 words of 64 bits, 16 MB. Keys that need more are dealt into parts with a cascade each.
 MAX_WORDS = 1 << 21
 
 
@@ -137,14 +137,20 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[tuple[
     universe = stage(universe_of(pages, listed, depth))
     sizes = universe.agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).first()
     first = words_for(sizes.inside, min(RATE, sizes.inside / max(1, sizes.outside))) if sizes.inside else 0
+    needed = first + 4 * words_for(sizes.inside, RATE)  # the further levels shrink by RATE every other time
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if first + 4 * words_for(sizes.inside, RATE) <= max_words:  # the further levels shrink by RATE every other time
+    if needed <= max_words:
         cascade = Cascade(universe, sizes.inside, sizes.outside)
         found = F.exists(domains(F.col("host"), depth), cascade.contains)
-    else:
-        hosts = url.select("host").distinct().withColumn("key", F.explode(domains(F.col("host"), depth)))
-        hits = hosts.join(universe.where("listed"), "key", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
-        url, found = url.join(hits.hint("merge"), "host", "left"), F.coalesce("hit", F.lit(False))
+    else:  # a cascade for each part of the keys, one after the other over the urls' hosts
+        parts, found = -(-needed // max_words), F.col("_found")
+        part = lambda key: F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+        counts = {r.part: r for r in universe.groupBy(part(F.col("key")).alias("part")).agg(F.count_if("listed").alias("inside"), F.count_if(~F.col("listed")).alias("outside")).collect()}
+        url = url.withColumn("_found", F.lit(False))
+        for n in sorted(n for n, r in counts.items() if r.inside):
+            cascade = Cascade(universe.where(part(F.col("key")) == n), counts[n].inside, counts[n].outside)
+            hit = lambda key: (part(key) == n) & cascade.contains(key)  # noqa: B023, E731  used at once
+            url = stage(url.withColumn("_found", F.col("_found") | F.exists(domains(F.col("host"), depth), hit)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     hit = F.when(verdict.isNull() & found, F.lit("block")).otherwise(F.lit("allow"))
     return url.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, hit).alias("verdict"))
