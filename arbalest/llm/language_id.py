@@ -29,13 +29,17 @@ from pyspark.sql import functions as F
 from arbalest.llm.common import free_name, in_small_batches
 
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 256, 2048, 1 << 16
+#: Languages at most: the sample on the driver stays under 512 MB, the dictionaries under 64 MB.
+LANGUAGES = 1000
 PIECE, LEVEL = 4096, 9
 MIN_MARGIN = 0.005
 UND = "und"
 
 
 def fit(training: DataFrame, label: str = "lang", sample: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """(language, dictionary) in code point order, from a bounded sample."""
+    """(language, dictionary) in code point order, from a bounded sample; an error beyond ``LANGUAGES`` of them."""
+    if training.where(F.col(label).isNotNull()).select(label).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages in {label!r}: their dictionaries are sent to every task")
     rows = training.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("lang"), "text")
     rows = rows.withColumn("h", F.xxhash64("text"))
     picks = rows.groupBy("lang", F.pmod("h", F.lit(sample)).alias("b")).agg(F.min("h").alias("h")).select("lang", "h")  # at most ``sample`` a language

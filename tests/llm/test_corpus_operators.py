@@ -95,6 +95,14 @@ def test_language_id(spark, docs, empty):
     assert {r.score for r in language_id.identify(docs.where("doc_id = 0"), languages[:1]).collect()} == {1.0}
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    rows = spark.createDataFrame([(f"text {i}", f"l{i % 4}") for i in range(8)] + [("x", None)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        language_id.fit(rows)
+    assert len(language_id.fit(rows.where("lang <> 'l3'"))) == 3
+
+
 def test_language_id_by_piece_covers_whole_text():
     languages = [("a", b"alpha beta gamma " * 50), ("b", b"delta epsilon zeta " * 50)]
     import zstandard
