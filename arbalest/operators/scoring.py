@@ -17,8 +17,8 @@ from arbalest.functions import vectors as V
 
 POOL = ["dataset", "split"]
 PAIR = [*POOL, "query_id", "target_id"]
-#: Targets of a block of a pool, and blocks of a pool at most.
-TARGETS, BLOCKS = 64, 1 << 12
+#: Targets of a block of a pool, blocks of a pool at most, and blocks of vectors that a small pool is cut into.
+TARGETS, BLOCKS, FEW = 64, 1 << 12, 4
 
 
 def pairs(queries: DataFrame, gallery: DataFrame, targets: int = TARGETS) -> DataFrame:
@@ -156,8 +156,9 @@ def neighbours(gallery: DataFrame, k: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, name: str, vector: str, size: int) -> DataFrame:
-    """Blocks of about ``size`` entities of a pool, by hash."""
-    counts = rows.groupBy(*POOL).agg(F.ceil(F.count("*") / size).alias("_n"))  # one row a pool
+    """Blocks of at most about ``size`` entities of a pool, by hash; small pools make up to ``FEW`` blocks, so that they are more than a task."""
+    few = F.least(F.lit(FEW), F.ceil(F.count("*") / TARGETS))
+    counts = rows.groupBy(*POOL).agg(F.greatest(F.ceil(F.count("*") / size), few).alias("_n"))  # one row a pool
     rows = rows.join(counts, POOL).withColumn("_b", F.pmod(F.xxhash64(name), F.col("_n")))
     return rows.groupBy(*POOL, "_b").agg(F.collect_list(name).alias(f"{name}s"), F.flatten(F.collect_list(vector)).alias(f"{vector}s"))
 
