@@ -17,7 +17,7 @@ documents are joined, with the same result. Words and windows are told apart by
 text can be made to look like an item.
 
 Contract of ``leaks``:
-* one row for each (document, item) with a leak, of its best choice in the first reading that gives one: most covered tokens, then leftmost;
+* one row for each (document, item) with a leak (items of one id and unlike texts are items of their own), of its best choice in the first reading that gives one: most covered tokens, then leftmost;
 * whole texts are searched; null texts have no tokens, null items or items without a token are never found; items shorter
   than a window form one window; repeated document rows give one row, and ids may be null; empty tables give an
   empty result; extra columns are ignored by ``leaks`` and kept by ``keep_clean``.

@@ -360,6 +360,14 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.keep_clean(docs, items).count() == len(document_rows())
 
 
+def test_items_of_one_id(spark):
+    """Items of one id and unlike texts are items of their own; an item that is given twice is one."""
+    texts = ["the first question asks how many apples are in the basket", "another question wants the colour of the old barn door"]
+    docs = spark.createDataFrame([(1, f"{texts[0]} {texts[1]}"), (2, texts[0])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (7, texts[0])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()) == [(1, 7), (1, 7), (2, 7)]
+
+
 def test_inconsistent_slots_do_not_match(spark):
     item = "take 5 apples and put 5 apples beside the basket then count all apples that lie beside 5 chairs"
     once = item.replace("5", "8")
@@ -468,8 +476,8 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
 
 
-@pytest.mark.parametrize("block", [16, 1024])
-def test_links_connect_chains_and_dense_groups(spark, block):
+@pytest.mark.parametrize("block, agree", [(16, 2), (1024, None), (64, 3), (1024, 4)])
+def test_links_connect_chains_and_dense_groups(spark, block, agree):
     random = np.random.default_rng(9)
     fps = [int(x) for x in random.integers(0, 1 << 63, 60)]
     for start in fps[:3]:  # chains and dense groups
@@ -482,7 +490,7 @@ def test_links_connect_chains_and_dense_groups(spark, block):
     signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
     roots = brute_components(fps)
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.node: r.root for r in simhash.components(simhash.links(frame, block=block)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.links(frame, block=block, agree=agree)).collect()}
     groups, want = defaultdict(set), defaultdict(set)
     for f, c in zip(signed, roots):
         groups[got.get(f, f)].add(f)
