@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
+from arbalest.operators import ranking
 from arbalest.operators import registration as R
 from arbalest.operators.scoring import digits, digits_nmi
-from arbalest.plans import registering
+from arbalest.plans import cascades, registering, views
 
 
 def blobs(shape, seed, n=14):
@@ -96,6 +97,11 @@ def test_registration_query(spark):
 
 
 def test_cascade_through_registration(spark):
-    got = registering.affine_cascade(spark, "/root/testdata/sf0.001")
-    sizes = got.groupBy("dataset", "split", "query_id").count().select("dataset", "split", "count").distinct().collect()
-    assert len(sizes) == 6 and got.where("rank = 1").count() == 250
+    """The shortlist goes through the solver, the tail stays as it was."""
+    q, t = (f(spark, "/root/testdata/sf0.001").where("dataset = 'dataset1' and split = 'val'") for f in (views.queries, views.linked))
+    got = cascades.dataset2_ranking(q, t, views.SHAPE, k=3, aligner=R.affine_alignment)
+    first = ranking.rank(cascades.descriptor_scores(q, t, 5, 0.1, 50))
+    n = q.count()
+    assert got.count() == n * n
+    old, new = ({(r.query_id, r.target_id): r["rank"] for r in x.collect()} for x in (first, got))
+    assert all(new[k] == r for k, r in old.items() if r > 3) and {k for k, r in old.items() if r <= 3} == {k for k, r in new.items() if r <= 3}
