@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.llm import kernels as K
-from arbalest.llm.common import in_small_batches, stage
+from arbalest.llm.common import in_small_batches, stage, stage_and_free
 
 U = np.uint64
 WINDOW = 35
@@ -181,20 +181,20 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, with_text: bool = True)
     # symbols that occur again, counted with map-side sums; a hot symbol is one row a task
     names = found.groupBy("name").agg(F.count("*").alias("_c"), F.min("unit").alias("_u"), F.max("unit").alias("_v"))
     # the few that are left become a table, so that joins with it can split a hot symbol
-    names = stage(names.where("_c > 1").select("name", (F.col("_u") != F.col("_v")).alias("mixed")))
-    again = stage(found.join(names, "name"))
+    names = stage_and_free(names.where("_c > 1").select("name", (F.col("_u") != F.col("_v")).alias("mixed")))
+    again = stage_and_free(found.join(names, "name"))
     same = again.where("not mixed").select("id", "th", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
 
     # distinct spans of the others: repeated spans are settled, one of each is compared by window
     mixed = again.where("mixed").drop("mixed").withColumn("pick", F.xxhash64("id", "th", "lo"))
-    units = stage(mixed.groupBy("name", "unit").agg(F.count("*").alias("_c"), F.min("pick").alias("_pick")))
+    units = stage_and_free(mixed.groupBy("name", "unit").agg(F.count("*").alias("_c"), F.min("pick").alias("_pick")))
     mixed = mixed.join(units, ["name", "unit"])
     settled = mixed.where("_c > 1").select("id", "th", "lo", (F.col("lo") + F.col("n") + size - 1).alias("hi"))
     asked = mixed.where("pick = _pick").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n", (F.col("_c") == 1).alias("need"))).alias("asked"))
     texts = rows.select("doc_id", "id", "th", "text")
     each = texts.join(asked, ["id", "th"])  # of rows that are equal in id and text, no window is still needed
-    shown = stage(each.select("id", "th", "text", "asked").mapInArrow(_windows(size), "id long, th long, at int, need boolean, k1 long, k2 long"))
-    keys = stage(shown.groupBy("k1", "k2").agg(F.count("*").alias("_c")).where("_c > 1").select("k1", "k2"))
+    shown = stage_and_free(each.select("id", "th", "text", "asked").mapInArrow(_windows(size), "id long, th long, at int, need boolean, k1 long, k2 long"))
+    keys = stage_and_free(shown.groupBy("k1", "k2").agg(F.count("*").alias("_c")).where("_c > 1").select("k1", "k2"))
     single = shown.where("need").join(keys, ["k1", "k2"]).select("id", "th", F.col("at").alias("lo"), (F.col("at") + size).alias("hi"))
 
     spans = same.union(settled).union(single).groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
