@@ -103,12 +103,17 @@ def _alike(m: str, n: str):
     return F.least(m, n) * SIMILAR[1] >= F.greatest(m, n) * SIMILAR[0]
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, root) of every row; th: hash of the text; root: the component's smallest shingle set."""
+def labelled(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """(doc_id, th, root) of every row; th: hash of the text; root: the component's smallest shingle set. ``also`` files rows (doc_id, th) under
+    further keys (key), as components of another method; their pairs are verified like any other."""
     keyed = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     secret = K.fresh_key()
     rows = stage(keyed.mapInArrow(_signed(secret), "doc_id long, th long, node long, n int, bands array<long>"))
     filed = rows.dropDuplicates(["node"]).select("node", "n", F.explode("bands").alias("key"))  # a band's number is part of its keys
+    if also is not None:
+        ids = lambda rows: rows.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+        keys = ids(also).select("_id", "th", F.xxhash64(F.lit("also"), "key").alias("key")).distinct()
+        filed = filed.unionByName(ids(rows).join(keys, ["_id", "th"]).select("node", "n", "key").distinct())
     hubs = filed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     filed = stage(filed.join(hubs, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
     # texts of the sets in shared buckets, one for each set
@@ -202,7 +207,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     return stage(roots.join(found, "root", "left").select("node", F.coalesce("least", "root").alias("root"))), True
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` without near-duplicates."""
-    kept = labelled(docs).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("k"))
+    kept = labelled(docs, also).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")).alias("k"))
     return rows_of(docs, kept.select("k.id", "k.th")).dropDuplicates(["id", "th"]).select("row.*")

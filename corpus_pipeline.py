@@ -8,8 +8,9 @@ with null ids, repeated rows and texts of any length take part, and an empty tab
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbalest.llm import decontamination, language_id, mixing, sharding, shingle_dedup
+from arbalest.llm import decontamination, language_id, mixing, sharding, shingle_dedup, simhash
 from arbalest.llm.common import fresh_path, id_remainder, remove
 
 SHARDS = 16
@@ -23,10 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle similarity 0.8 or more stays, that of the smallest id (null ids
-    last, then the smallest text hash; of repeated rows one). Null texts and texts without words are copies of each other. (This is the
-    place of op10, whose 4 of 64 bits would lose most copies of that similarity.)"""
-    return shingle_dedup.keep_one(docs)
+    """Candidates are the SimHash components of ``op10`` (4 of 64 bits) and, for copies further apart, MinHash buckets; an exact check
+    follows. One document of each component of five-word shingle similarity 0.8 or more stays, that of the smallest id (null ids
+    last, then the smallest text hash; of repeated rows one). Null texts and texts without words are copies of each other."""
+    alike = simhash.labelled(docs).select("doc_id", "th", F.col("root").alias("key"))
+    return shingle_dedup.keep_one(docs, alike)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

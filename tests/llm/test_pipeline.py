@@ -33,3 +33,16 @@ def test_stages_on_an_empty_table(spark, empty, tmp_path):
     for _, step in corpus_pipeline.STAGES:
         at = step(spark, at, str(tmp_path))
         assert at.collect() == []
+
+
+def test_near_dedup_takes_simhash_components_and_verifies_them(spark, monkeypatch):
+    """Texts of one fingerprint with few five-word shingles in common stay; one of a changed word, whose fingerprint is further off, goes."""
+    from arbalest.llm import simhash
+
+    asked, labelled = [], simhash.labelled
+    monkeypatch.setattr(simhash, "labelled", lambda *a: asked.append(labelled(*a)) or asked[-1])
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, "x " * 300 + words("a")), (2, "x " * 300 + words("b")), (3, words("c")), (4, words("c").replace("c57 ", "d ")), (5, words("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 2, 3, 5]
+    assert asked[0].select("root").distinct().count() < 5
