@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from arbalest.functions import rules
 from arbalest.functions import vectors as V
-from arbalest.operators.ranking import QUERY, best_two, rank
+from arbalest.operators import blocks
+from arbalest.operators.ranking import QUERY, pick_two, rank
 from arbalest.operators.scoring import PAIR, POOL, pairs
 
 
@@ -69,7 +70,8 @@ def recall_at(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (5, 10,
 
 
 def method_table(methods: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
-    """MRR of each method by pool as columns, one for each pool of the truth, and their mean as ``macro``."""
+    """MRR of each method by pool as columns, one for each pool of the truth, and their mean as ``macro``. A method is its whole ranking, or
+    the true targets' ranks alone."""
     rows = None
     for name, ranked in methods.items():
         part = reciprocal_ranks(ranked, truth).withColumn("method", F.lit(name))
@@ -87,23 +89,29 @@ def delta_table(base: DataFrame, other: DataFrame) -> DataFrame:
     return a.join(b, POOL).withColumn("delta", delta).withColumn("reading", rules.delta_reading(F.col("delta")))
 
 
-def bijection(scores: DataFrame) -> DataFrame:
+def bijection(scores: DataFrame | blocks.Scorer) -> DataFrame:
     """Whether the best targets of a pool's queries are all different and cover its gallery."""
-    sizes = scores.groupBy(*POOL).agg(F.count_distinct("query_id").alias("n_queries"), F.count_distinct("target_id").alias("n_targets"))
-    best = rank(scores, 1).groupBy(*POOL).agg(F.count_distinct("target_id").alias("n_chosen"))
+    count = lambda rows, c: rows.groupBy(*POOL).agg(F.count_distinct(c).alias("n_queries" if c == "query_id" else "n_targets"))
+    one, two = (scores.queries, scores.gallery) if isinstance(scores, blocks.Scorer) else (scores, scores)
+    sizes = count(one, "query_id").join(count(two, "target_id"), POOL)
+    best = shortlist(scores, 1).groupBy(*POOL).agg(F.count_distinct("target_id").alias("n_chosen"))
     same = (F.col("n_chosen") == F.col("n_queries")) & (F.col("n_queries") == F.col("n_targets"))
     return sizes.join(best, POOL).withColumn("is_bijection", same)
 
 
+def shortlist(scores: DataFrame | blocks.Scorer, k: int) -> DataFrame:
+    return blocks.best(scores, k) if isinstance(scores, blocks.Scorer) else rank(scores, k)
+
+
 def collisions(scores: DataFrame) -> DataFrame:
     """Targets that are the best of more than one query."""
     return rank(scores, 1).groupBy(*POOL, "target_id").agg(F.count("*").alias("n_queries")).where("n_queries > 1")
 
 
-def gap_summary(distances: DataFrame, near: float = 1e-3, wide: float = 1e-2) -> DataFrame:
+def gap_summary(distances: DataFrame | blocks.Scorer, near: float = 1e-3, wide: float = 1e-2) -> DataFrame:
     """Per pool: best distances, gaps to the runner-up, near-zero and wide counts, and the leak flag. ``distances`` are scores
     of opposite sign."""
-    two = best_two(distances).select(*QUERY, "target_id", (-F.col("best")).alias("best"), "gap")
+    two = pick_two(shortlist(distances, 2)).select(*QUERY, "target_id", (-F.col("best")).alias("best"), "gap")
     six = lambda c: F.round(c, 6)
     out = two.groupBy(*POOL).agg(
         six(F.min("best")).alias("best_min"), six(F.percentile("best", F.lit(0.5))).alias("best_median"), six(F.max("best")).alias("best_max"),
@@ -135,9 +143,12 @@ def cost_projection(sizes: DataFrame, seconds: float, shortlist: int | None = No
     return sizes.withColumn("n_pairs", F.col("n_queries") * per).withColumn("seconds", F.round(F.col("n_pairs") * F.lit(seconds), 6))
 
 
-def sanity(scores: DataFrame) -> DataFrame:
+def sanity(scores: DataFrame | blocks.Scorer) -> DataFrame:
     """Best three and worst score of each query, and whether they are too close to tell."""
-    ranked = rank(scores)
+    if isinstance(scores, blocks.Scorer):
+        ranked = blocks.best(scores, 3).unionByName(blocks.last(scores))
+    else:
+        ranked = rank(scores)
     pick = lambda r: F.max(F.when(F.col("rank") == r, F.col("score")))
     six = lambda c: F.round(c, 6)
     out = ranked.groupBy(*QUERY).agg(six(pick(1)).alias("first"), six(pick(2)).alias("second"), six(pick(3)).alias("third"), six(F.max_by("score", "rank")).alias("worst"))
