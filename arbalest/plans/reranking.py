@@ -153,7 +153,7 @@ def indexed_neighbours(spark, d):
 @query(catalogue.SQL["k_reciprocal"])
 def indexed_k_reciprocal(spark, d):
     gallery = views.linked(spark, d)
-    return shown(rerank.k_reciprocal(views.scores(spark, d), gallery, near=inverted.neighbours(gallery, 20)))
+    return listed(block_scorers.k_reciprocal(views.queries(spark, d), gallery, 5, near=inverted.neighbours(gallery, 20)))
 
 
 @query()
