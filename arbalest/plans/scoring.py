@@ -112,7 +112,7 @@ jt AS (SELECT dataset, split, query_id, target_id, unnest(list_filter(list_trans
 ns AS (SELECT dataset, split, query_id, target_id, CASE WHEN coalesce(t, 0) < 2 THEN 1.0::DOUBLE WHEN hab < 1e-12 THEN 2.0 ELSE (ha.h + hb.h) / hab END AS score
   FROM s LEFT JOIN tot USING (dataset, split, query_id, target_id) LEFT JOIN ha USING (dataset, split, query_id, target_id) LEFT JOIN hb USING (dataset, split, query_id, target_id))""" + top("ns"))
 def nmi_block_rank(spark, d):
-    return shown(scoring.nmi_block_scores(views.queries(spark, d), views.linked(spark, d), BINS))
+    return shown(block_scorers.nmi_volumes(views.queries(spark, d), views.linked(spark, d), BINS))
 
 
 @query(SQL + "SELECT vec_id, round(list_sum(list_transform(v, lambda x: CASE WHEN x > 2 THEN 0 ELSE x END)), 6) AS total FROM e")
