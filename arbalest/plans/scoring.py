@@ -147,7 +147,7 @@ def robust_nmi_rank(spark, d):
 
 def robust_nmi_block_rank(spark, d):
     """The same through the block form for whole volumes."""
-    return shown(scoring.robust_nmi_block_scores(views.queries(spark, d), views.linked(spark, d), 8, 32))
+    return shown(block_scorers.robust_nmi_volumes(views.queries(spark, d), views.linked(spark, d), 8, 32))
 
 
 query()(robust_nmi_rank)
