@@ -142,7 +142,7 @@ def robust_normalize(spark, d):
 
 def robust_nmi_rank(spark, d):
     """Without SQL: bin edges depend on the last bit of interpolated quantiles."""
-    return shown(scoring.robust_nmi_scores(views.queries(spark, d), views.linked(spark, d), 8, 32))
+    return shown(block_scorers.robust_nmi(views.queries(spark, d), views.linked(spark, d), 8, 32))
 
 
 def robust_nmi_block_rank(spark, d):
