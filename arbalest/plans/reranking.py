@@ -72,7 +72,7 @@ c AS (SELECT dataset, split, query_id, list(0.5::DOUBLE * qv[i + 1] + 0.5::DOUBL
 x AS (SELECT dataset, split, query_id, target_id, list_dot_product(c, tv) / sqrt(list_dot_product(c, c)) AS score FROM c JOIN lk USING (dataset, split))""" + top("x"))
 def alpha_qe(spark, d):
     q, t = views.queries(spark, d), views.linked(spark, d)
-    return shown(scoring.dot_scores(rerank.expanded_queries(q, t, scoring.dot_scores(q, t)), t))
+    return shown(blocks.dot(rerank.expanded_queries(q, t, blocks.best(blocks.dot(q, t), 5)), t))
 
 
 @query(SQL + """, gg AS (SELECT a.dataset, a.split, a.target_id, b.target_id AS nb, CASE WHEN a.target_id = b.target_id THEN -1.0::DOUBLE ELSE list_dot_product(a.tv, b.tv) END AS s FROM lk a JOIN lk b USING (dataset, split)),
