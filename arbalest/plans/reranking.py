@@ -29,7 +29,7 @@ cs AS (SELECT dataset, split, query_id, target_id, 2 * score - a - b AS score FR
 
 @query(SQL + CSLS + top("cs"))
 def csls_rank(spark, d):
-    return shown(rerank.csls(views.scores(spark, d), 5))
+    return shown(block_scorers.csls(views.scorer(spark, d), 5))
 
 
 def sinkhorn_sql(source: str, rounds: int, tau: float) -> str:
