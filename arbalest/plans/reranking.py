@@ -84,7 +84,7 @@ st AS (SELECT dataset, split, query_id, list_distinct(flatten(list(list_prepend(
 x AS (SELECT s.dataset, s.split, s.query_id, s.target_id, 0.35::DOUBLE * score + 0.65::DOUBLE * (len(list_intersect(st, knn)) / (len(st) + len(knn) - len(list_intersect(st, knn)) + 1e-10)) AS score
       FROM s JOIN st USING (dataset, split, query_id) JOIN kn USING (dataset, split, target_id))""" + top("x"))
 def k_reciprocal(spark, d):
-    return shown(rerank.k_reciprocal(views.scores(spark, d), views.linked(spark, d)))
+    return listed(block_scorers.k_reciprocal(views.queries(spark, d), views.linked(spark, d), 5))
 
 
 SLICED = """, qs AS (SELECT dataset, split, query_id, k, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS a FROM (SELECT dataset, split, query_id, k, qv[k * 16 + 1:k * 16 + 16] AS w FROM q, (SELECT unnest(range(4)) AS k))),
