@@ -98,7 +98,8 @@ x AS (SELECT s.dataset, s.split, s.query_id, s.target_id, CASE WHEN m IS NULL TH
 def maxsim_blend(spark, d):
     q = views.slices(views.queries(spark, d), "qv", "q_slices").select(*POOL, "query_id", "q_slices")
     t = views.slices(views.linked(spark, d), "tv", "t_slices").select(*POOL, "target_id", "t_slices")
-    return shown(rerank.maxsim_blend(views.scores(spark, d), q, t, 10))
+    """The 10 best get new scores, the others keep theirs, so that the best 5 are among the first 15."""
+    return shown(rerank.maxsim_blend(blocks.best(views.scorer(spark, d), 15).drop("rank"), q, t, 10))
 
 
 @query(NCC + f", x AS (SELECT r.dataset, r.split, r.query_id, r.target_id, row_number() OVER (PARTITION BY r.dataset, r.split, r.query_id ORDER BY r.rank > 10, CASE WHEN r.rank <= 10 THEN -round(nc.score, 9) END, r.rank) AS rank FROM r JOIN nc USING ({KEYS})) SELECT * FROM x WHERE rank <= 15")
