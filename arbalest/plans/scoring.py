@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
-from arbalest.operators import block_scorers, blocks, classifier, evaluation, fusion, ranking, scoring
+from arbalest.operators import block_scorers, blocks, classifier, evaluation, ranking, scoring
 from arbalest.operators.scoring import POOL
 from arbalest.plans import views
 from arbalest.plans.catalogue import query
@@ -170,7 +170,7 @@ def min_max_sql(table: str) -> str:
 @query(NCC + f", en AS (SELECT a.dataset, a.split, a.query_id, a.target_id, CASE WHEN a.dataset = 'dataset1' THEN 0.7::DOUBLE * a.m + 0.3::DOUBLE * b.m ELSE b.score END AS score FROM {min_max_sql('nc')} a JOIN {min_max_sql('s')} b USING (dataset, split, query_id, target_id))" + top("en"))
 def ncc_ensemble(spark, d):
     q, t = views.queries(spark, d), views.linked(spark, d)
-    return shown(fusion.weighted_ensemble(scoring.ncc_scores(q, t), scoring.dot_scores(q, t), 0.7, ("dataset1",)))
+    return shown(block_scorers.mixed(block_scorers.ncc(q, t, "qz", "tz"), blocks.dot(q, t), 0.7, ("dataset1",)))
 
 
 @query()
