@@ -178,4 +178,4 @@ def pair_probability_rank(spark, d):
     """Trained on the pairs of the validation split; the test split is ranked."""
     queries, gallery = views.queries(spark, d), views.linked(spark, d)
     known = queries.where("split = 'val'").join(gallery.select("p", "target_id", "tv"), "p").select("query_id", "target_id", "qv", "tv")
-    return shown(classifier.probability_scores(queries.where("split = 'test'"), gallery.where("split = 'test'"), classifier.fit(known)))
+    return shown(block_scorers.probability(queries.where("split = 'test'"), gallery.where("split = 'test'"), classifier.fit(known)))
