@@ -64,7 +64,7 @@ def rrf_fusion(spark, d):
 
 @query(SQL + f", re AS (SELECT {KEYS}, 0.5::DOUBLE * coalesce(1.0::DOUBLE / a.rank, 0) + 0.5::DOUBLE * coalesce(1.0::DOUBLE / b.rank, 0) AS score FROM r a FULL JOIN r0 b USING ({KEYS}))" + top("re"))
 def rank_ensemble(spark, d):
-    return shown(fusion.rank_ensemble(ranking.rank(views.scores(spark, d)), ranking.rank(views.raw_scores(spark, d))))
+    return listed(block_scorers.fused([(views.scorer(spark, d), 0.5), (views.raw_scorer(spark, d), 0.5)], 0, 5))
 
 
 @query(SQL + """, b AS (SELECT r.dataset, r.split, query_id, i, avg(x) AS m FROM (SELECT * FROM r WHERE rank <= 5) r JOIN (SELECT target_id, unnest(tv) AS x, unnest(range(64)) AS i FROM lk) USING (target_id) GROUP BY ALL),
