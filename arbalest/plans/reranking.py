@@ -59,7 +59,7 @@ def descriptor_cascade(spark, d):
 @query(NCC + f", rn AS (SELECT *, {RANK} AS rank FROM nc), f AS (SELECT {KEYS}, 1.0::DOUBLE / (60 + rank) AS w FROM r UNION ALL SELECT {KEYS}, 2.0::DOUBLE / (60 + rank) FROM rn), rf AS (SELECT {KEYS}, sum(w) AS score FROM f GROUP BY ALL)" + top("rf"))
 def rrf_fusion(spark, d):
     q, t = views.queries(spark, d), views.linked(spark, d)
-    return shown(fusion.reciprocal_rank_fusion([(ranking.rank(scoring.dot_scores(q, t)), 1.0), (ranking.rank(scoring.ncc_scores(q, t)), 2.0)]))
+    return listed(block_scorers.fused([(blocks.dot(q, t), 1.0), (block_scorers.ncc(q, t), 2.0)], 60, 5))
 
 
 @query(SQL + f", re AS (SELECT {KEYS}, 0.5::DOUBLE * coalesce(1.0::DOUBLE / a.rank, 0) + 0.5::DOUBLE * coalesce(1.0::DOUBLE / b.rank, 0) AS score FROM r a FULL JOIN r0 b USING ({KEYS}))" + top("re"))
