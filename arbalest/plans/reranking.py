@@ -105,10 +105,11 @@ def maxsim_blend(spark, d):
 @query(NCC + f", x AS (SELECT r.dataset, r.split, r.query_id, r.target_id, row_number() OVER (PARTITION BY r.dataset, r.split, r.query_id ORDER BY r.rank > 10, CASE WHEN r.rank <= 10 THEN -round(nc.score, 9) END, r.rank) AS rank FROM r JOIN nc USING ({KEYS})) SELECT * FROM x WHERE rank <= 15")
 def shortlist_tail(spark, d):
     q, t = views.queries(spark, d), views.linked(spark, d)
-    first = ranking.rank(scoring.dot_scores(q, t))
-    again = scoring.ncc_scores(q, t).join(first.where("rank <= 10").select(*scoring.PAIR), scoring.PAIR, "left_semi")
-    out = ranking.shortlist_then_tail(first, again)
-    return out.where("rank <= 15").select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
+    first = staging.stage(blocks.best(blocks.dot(q, t), 15))  # the tail stays where it is
+    ncc = block_scorers.ncc(q, t, "qz", "tz")
+    short = first.where("rank <= 10").select(*scoring.PAIR).join(ncc.queries.select(*ranking.QUERY, "qz"), ranking.QUERY).join(ncc.gallery.select(*rerank.TARGET, "tz"), rerank.TARGET)
+    out = ranking.shortlist_then_tail(first, block_scorers.single_scores(ncc, short))
+    return out.select(*scoring.PAIR, F.col("rank").cast("long").alias("rank"))
 
 
 @query(SQL + f"SELECT {KEYS}, round(score, 6) AS score FROM r WHERE rank = 1 AND round(score, 9) >= 0.65::DOUBLE AND dataset IN ('dataset2', 'dataset3')")
