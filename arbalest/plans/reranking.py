@@ -43,7 +43,7 @@ def sinkhorn_sql(source: str, rounds: int, tau: float) -> str:
 
 @query(SQL + sinkhorn_sql("s", 3, 0.1) + top("k6"))
 def sinkhorn3_rank(spark, d):
-    return shown(rerank.sinkhorn_steps(views.scores(spark, d), 0.1, 3))
+    return listed(block_scorers.sinkhorn(views.scorer(spark, d), 0.1, 3, 5))
 
 
 @query(SQL + sinkhorn_sql("s", ROUNDS, 0.1) + top(f"k{2 * ROUNDS}"))
