@@ -72,7 +72,7 @@ c AS (SELECT dataset, split, round(min(best), 6) AS best_min, round(quantile_con
 n AS (SELECT dataset, split, count(*) AS n_targets FROM g GROUP BY ALL)
 SELECT c.* EXCLUDE (chosen), chosen = n_queries AND n_queries = n_targets AS is_bijection, chosen = n_queries AND n_queries = n_targets AND near_zero >= 0.9 * n_queries AND wide_gap >= 0.9 * n_queries AS is_leak FROM c JOIN n USING (dataset, split)""")
 def nn_gap_summary(spark, d):
-    return evaluation.gap_summary(scoring.affine_scores(*affine_sides(spark, d)))
+    return evaluation.gap_summary(block_scorers.affine(*affine_sides(spark, d)))
 
 
 def digit_sql(source: str, name: str, vector: str, bins: int = BINS) -> str:
