@@ -159,7 +159,7 @@ NCC = SQL + f", zq AS (SELECT dataset, split, query_id, {Z.format(v='qv')} AS a
 
 @query(NCC + top("nc"))
 def ncc_rank(spark, d):
-    return shown(scoring.ncc_scores(views.queries(spark, d), views.linked(spark, d)))
+    return shown(block_scorers.ncc(views.queries(spark, d), views.linked(spark, d)))
 
 
 def min_max_sql(table: str) -> str:
