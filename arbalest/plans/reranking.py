@@ -143,7 +143,7 @@ NEIGHBOURS = SQL + ", n AS (SELECT dataset, split, target_id, b.target_id AS nei
 
 @query(NEIGHBOURS)
 def gallery_neighbours(spark, d):
-    return scoring.neighbours(views.linked(spark, d), 6).withColumn("rank", F.col("rank").cast("long"))
+    return block_scorers.neighbours(views.linked(spark, d), 6).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(NEIGHBOURS)
