@@ -166,5 +166,5 @@ def probed_neighbours(spark, d):
     index = inverted.build(gallery)
     queries = gallery.select(*POOL, F.col("target_id").alias("query_id"), F.col("tv").alias("qv"))
     probes = inverted.calibrated(index, queries, 21)
-    got = inverted.recall(inverted.neighbours(gallery, 20, probes, index), scoring.neighbours(gallery, 20), [*POOL, "target_id", "neighbour"])
+    got = inverted.recall(inverted.neighbours(gallery, 20, probes, index), block_scorers.neighbours(gallery, 20), [*POOL, "target_id", "neighbour"])
     return got.join(inverted.visited(index, queries, 21, probes), POOL).withColumn("probes", F.lit(probes))
