@@ -119,7 +119,7 @@ def pseudo_pairs(spark, d):
 
 @query(SQL + f", n AS (SELECT *, {RANK} AS k FROM s ANTI JOIN truth USING ({KEYS})) SELECT {KEYS}, round(score, 6) AS score, k AS rank FROM n WHERE k <= 3")
 def hard_negatives(spark, d):
-    got = fusion.hard_negatives(views.scores(spark, d), views.truth(spark, d))
+    got = block_scorers.but(views.scorer(spark, d), views.truth(spark, d), 3)
     return got.select(*scoring.PAIR, F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
