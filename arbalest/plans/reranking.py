@@ -128,7 +128,8 @@ x AS (SELECT {KEYS}, score FROM s WHERE dataset = 'dataset1' UNION ALL SELECT {K
 def dataset_dispatch(spark, d):
     q, t = views.queries(spark, d), views.linked(spark, d)
     sides = q.withColumn("qa", F.slice("qv", 1, 16)), t.withColumn("ta", F.slice("tv", 1, 16))
-    return shown(ranking.dispatch({"dataset1": scoring.dot_scores(q, t), "dataset2": scoring.ncc_scores(q, t), "dataset3": scoring.affine_scores(*sides)}))
+    rankers = {"dataset1": blocks.dot(q, t), "dataset2": block_scorers.ncc(q, t), "dataset3": block_scorers.affine(*sides)}
+    return shown(ranking.dispatch({name: blocks.best(s.where(F.col("dataset") == name), 5).drop("rank") for name, s in rankers.items()}))
 
 
 @query()
