@@ -58,7 +58,7 @@ def frobenius_argmin(spark, d):
 @query(SQL + """, gs AS (SELECT dataset, split, query_id, target_id,
   -(list_sum(list_transform(range(1, 4), lambda i: abs(floor(abs(qv[i]) * 100) - floor(abs(tv[i]) * 100)))) + list_sum(list_transform(range(1, 17), lambda i: abs(round(qv[i], 4) - round(tv[i], 4))))) AS score FROM q JOIN lk USING (dataset, split))""" + top("gs"))
 def geometry_l1_rank(spark, d):
-    return shown(scoring.geometry_scores(*affine_sides(spark, d)))
+    return shown(block_scorers.geometry(*affine_sides(spark, d)))
 
 
 @query(SQL + "SELECT dataset, split, count(*) FILTER (floor(abs(qv[1]) * 100) = floor(abs(tv[1]) * 100) AND floor(abs(qv[2]) * 100) = floor(abs(tv[2]) * 100) AND floor(abs(qv[3]) * 100) = floor(abs(tv[3]) * 100)) AS n_same FROM q JOIN lk USING (dataset, split) GROUP BY ALL")
