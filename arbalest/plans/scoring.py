@@ -41,7 +41,7 @@ AFFINE = SQL + """, fs AS (SELECT dataset, split, query_id, target_id, -sqrt(lis
 
 @query(SQL + ", n AS (SELECT dataset, split, query_id, list_transform(qv, lambda x: x / greatest(sqrt(list_dot_product(qv, qv)), 0.000001::DOUBLE)) AS a FROM q), m AS (SELECT dataset, split, target_id, list_transform(tv, lambda x: x / greatest(sqrt(list_dot_product(tv, tv)), 0.000001::DOUBLE)) AS b FROM g), c AS (SELECT dataset, split, query_id, target_id, list_dot_product(a, b) AS score FROM n JOIN m USING (dataset, split))" + top("c"))
 def cosine_raw_topk(spark, d):
-    return shown(scoring.cosine_scores(views.queries(spark, d), views.gallery(spark, d)))
+    return shown(block_scorers.cosine(views.queries(spark, d), views.gallery(spark, d)))
 
 
 @query(SQL + top("s", 10))
