@@ -52,7 +52,7 @@ def block_cosine_topk(spark, d):
 
 @query(AFFINE + top("fs", 1))
 def frobenius_argmin(spark, d):
-    return shown(scoring.affine_scores(*affine_sides(spark, d)), 1)
+    return shown(block_scorers.affine(*affine_sides(spark, d)), 1)
 
 
 @query(SQL + """, gs AS (SELECT dataset, split, query_id, target_id,
