@@ -114,7 +114,7 @@ def shortlist_tail(spark, d):
 
 @query(SQL + f"SELECT {KEYS}, round(score, 6) AS score FROM r WHERE rank = 1 AND round(score, 9) >= 0.65::DOUBLE AND dataset IN ('dataset2', 'dataset3')")
 def pseudo_pairs(spark, d):
-    return fusion.pseudo_pairs(views.scores(spark, d), 0.65, ("dataset2", "dataset3")).withColumn("score", F.round("score", 6))
+    return fusion.pseudo_pairs(blocks.best(views.scorer(spark, d), 1).drop("rank"), 0.65, ("dataset2", "dataset3")).withColumn("score", F.round("score", 6))
 
 
 @query(SQL + f", n AS (SELECT *, {RANK} AS k FROM s ANTI JOIN truth USING ({KEYS})) SELECT {KEYS}, round(score, 6) AS score, k AS rank FROM n WHERE k <= 3")
