@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
 from arbalest.operators import block_scorers, blocks, scoring
-from arbalest.operators.evaluation import counted_ranks
 from arbalest.operators.ranking import rank
 from arbalest.operators.scoring import POOL
 
@@ -65,7 +64,7 @@ def raw_scorer(spark: SparkSession, d: str) -> blocks.Scorer:
 
 
 def true_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return counted_ranks(queries(spark, d), linked(spark, d), truth(spark, d), V.dot("qv", "tv"))
+    return block_scorers.true_ranks(queries(spark, d), linked(spark, d), truth(spark, d))
 
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
