@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
-from arbalest.operators import evaluation, heads
+from arbalest.operators import block_scorers, evaluation, heads
 from arbalest.operators.scoring import POOL
 from arbalest.plans import views
 from arbalest.plans.catalogue import query
@@ -31,7 +31,7 @@ def sides(spark, d):
 def mrr(queries, gallery, truth, trained=None):
     if trained:
         queries, gallery = (staging.stage(heads.projected(*x)) for x in ((queries, "qv", trained.query), (gallery, "tv", trained.target)))
-    return evaluation.pool_mrr(evaluation.counted_ranks(queries, gallery, truth, V.dot("qv", "tv")))
+    return evaluation.pool_mrr(block_scorers.true_ranks(queries, gallery, truth))
 
 
 def held_out(spark, d, settings):
