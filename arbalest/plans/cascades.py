@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbalest.operators import fusion, ranking, rerank, scoring
+from arbalest.operators import block_scorers, blocks, fusion, ranking, rerank, scoring
 from arbalest.operators.kernels import descriptor
 from arbalest.operators.ranking import QUERY
 from arbalest.operators.rerank import TARGET
 from arbalest.operators.scoring import PAIR
+from arbalest.sources.staging import stage
 
 #: An aligner moves the second volume towards the first.
 Aligner = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -67,9 +68,10 @@ def dataset2_ranking(
     """Prefilter, then descriptor and NMI ranks of the aligned shortlist fused by reciprocal ranks (weights 1, 2, 2), then
     the untouched tail."""
     first = ranking.rank(descriptor_scores(queries, gallery, 5, 0.1, rounds))
-    short = first.where(F.col("rank") <= k).select(*PAIR, "rank")
+    best = block_scorers.sinkhorn(block_scorers.csls(blocks.dot(queries, gallery), 5), 0.1, rounds, k)
+    short = stage(best.select(*PAIR, "rank"))  # tables: each shortlist is made, and each pair aligned, once
     pairs = short.join(queries.select(*QUERY, "qv"), QUERY).join(gallery.select(*TARGET, "tv"), TARGET)
-    again = aligned_scores(pairs, shape, aligner, bins, least)
+    again = stage(aligned_scores(pairs, shape, aligner, bins, least))
     by = lambda c: ranking.rank(again.select(*PAIR, F.col(c).alias("score")))
     fused = fusion.reciprocal_rank_fusion([(short, 1.0), (by("score_d"), 2.0), (by("score_n"), 2.0)])
     return ranking.shortlist_then_tail(first, fused)
