@@ -1,12 +1,13 @@
 """Rankings by blocks against the same rankings of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
 from arbalest.operators import block_scorers, blocks, classifier, evaluation, ranking, rerank, scoring
-from arbalest.plans import views
+from arbalest.plans import catalogue, views
 
 DATA = "/root/testdata/sf0.001"
 KEYS = ["dataset", "split", "query_id", "rank"]
@@ -54,3 +55,37 @@ def test_many_blocks_copies_and_nulls(spark, sides):
     got = blocks.best(blocks.dot(q, gone), 10_000)
     assert got.where("score is null").agg(F.min("rank")).first()[0] > got.where("score is not null and dataset = 'dataset1' and split = 'val'").agg(F.min("rank")).first()[0]
     assert got.count() == scoring.dot_scores(q, gone).count()
+
+
+def listed(rows):
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def test_whole_rankings_by_blocks(spark, sides):
+    """Copies, null and repeated entities, scores of any size, and pools of one side alone."""
+    q, t, _ = sides
+    q, t = q.select(*scoring.POOL, "query_id", "qv"), t.select(*scoring.POOL, "target_id", "tv")
+    copies = t.unionByName(t.limit(40).withColumn("target_id", F.concat(F.lit("a"), "target_id"))).unionByName(t.limit(3))
+    copies = copies.withColumn("tv", F.when(~F.col("target_id").endswith("7"), F.col("tv"))).where("dataset <> 'dataset2' or split <> 'val'")
+    twice = q.unionByName(q.limit(5).withColumn("qv", F.reverse("qv"))).where("dataset <> 'dataset1' or split <> 'val'")
+    some = [ranking.submission(ranking.rank(scoring.dot_scores(*x))) for x in ((q, copies), (twice, copies))]
+    assert listed(blocks.submission(blocks.dot(q, copies), size=7)) == listed(some[0]) != []
+    assert listed(blocks.submission(blocks.dot(twice, copies))) == listed(some[1]) != []
+    wide = copies.withColumn("tv", F.transform("tv", lambda x: x * 1e12))
+    assert listed(blocks.submission(blocks.dot(q, wide))) == listed(ranking.submission(ranking.rank(scoring.dot_scores(q, wide))))
+    assert blocks.submission(blocks.dot(q.limit(0), t)).count() == 0 == blocks.submission(blocks.dot(q, t.limit(0))).count()
+
+
+def test_edges_of_the_ninth_digit_are_scored_again():
+    """Two equal targets whose matrix scores fall on either side of an edge stay equal."""
+    scorer = blocks.Scorer(None, None, ("qv",), ("tv",), lambda a, b: np.array([[0.3, 0.1234567885 + 2e-15, 0.1234567885 - 2e-15]]), lambda a, b: np.full(len(a["qv"]), 0.1234567887))
+    ids = pa.array(["t0", "t1", "t2"])
+    unit = blocks.Unit(scorer, ("d", "val"), pa.array(["q"]), ids, {"qv": np.zeros((1, 1))}, {"tv": np.zeros((3, 1))}, np.zeros(1, bool), np.zeros(3, bool))
+    assert blocks._nine(unit, 0, scorer.kernel(None, None)).tolist() == [[-300000000, -123456789, -123456789]]
+    assert blocks.ascending(np.array([[2.0, -np.inf, 2.0, np.inf, -7.0], [1e300, -1e300, 0, 0, 5]])).tolist() == [[1, 4, 0, 2, 3], [1, 2, 3, 4, 0]]
+
+
+@pytest.mark.parametrize("name", ["full_ranking_submission"])
+def test_whole_rankings_need_no_row_a_pair(spark, monkeypatch, name):
+    monkeypatch.setattr(scoring, "pairs", None)
+    assert catalogue.load()[0][name](spark, DATA).count() > 0
