@@ -85,7 +85,7 @@ def test_edges_of_the_ninth_digit_are_scored_again():
     assert blocks.ascending(np.array([[2.0, -np.inf, 2.0, np.inf, -7.0], [1e300, -1e300, 0, 0, 5]])).tolist() == [[1, 4, 0, 2, 3], [1, 2, 3, 4, 0]]
 
 
-@pytest.mark.parametrize("name", ["full_ranking_submission"])
+@pytest.mark.parametrize("name", ["full_ranking_submission", "submission_files"])
 def test_whole_rankings_need_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(scoring, "pairs", None)
     assert catalogue.load()[0][name](spark, DATA).count() > 0
