@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
-from arbalest.operators import block_scorers, blocks, classifier, evaluation, ranking, rerank, scoring
+from arbalest.operators import block_scorers, blocks, classifier, evaluation, ranking, rerank, scoring, validation
 from arbalest.plans import catalogue, views
+from arbalest.plans import evaluation as evaluation_plans
 
 DATA = "/root/testdata/sf0.001"
 KEYS = ["dataset", "split", "query_id", "rank"]
@@ -85,7 +86,19 @@ def test_edges_of_the_ninth_digit_are_scored_again():
     assert blocks.ascending(np.array([[2.0, -np.inf, 2.0, np.inf, -7.0], [1e300, -1e300, 0, 0, 5]])).tolist() == [[1, 4, 0, 2, 3], [1, 2, 3, 4, 0]]
 
 
-@pytest.mark.parametrize("name", ["full_ranking_submission", "submission_files"])
+@pytest.mark.parametrize("name", ["full_ranking_submission", "submission_files", "submission_rows", "submission_coverage"])
 def test_whole_rankings_need_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(scoring, "pairs", None)
     assert catalogue.load()[0][name](spark, DATA).count() > 0
+
+
+def test_stand_ins_are_the_rows_of_the_submission(spark, sides):
+    """Rows and blank rankings are those of whole rankings, also in pools without targets and in ones whose names are blank."""
+    q, t, _ = sides
+    t = t.where("dataset <> 'dataset1' or split <> 'val'").withColumn("target_id", F.when(F.col("dataset") == "dataset2", F.lit(" ")).otherwise(F.col("target_id")))
+    q = q.unionByName(q.limit(3))
+    whole = ranking.submission(ranking.rank(scoring.dot_scores(q, t)))
+    got = ranking.stand_ins(q, t)
+    assert got.count() == whole.count() > 0 and listed(validation.coverage(got, q)) == listed(validation.coverage(whole, q))
+    for change in (lambda x: x, lambda x: evaluation_plans.damaged(spark, x)):
+        assert listed(validation.row_checks(change(got))) == listed(validation.row_checks(change(whole)))
