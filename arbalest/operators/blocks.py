@@ -328,6 +328,35 @@ def submission(scorer: Scorer, size: int | None = None) -> DataFrame:
     return streamed(scorer, run, "dataset string, split string, query_id string, target_id_ranking string", size=size)
 
 
+def shortlist_then_tail(scorer: Scorer, heads: DataFrame, size: int | None = None) -> DataFrame:
+    """``ranking.shortlist_then_tail`` of all pairs' ranking: a query's shortlist in ``heads`` (pair, place) comes first, then its other targets as
+    the scorer ranks them. (pair, rank)"""
+    lists = heads.groupBy(*QUERY).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "target_id"))), lambda x: x["target_id"]).alias("_list"))
+    longest = lists.groupBy(*POOL).agg(F.max(F.size("_list")).alias("_long"))  # one row a pool
+    queries = scorer.queries.join(lists, QUERY, "left").join(F.broadcast(longest), POOL, "left")
+    own = F.coalesce("_list", F.array().cast("array<string>"))
+    filled = F.concat(own, F.array_repeat(F.lit(None).cast("string"), F.coalesce("_long", F.lit(0)) - F.size(own)))
+
+    def run(unit: Unit, schema: pa.Schema) -> Iterator[pa.Table]:
+        n, lists = len(unit.target_ids), unit.qf["_head"]
+        first = pc.index_in(pa.array(lists.ravel().tolist(), pa.string()), value_set=unit.target_ids, skip_nulls=True)
+        first = np.asarray(first.fill_null(-1)).reshape(lists.shape)
+        ranks, chosen = np.arange(1, n + 1, dtype=np.int32), np.zeros(n, bool)
+        for at, order in orders(unit):
+            for i, row in enumerate(order):
+                head = first[at + i][first[at + i] >= 0]
+                if len(head):
+                    chosen[head] = True
+                    order[i] = np.concatenate([head, row[~chosen[row]]])
+                    chosen[head] = False
+            for i in range(0, len(order), step := max(1, ROWS * 4 // n)):
+                part = order[i : i + step]
+                rows = at + i + np.repeat(np.arange(len(part)), part.shape[1])
+                yield unit.table(schema, query_id=unit.query_ids.take(pa.array(rows)), target_id=unit.target_ids.take(pa.array(part.ravel())), rank=np.tile(ranks, len(part)))
+
+    return streamed(replace(scorer, queries=queries.withColumn("_head", filled)), run, "dataset string, split string, query_id string, target_id string, rank int", ("_head",), size)
+
+
 def flipped(scorer: Scorer) -> Scorer:
     """Targets as queries and queries as targets."""
     swap = lambda f: None if f is None else (lambda a, b: f(b, a))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbalest.functions import vectors as V
-from arbalest.operators import block_scorers, blocks, classifier, evaluation, ranking, rerank, scoring, validation
-from arbalest.plans import catalogue, views
+from arbalest.operators import block_scorers, blocks, classifier, evaluation, kernels, ranking, rerank, scoring, validation
+from arbalest.plans import cascades, catalogue, views
 from arbalest.plans import evaluation as evaluation_plans
 
 DATA = "/root/testdata/sf0.001"
@@ -86,7 +86,7 @@ def test_edges_of_the_ninth_digit_are_scored_again():
     assert blocks.ascending(np.array([[2.0, -np.inf, 2.0, np.inf, -7.0], [1e300, -1e300, 0, 0, 5]])).tolist() == [[1, 4, 0, 2, 3], [1, 2, 3, 4, 0]]
 
 
-@pytest.mark.parametrize("name", ["full_ranking_submission", "submission_files", "submission_rows", "submission_coverage"])
+@pytest.mark.parametrize("name", ["full_ranking_submission", "submission_files", "submission_rows", "submission_coverage", "shortlist_cascade"])
 def test_whole_rankings_need_no_row_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(scoring, "pairs", None)
     assert catalogue.load()[0][name](spark, DATA).count() > 0
@@ -102,3 +102,35 @@ def test_stand_ins_are_the_rows_of_the_submission(spark, sides):
     assert got.count() == whole.count() > 0 and listed(validation.coverage(got, q)) == listed(validation.coverage(whole, q))
     for change in (lambda x: x, lambda x: evaluation_plans.damaged(spark, x)):
         assert listed(validation.row_checks(change(got))) == listed(validation.row_checks(change(whole)))
+
+
+def test_balanced_scores_and_tails_by_blocks(spark, sides):
+    """Sinkhorn's factors rank as Sinkhorn does, and shortlists of some queries, of several lengths, move to the head."""
+    q, t, _ = sides
+    want = ranking.rank(rerank.sinkhorn_steps(rerank.csls(scoring.dot_scores(q, t), 5), 0.1, 2)).persist()
+    few = want.where("rank <= 4 and rank <= length(replace(query_id, '1', '11')) - 8")
+    again = few.withColumn("score", F.round(F.rand(3), 1))
+    again = again.select(*scoring.PAIR, "score").persist()
+    heads = again.join(few.select(*scoring.PAIR, "rank"), scoring.PAIR).withColumn("place", F.struct((-F.round("score", 9)).alias("score"), "rank"))
+    tails = listed(ranking.shortlist_then_tail(want, again).select(*scoring.PAIR, "rank"))
+    for most in (1 << 22, 10):
+        scorer = block_scorers.balanced(block_scorers.csls(blocks.dot(q, t), 5), 0.1, 2, most)
+        same(blocks.best(scorer, 5), want.where("rank <= 5"))
+        assert listed(blocks.shortlist_then_tail(scorer, heads, size=9)) == tails
+    assert {r.n for r in few.groupBy("query_id").agg(F.count("*").alias("n")).collect()} >= {1, 2} and few.select("query_id").distinct().count() < q.count()
+
+
+def test_pairs_are_described_together():
+    random = np.random.default_rng(11)
+    volumes = random.normal(size=(30, 4, 5, 3))
+    volumes[::5, 0], volumes[3], volumes[4] = 0, 0, 2.5
+    near = kernels.descriptors(volumes, 32)
+    assert near.shape == (30, 8 * 60) and all(np.allclose(kernels.descriptor(v, 32), x, atol=1e-12) for v, x in zip(volumes, near))
+    assert all(np.allclose(kernels._robusts(volumes, 32)[i], kernels.robust(v, 32), atol=1e-12) for i, v in enumerate(volumes))
+    steps = sorted(np.ndindex(3, 3, 3), key=lambda s: (sum(abs(x - 1) for x in s), s))
+    for a, b in zip(volumes, volumes[1:]):
+        moved = max((np.roll(b, [x - 1 for x in s], (0, 1, 2)) for s in steps), key=lambda m: round(float((a * m).sum()), 9))
+        assert (cascades.shift_alignment(a, b) == moved).all()
+        x, y = (v[(np.abs(a) > 1e-6) & (np.abs(b) > 1e-6)] for v in (a, b))
+        if len(x):
+            assert (np.bincount(cascades._bins(x, 8) * 8 + cascades._bins(y, 8), minlength=64) == np.histogram2d(x, y, bins=8)[0].ravel()).all()
