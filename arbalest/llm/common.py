@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbalest.sources.staging import fresh_path, numbered, remove, stage
+from arbalest.sources.staging import fresh_path, numbered, remove, stage, stage_and_free
 
 __all__ = ["WORD", "documents", "fresh_path", "free_name", "id_remainder", "id_text", "in_small_batches", "lower_ascii", "numbered", "remove", "stage", "stage_and_free", "utf8_size"]
 
@@ -16,15 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 
 
-def stage_and_free(df: DataFrame) -> DataFrame:
-    """``stage``; then the driver collects its garbage, so that the shuffle files behind the table can go. Spark removes them when the plans
-    that made them are collected, which a driver with memory to spare puts off."""
-    out = stage(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on hands texts to Python in batches of ``BATCH_BYTES`` at most (a smaller limit stays).
     Results do not depend on it; memory beside the heap does. A lazy plan reads the setting when it runs, so it is not put back."""

@@ -134,3 +134,20 @@ def test_pairs_are_described_together():
         x, y = (v[(np.abs(a) > 1e-6) & (np.abs(b) > 1e-6)] for v in (a, b))
         if len(x):
             assert (np.bincount(cascades._bins(x, 8) * 8 + cascades._bins(y, 8), minlength=64) == np.histogram2d(x, y, bins=8)[0].ravel()).all()
+
+
+def test_sinkhorn_rounds_make_scores_once(spark, sides, monkeypatch):
+    """A round is one pass, whose units see several parts of a gallery and tiles, and leaves one table; rows of one id share their sums."""
+    q, t, _ = sides
+    q, t = (x.where("split = 'val'") for x in (q, t))
+    twice, copies = q.unionByName(q.limit(5).withColumn("qv", F.reverse("qv"))), t.unionByName(t.limit(4).withColumn("tv", F.reverse("tv")))
+    for name, size in (("WIDE", 100), ("TILE", 60)):
+        monkeypatch.setattr(block_scorers, name, size)
+    tables = []
+    kept = block_scorers.stage_and_free
+    monkeypatch.setattr(block_scorers, "stage_and_free", lambda df: tables.append(df) or kept(df))
+    got = block_scorers.sinkhorn(blocks.dot(twice, copies), 0.1, 2, 1000, most=10).select(*scoring.PAIR, F.round("score", 8).alias("score"))
+    assert len(tables) == 3  # two rounds, and the factors
+    want = rerank.sinkhorn_steps(scoring.dot_scores(twice, copies), 0.1, 2).select(*scoring.PAIR, F.round("score", 8).alias("score"))
+    a, b = (sorted((r[:4], r.score) for r in x.collect()) for x in (got, want))
+    assert [x for x, _ in a] == [x for x, _ in b] and np.allclose([x for _, x in a], [x for _, x in b], atol=2e-8)
