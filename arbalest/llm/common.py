@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbalest.sources.staging import fresh_path, numbered, remove, stage, stage_and_free
+from arbalest.sources.staging import BATCH_BYTES, fresh_path, in_small_batches, numbered, remove, stage, stage_and_free
 
-__all__ = ["WORD", "documents", "fresh_path", "free_name", "id_remainder", "id_text", "in_small_batches", "lower_ascii", "numbered", "remove", "stage", "stage_and_free", "utf8_size"]
+__all__ = ["BATCH_BYTES", "WORD", "documents", "fresh_path", "free_name", "id_remainder", "id_text", "in_small_batches", "lower_ascii", "numbered", "remove", "stage", "stage_and_free", "utf8_size"]
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of an Arrow batch of texts; Spark's own limit is 64 MB, of which a task holds several.
-BATCH_BYTES = 4 << 20
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on hands texts to Python in batches of ``BATCH_BYTES`` at most (a smaller limit stays).
-    Results do not depend on it; memory beside the heap does. A lazy plan reads the setting when it runs, so it is not put back."""
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))  # "64m" and the like
-    if not 0 < held <= BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
-    return df
 
 
 def free_name(df: DataFrame, name: str) -> str:
