@@ -55,3 +55,14 @@ def test_probes_reach_the_recall_with_few_pairs(spark):
     for r in inverted.visited(index, queries, 11, probes).collect():
         assert r.n_pairs == 800 * 800 and r.n_scored < 0.25 * r.n_pairs
     assert inverted.calibrated(index, queries, 11, 1.0) >= probes
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_exact_search_forms_no_row_for_a_query_and_a_cell(spark, small, monkeypatch, dense):
+    """Beyond the first cells, blocks meet; whether a block is scored in one product or cell by cell makes no difference."""
+    visits, chosen = [], inverted._chosen
+    monkeypatch.setattr(inverted, "DENSE", dense, raising=False)
+    monkeypatch.setattr(inverted, "_chosen", lambda *a: visits.append(chosen(*a)) or visits[-1])
+    gallery = gallery_of(spark, np.concatenate([clustered(90, 9), np.zeros((3, 16))]))
+    assert rows(inverted.neighbours(gallery, 7)) == rows(scoring.neighbours(gallery, 7))
+    assert sum(v.count() for v in visits) <= inverted.FIRST * 93
