@@ -83,8 +83,9 @@ def _side(table: pa.Table, name: str, names: tuple[str, ...]) -> tuple[pa.Array,
     return ids.take(pa.array(order)), out, lacking[order]
 
 
-def _rows(features: Features, at) -> Features:
-    return {n: x[at] for n, x in features.items()}
+def _rows(features: Features, at, names: tuple[str, ...] | None = None) -> Features:
+    """Of all features, or of those with ``names`` (kernels may keep things of their own beside a block's features)."""
+    return {n: features[n][at] for n in names or features}
 
 
 @dataclass
@@ -108,7 +109,7 @@ class Unit:
 
     def scores(self, at: int, to: int, some: slice = slice(None)) -> np.ndarray:
         """Of the queries from ``at`` to ``to`` with all or ``some`` targets."""
-        score = self.scorer.kernel(_rows(self.qf, slice(at, to)), self.tf if some == slice(None) else _rows(self.tf, some))
+        score = self.scorer.kernel(_rows(self.qf, slice(at, to)), self.tf if some == slice(None) else _rows(self.tf, some, self.scorer.t))
         bad = np.isnan(score)
         if bad.any():
             score = np.where(bad, np.inf, score)
@@ -120,7 +121,7 @@ class Unit:
         """Scores of single pairs, exact where the scorer can."""
         if self.scorer.exact is None or not len(rows):
             return near
-        got = self.scorer.exact(_rows(self.qf, rows), _rows(self.tf, cols))
+        got = self.scorer.exact(_rows(self.qf, rows), _rows(self.tf, cols, self.scorer.t))
         return np.where(np.isfinite(near), np.where(np.isnan(got), np.inf, got), near)
 
     def table(self, schema: pa.Schema, **columns) -> pa.Table:

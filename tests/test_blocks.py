@@ -182,3 +182,22 @@ def test_rankings_are_parsed_and_checked_where_they_are(spark, sides):
         plan = made._jdf.queryExecution().executedPlan().toString()
         above = plan[: plan.index("FlatMapGroupsInArrow")] if "FlatMapGroupsInArrow" in plan else plan[: plan.index("Arrow", plan.index("Arrow") + 5)]
         assert "Exchange hashpartitioning(query_id" not in above, name
+
+
+@pytest.mark.parametrize("width", [64, 300])
+def test_information_is_counted_for_many_targets_at_once(monkeypatch, width):
+    """Counts of all pairs are those of single ones: with zeros, constant and empty volumes, slabs, and volumes whose counts exceed a byte."""
+    monkeypatch.setattr(block_scorers, "COUNTED", 7, raising=False)
+    random = np.random.default_rng(5)
+    x, y = random.normal(size=(9, width)), random.normal(size=(20, width))
+    x[1, :9], x[2, 1:], x[3], x[4], y[5, 3], y[6], y[7] = 0, 0, 1.5, y[8], 0, 0, 1.5
+    digits = lambda v: np.where(v > 0, np.minimum((np.abs(v) * 3).astype(int), 7), -1)
+    for kernels_, (q, t), (a, b) in ((block_scorers._nmi_kernels(8), ("qd", "td"), (digits(x), digits(y))), (block_scorers._robust_kernels(8, 32), ("qr", "tr"), (x, y))):
+        whole, single = kernels_
+        want = np.stack([single({q: np.repeat(a[i : i + 1], len(b), axis=0)}, {t: b}) for i in range(len(a))])
+        held = {t: b}
+        assert all(np.allclose(whole({q: a}, held), want, atol=1e-12) for _ in range(2)) and ("_hot" in held) == (width < 256)
+    slow = []
+    monkeypatch.setattr(block_scorers, "_by_slab", lambda p, r, *_: slow.append(len(p) * len(r)) or np.zeros((len(p), len(r))))
+    block_scorers._nmi_kernels(8)[0]({"qd": digits(x[:, :64])}, {"td": digits(y[:, :64])})
+    assert sum(slow) == 0
